@@ -170,7 +170,7 @@ def run_report(df: DataFrame, *, group_by: Sequence[str] = (), status: str, succ
         F.count_if(s == running).alias("running_runs"),
         F.count_if(s == failed).alias("failed_runs"),
         (F.try_divide(F.count_if(s == success) * F.lit(100.0), F.count(F.lit(1)))).alias("success_rate_pct"),
-        F.try_divide(F.sum(F.when(s == success, F.col(duration))), F.count(F.when(s == success, F.col(duration)))).alias("avg_success_duration"),
+        F.try_divide(F.sum(F.when(s == success, F.col(duration))).cast("double"), F.count(F.when(s == success, F.col(duration)))).alias("avg_success_duration"),
         F.count_if(F.col(duration) > sla_limit).alias("sla_breaches"),
         F.sum(volume).alias("volume"),
     ]
