@@ -197,16 +197,17 @@ def scd4(target: DataFrame, source: DataFrame, keys: Sequence[str], tracked: Seq
     return upsert(target, source, keys), history
 
 
-def scd6(target: DataFrame, source: DataFrame, *, keys: Sequence[str], tracked: Mapping[str, str], **kw) -> DataFrame:
-    """Type 2 versions that also carry, on every version, the latest value of each tracked column.
-    ``tracked`` maps the historical column to its "current value" column."""
-    versions = scd2(target, source, keys=keys, tracked=list(tracked), **kw)
+def scd6(target: DataFrame, source: DataFrame, *, keys: Sequence[str], tracked: Sequence[str], carry: Mapping[str, str], **kw) -> DataFrame:
+    """Type 2 versions that also carry the latest value of some columns on every version.
+    ``carry`` maps a tracked column to its "current value" column. Keys without a current version
+    keep what they have."""
+    versions = scd2(target, source.withColumns({now: F.col(c) for c, now in carry.items()}), keys=keys, tracked=tracked, **kw)
     flag = kw.get("current", "is_current")
-    latest = versions.filter(F.col(flag)).select(*[F.col(k).alias(f"__k_{k}") for k in keys],
-                                                 *[F.col(c).alias(f"__l_{c}") for c in tracked])
+    latest = versions.filter(F.col(flag)).select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.lit(True).alias("__known"),
+                                                 *[F.col(c).alias(f"__l_{c}") for c in carry])
     cond = reduce(lambda a, b: a & b, [versions[k] == latest[f"__k_{k}"] for k in keys])
     joined = versions.join(latest, cond, "left")
-    joined = joined.withColumns({now: F.coalesce(f"__l_{c}", now) for c, now in tracked.items()})
+    joined = joined.withColumns({now: F.when(F.col("__known"), F.col(f"__l_{c}")).otherwise(F.col(now)) for c, now in carry.items()})
     return joined.select(*versions.columns)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import joins
 from millrace.plans.registry import query, sql_total, total
+from millrace.plans.scalars import sql_soundex
 
 
 def _orders(t):
@@ -201,6 +202,6 @@ def fuzzy_ngram(t):
     return joins.ngram_match(_typos(t), t.part, column="typed", ref_column="p_name", threshold=0.4)
 
 
-@query("D-V2")
+@query("D-V2", sql=f"SELECT value, match, {sql_soundex('value')} AS code FROM {TYPOS} WHERE {sql_soundex('value')} = {sql_soundex('match')}")
 def fuzzy_soundex(t):
     return joins.soundex_match(_typos(t), t.part, column="typed", ref_column="p_name")
