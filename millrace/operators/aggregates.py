@@ -123,7 +123,8 @@ def exact_percentiles(df: DataFrame, group_by: Sequence[str], column: str, point
     each percentile is read off with conditional minima. NULLs are ignored.
     """
     counted = df.filter(F.col(column).isNotNull()).groupBy(*group_by, column).agg(F.count(F.lit(1)).alias("__n"))
-    ranked = window(counted, [WindowFn("sum", "__upto", "__n")], partition_by=group_by, order_by=column, frame=RUNNING_RANGE, **kw)
+    # Distinct values are at most as many as rows, so the rows (a pruned scan) are counted first.
+    ranked = window(counted, [WindowFn("sum", "__upto", "__n")], partition_by=group_by, order_by=column, frame=RUNNING_RANGE, counts_from=df, **kw)
     totals = counted.groupBy(*group_by).agg(F.sum("__n").alias("__total")) if group_by else None
     if group_by:
         side = totals.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group_by)], "__total")
@@ -184,7 +185,7 @@ def spearman(df: DataFrame, x: str, y: str, alias: str = "spearman", **kw) -> Da
 
     def ranks(c, out):
         counted = clean.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-        upto = window(counted, [WindowFn("sum", "upto", "n")], order_by=c, frame=RUNNING_RANGE, **kw)
+        upto = window(counted, [WindowFn("sum", "upto", "n")], order_by=c, frame=RUNNING_RANGE, counts_from=df, **kw)
         return upto.select(F.col(c).alias(f"{out}_v"), (F.col("upto") - (F.col("n") - 1) / F.lit(2.0)).alias(out))
 
     # Each (x, y) pair once, weighted by its count: a repeated value does not become a hot join key.

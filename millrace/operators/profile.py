@@ -22,40 +22,49 @@ TYPE_PATTERNS = {
 
 def profile(df: DataFrame, columns: Sequence[str] | None = None, *, exact_distinct: bool = False, rsd: float = 0.02) -> DataFrame:
     """One row per column: rows, nulls, null %, distinct, min, max, mean, stddev, text lengths,
-    empty, zero and negative counts. A single aggregate reads the table once; distinct counts use
-    a sketch unless ``exact_distinct``."""
+    empty, zero and negative counts.
+
+    One wide aggregate reads the table once, with sketches for distinct counts. ``exact_distinct``
+    adds a second pass that groups (column, value) pairs, so that the wide aggregate is not
+    expanded once per column.
+    """
     names = list(columns or df.columns)
     types = {f.name: f.dataType for f in df.schema}
-    none = F.lit(None)
-    aggs, items = [F.count(F.lit(1)).alias("n")], []
+    aggs, fields = ["count(1) AS n"], []
     for i, c in enumerate(names):
-        col, numeric, text = F.col(c), isinstance(types[c], NumericType), isinstance(types[c], StringType)
+        q, number, text = f"`{c}`", isinstance(types[c], NumericType), isinstance(types[c], StringType)
         parts = {
-            "null_count": F.count_if(col.isNull()),
-            "distinct_count": F.count_distinct(col) if exact_distinct else F.approx_count_distinct(col, rsd),
-            "min_value": F.min(col).cast("string"),
-            "max_value": F.max(col).cast("string"),
-            "mean_value": F.avg(col).cast("double") if numeric else F.max(none.cast("double")),
-            "stddev_value": F.stddev_samp(col) if numeric else F.max(none.cast("double")),
-            "zero_count": F.count_if(col == 0) if numeric else F.count_if(F.lit(False)),
-            "negative_count": F.count_if(col < 0) if numeric else F.count_if(F.lit(False)),
-            "empty_count": F.count_if(F.trim(col) == "") if text else F.count_if(F.lit(False)),
-            "min_length": F.min(F.length(col)) if text else F.max(none.cast("int")),
-            "max_length": F.max(F.length(col)) if text else F.max(none.cast("int")),
+            "null_count": f"count_if({q} IS NULL)",
+            "distinct_count": "count_if(false)" if exact_distinct else f"approx_count_distinct({q}, {rsd})",
+            "min_value": f"CAST(min({q}) AS STRING)",
+            "max_value": f"CAST(max({q}) AS STRING)",
+            "mean_value": f"CAST(avg({q}) AS DOUBLE)" if number else "max(CAST(NULL AS DOUBLE))",
+            "stddev_value": f"stddev_samp({q})" if number else "max(CAST(NULL AS DOUBLE))",
+            "zero_count": f"count_if({q} = 0)" if number else "count_if(false)",
+            "negative_count": f"count_if({q} < 0)" if number else "count_if(false)",
+            "empty_count": f"count_if(trim({q}) = '')" if text else "count_if(false)",
+            "min_length": f"min(length({q}))" if text else "max(CAST(NULL AS INT))",
+            "max_length": f"max(length({q}))" if text else "max(CAST(NULL AS INT))",
         }
-        aggs += [a.alias(f"c{i}_{k}") for k, a in parts.items()]
-        nulls = F.col(f"c{i}_null_count")
-        items.append(F.struct(F.lit(c).alias("column_name"), F.lit(types[c].simpleString()).alias("data_type"), F.col("n").alias("row_count"),
-                              F.coalesce(F.try_divide(nulls * 100.0, F.col("n")), F.lit(0.0)).alias("null_pct"),
-                              *[F.col(f"c{i}_{k}").alias(k) for k in parts]))
-    return df.agg(*aggs).select(F.explode(F.array(*items)).alias("x")).select("x.*")
+        aggs += [f"{a} AS c{i}_{k}" for k, a in parts.items()]
+        fields.append(f"named_struct('column_name', '{c}', 'data_type', '{types[c].simpleString()}', 'row_count', n, "
+                      f"'null_pct', coalesce(try_divide(c{i}_null_count * 100D, n), 0D), " + ", ".join(f"'{k}', c{i}_{k}" for k in parts) + ")")
+    out = df.agg(*[F.expr(a) for a in aggs]).selectExpr(f"inline(array({', '.join(fields)}))")
+    if exact_distinct:
+        exact = _values(df, names).groupBy("column_name").agg(F.count("value").alias("exact"))
+        out = out.join(exact, "column_name", "left").withColumn("distinct_count", F.coalesce("exact", F.lit(0))).drop("exact")
+    return out
+
+
+def _values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value as text, frequency) for all columns, counted in one grouped pass."""
+    items = ", ".join(f"named_struct('column_name', '{c}', 'value', CAST(`{c}` AS STRING))" for c in columns)
+    return df.selectExpr(f"inline(array({items}))").groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("frequency"))
 
 
 def frequencies(df: DataFrame, columns: Sequence[str], k: int = 10, *, rarest: bool = False) -> DataFrame:
     """Top (or bottom) ``k`` values of each column, all columns counted in one grouped pass."""
-    items = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns])
-    counts = df.select(F.explode(items).alias("x")).groupBy("x.column_name", "x.value").agg(F.count(F.lit(1)).alias("frequency"))
-    return top_n(counts, k, partition_by=["column_name"], order_by=[("frequency", "asc" if rarest else "desc"), "value"], alias="position")
+    return top_n(_values(df, columns), k, partition_by=["column_name"], order_by=[("frequency", "asc" if rarest else "desc"), "value"], alias="position")
 
 
 def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) -> DataFrame:
@@ -80,18 +89,16 @@ def pattern_classes(df: DataFrame, column: str) -> DataFrame:
 
 def infer_types(df: DataFrame, columns: Sequence[str], required_share: float = 1.0) -> DataFrame:
     """Best type for text columns from the whole table: one aggregate of match counts per column."""
-    aggs, items = [], []
+    aggs, fields = [], []
     for i, c in enumerate(columns):
-        text = F.trim(F.col(c))
-        aggs.append(F.count_if(F.coalesce(text != "", F.lit(False))).alias(f"c{i}_n"))
-        aggs += [F.count_if(text.rlike(p)).alias(f"c{i}_{t}") for t, p in TYPE_PATTERNS.items()]
-        n, need = F.col(f"c{i}_n"), F.col(f"c{i}_n") * required_share
-        hits = {t: F.col(f"c{i}_{t}") for t in TYPE_PATTERNS}
-        kind = (F.when(n == 0, "string").when(hits["integer"] >= need, "integer")
-                .when(hits["integer"] + hits["decimal"] >= need, "decimal").when(hits["boolean"] >= need, "boolean")
-                .when(hits["date"] >= need, "date").when(hits["date"] + hits["timestamp"] >= need, "timestamp").otherwise("string"))
-        items.append(F.struct(F.lit(c).alias("column_name"), n.alias("values_seen"), kind.alias("inferred_type")))
-    return df.agg(*aggs).select(F.explode(F.array(*items)).alias("x")).select("x.*")
+        text, n, need = f"trim(`{c}`)", f"c{i}_n", f"c{i}_n * {required_share}D"
+        aggs.append(f"count_if({text} != '') AS {n}")
+        aggs += [f"count_if({text} RLIKE r'{p}') AS c{i}_{t}" for t, p in TYPE_PATTERNS.items()]
+        hit = {t: f"c{i}_{t}" for t in TYPE_PATTERNS}
+        kind = (f"CASE WHEN {n} = 0 THEN 'string' WHEN {hit['integer']} >= {need} THEN 'integer' WHEN {hit['integer']} + {hit['decimal']} >= {need} THEN 'decimal' "
+                f"WHEN {hit['boolean']} >= {need} THEN 'boolean' WHEN {hit['date']} >= {need} THEN 'date' WHEN {hit['date']} + {hit['timestamp']} >= {need} THEN 'timestamp' ELSE 'string' END")
+        fields.append(f"named_struct('column_name', '{c}', 'values_seen', {n}, 'inferred_type', {kind})")
+    return df.agg(*[F.expr(a) for a in aggs]).selectExpr(f"inline(array({', '.join(fields)}))")
 
 
 def schema_changes(old: DataFrame, new: DataFrame, *, keys: Sequence[str] = ("dataset", "column_name"),

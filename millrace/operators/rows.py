@@ -6,11 +6,12 @@ import re
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from millrace.operators.conditions import as_condition, case_when, operand
-from millrace.operators.ordering import as_sorts, sort_columns
+from millrace.operators.ordering import Sort, as_sorts, sort_columns
 from millrace.operators.sizing import row_hash
 
 # ------------------------------------------------------------------ filter and split
@@ -127,31 +128,30 @@ def limit(df: DataFrame, n: int, order_by=None) -> DataFrame:
 def dedup(df: DataFrame, keys: Sequence[str] = (), *, keep: str = "any", order_by=None, count_alias: str | None = None) -> DataFrame:
     """One row per key. ``keep`` = any | first | last (by ``order_by``).
 
-    The pick is an aggregate, so each map task already reduces its copies to one row per key and
-    a key holding a third of the table costs one row per task in the shuffle.
+    A key holding a third of the table stays cheap: for first and last Spark keeps one row per key
+    and map task before the shuffle (window group limit), and counting copies is an aggregate with
+    map-side combine.
     """
     keys = list(keys) or df.columns
     if keep == "any" and count_alias is None:
         return df.dropDuplicates(keys)
+    sorts = as_sorts(order_by) if order_by is not None else []
+    if keep == "last":
+        sorts = [Sort(s.column, "asc" if s.descending else "desc", "last" if s.nulls_first else "first") for s in sorts]
+    if count_alias is None:
+        spec = W.partitionBy(*keys).orderBy(*sort_columns(sorts))
+        return df.withColumn("__rn", F.row_number().over(spec)).filter("__rn = 1").drop("__rn")
     rest = [c for c in df.columns if c not in keys]
-    aggs = []
+    aggs = [F.count(F.lit(1)).alias(count_alias)]
     if rest:
         payload = F.struct(*rest)
-        if order_by is None:
-            pick = F.max(payload)
-        else:
-            sorts = as_sorts(order_by)
-            by = F.struct(*[F.col(s.column) for s in sorts])
-            descending = {s.descending for s in sorts}
-            if len(descending) > 1:
-                raise ValueError("dedup takes sort keys of one direction")
-            pick = F.min_by(payload, by) if (keep == "last") == descending.pop() else F.max_by(payload, by)
+        if len({s.descending for s in sorts}) > 1:
+            raise ValueError("dedup with a count takes sort keys of one direction")
+        by = F.struct(*[F.col(s.column) for s in sorts])
+        pick = F.max(payload) if not sorts else (F.max_by if sorts[0].descending else F.min_by)(payload, by)
         aggs.append(pick.alias("__row"))
-    if count_alias:
-        aggs.append(F.count(F.lit(1)).alias(count_alias))
     out = df.groupBy(*keys).agg(*aggs)
-    fields = [F.col(f"__row.{c}").alias(c) if c in rest else F.col(c) for c in df.columns]
-    return out.select(*fields, *([count_alias] if count_alias else []))
+    return out.select(*[F.col(f"__row.{c}").alias(c) if c in rest else F.col(c) for c in df.columns], count_alias)
 
 
 def fill_na(df: DataFrame, values) -> DataFrame:

@@ -28,6 +28,7 @@ from pyspark.sql.types import DataType
 
 from millrace.operators.ordering import Sort, as_sorts, sort_columns
 from millrace.operators.sizing import MAX_GROUP_ROWS, HotGroups, hot_groups
+from millrace.session import materialise
 
 UNBOUNDED = "unbounded"
 RANKING = {"row_number", "rank", "dense_rank", "percent_rank", "cume_dist", "ntile"}
@@ -37,6 +38,7 @@ PICKS = {"first", "last", "nth_value"}
 # Spellings accepted from configuration.
 ALIASES = {"first_value": "first", "last_value": "last", "mean": "avg"}
 MAX_CHUNKS = 512
+MAX_SUMMARY_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -96,12 +98,27 @@ def window(
     order_by=(),
     frame: Frame | None = None,
     max_group_rows: int | None = MAX_GROUP_ROWS,
+    counts_from: DataFrame | None = None,
+    stable_input: bool = False,
 ) -> DataFrame:
-    """Append window columns. ``max_group_rows=None`` skips the check: use it when the data model
-    bounds every group (the lines of one order), where one shuffle is all that is needed."""
+    """Append window columns.
+
+    ``max_group_rows=None`` skips the check: use it when the data model bounds every group (the
+    lines of one order), where one shuffle is all that is needed. ``counts_from`` names a cheaper
+    table whose groups are at least as large (the stored table behind an expensive ``df``); it is
+    counted first, and ``df`` itself only when that finds a large group. Hot inputs are read several
+    times, so they are written to the shared folder once; ``stable_input=True`` says that ``df`` is
+    a plain projection of stored tables, which is cheaper to scan again.
+    """
     keys, sorts = list(partition_by), as_sorts(order_by)
+    if not sorts and (frame is None or frame.whole) and all(f.name in AGGREGATES for f in functions):
+        return _totals(df, functions, keys)     # no order: aggregate and join, whatever the group sizes
     if max_group_rows is not None:
-        hot = hot_groups(df, keys, max_group_rows)
+        hot = hot_groups(df if counts_from is None else counts_from, keys, max_group_rows)
+        if hot.any:
+            df = df if stable_input else materialise(df, "window")
+            if counts_from is not None:
+                hot = hot_groups(df, keys, max_group_rows)
         if hot.any:
             return _split_window(df, list(functions), keys, sorts, frame, hot, max_group_rows)
     return _plain_window(df, functions, keys, sorts, frame)
@@ -248,7 +265,7 @@ def _split_window(df, functions, keys, sorts, frame, hot: HotGroups, max_rows: i
             # Frames open on one side only, with an offset on the other, are not decomposed.
             return _plain_window(df, functions, keys, sorts, frame)
     if total_fns:
-        df = _totals(df, total_fns, keys, hot)
+        df = _totals(df, total_fns, keys)
     if range_fns:
         df = _range_pass(df, range_fns, keys, sorts, frame, hot, max_rows)
     if chunk_fns or block_fns:
@@ -259,7 +276,7 @@ def _split_window(df, functions, keys, sorts, frame, hot: HotGroups, max_rows: i
     return df.select(*names, *[f.alias for f in functions])
 
 
-def _totals(df, functions, keys, hot: HotGroups) -> DataFrame:
+def _totals(df, functions, keys) -> DataFrame:
     """Whole-partition aggregates need no order: aggregate with map-side combine, then join."""
     types = {f.name: f.dataType for f in df.schema}
     aggs = [_call(f, types).alias(f.alias) for f in functions]
@@ -306,8 +323,9 @@ def _chunk_pass(df, functions, keys, sorts, frame, hot: HotGroups, max_rows) ->
             f = running[int(c.rsplit("_", 1)[1])]
             values[c + "_off"] = getattr(F, f.name)(c).over(earlier)
     offsets = summary.withColumns(values)
-    # One row per hot key and chunk, and the number of listed hot keys is capped: small by construction.
-    joined = _attach(chunked, offsets, keys, "__chunk", list(values), small=hot.count is not None)
+    # One row per hot key and chunk: small by construction when the hot keys are few.
+    few = hot.count is not None and hot.count * MAX_CHUNKS <= MAX_SUMMARY_ROWS
+    joined = _attach(chunked, offsets, keys, "__chunk", list(values), small=few)
 
     inside = W.partitionBy(*keys, "__chunk")
     ordered = inside.orderBy(*sort_columns(sorts))
@@ -453,14 +471,15 @@ def top_n(df: DataFrame, n: int, *, partition_by: Sequence[str], order_by, alias
 
 
 def sessionize(df: DataFrame, *, user: Sequence[str], ts: str, gap_seconds: int, tie_breaker: Sequence[str] = (),
-               alias: str = "session_no", max_group_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
+               alias: str = "session_no", **kw) -> DataFrame:
     """Number the sessions of each user; a gap longer than ``gap_seconds`` opens a new one."""
     order = [ts, *tie_breaker]
-    seen = window(df, [WindowFn("lag", "__prev", ts)], partition_by=user, order_by=order, max_group_rows=max_group_rows)
+    seen = window(df, [WindowFn("lag", "__prev", ts)], partition_by=user, order_by=order, **kw)
     gap = F.timestamp_diff("SECOND", F.col("__prev"), F.col(ts))
     flagged = seen.withColumn("__new", F.when(F.col("__prev").isNull() | (gap > gap_seconds), 1).otherwise(0))
-    return window(flagged, [WindowFn("sum", alias, "__new")], partition_by=user, order_by=order,
-                  frame=RUNNING_ROWS, max_group_rows=max_group_rows).drop("__prev", "__new")
+    # The second pass runs on a derived input: size it by the stored table, and fix it when hot.
+    again = {"counts_from": df, **kw, "stable_input": False}
+    return window(flagged, [WindowFn("sum", alias, "__new")], partition_by=user, order_by=order, frame=RUNNING_ROWS, **again).drop("__prev", "__new")
 
 
 def session_summary(df: DataFrame, *, user: Sequence[str], ts: str, gap_seconds: int, tie_breaker=(), **kw) -> DataFrame:

@@ -31,7 +31,7 @@ def customer_spend_ranking(t):
     joined = joins.join(spend, customers, [("o_custkey", "c_custkey")], "right").drop("o_custkey").filter("order_count IS NOT NULL")
     order = [("spend", "desc"), "c_custkey"]
     ranked = windows.window(joined, [WindowFn("rank", "spend_rank"), WindowFn("row_number", "row_num"), WindowFn("percent_rank", "pct"), WindowFn("sum", "cumulative", "spend")],
-                            partition_by=["c_nationkey"], order_by=order, frame=windows.RUNNING_ROWS)
+                            partition_by=["c_nationkey"], order_by=order, frame=windows.RUNNING_ROWS, counts_from=t.customer)
     return rows.derive(ranked, [("total_spend", "spend", "double"), ("avg_order_value", "total_spend / order_count"), ("cumulative_spend", "cumulative", "double"), ("is_top_10_pct", "pct <= 0.1")]).select(
         "c_custkey", "c_name", "c_nationkey", "tier", "total_spend", "order_count", day("last_order").alias("last_order_date"), "avg_order_value",
         F.col("spend_rank").cast("bigint").alias("spend_rank"), F.col("row_num").cast("bigint").alias("row_num"), "cumulative_spend", "is_top_10_pct")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions.recipe import RETURN_NULL, USE_DEFAULT, Recipe, Step, mapping_tree, run_recipes
+from millrace.operators.layout import spread_small_input
 from millrace.plans.registry import day, query, sql_day
 
 
@@ -107,7 +108,7 @@ SELECT doc_id, regexp_extract(text, '([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]
 def recipe_named_patterns(t):
     """Pattern templates over whole document texts."""
     names = ("email", "us_phone", "url", "date", "in_parentheses", "capitals")
-    return run_recipes(t.documents.select("doc_id", "text"), [Recipe(n, "text", [Step("regex_extract", {"template": n})]) for n in names]).drop("text")
+    return run_recipes(spread_small_input(t.documents.select("doc_id", "text")), [Recipe(n, "text", [Step("regex_extract", {"template": n})]) for n in names]).drop("text")
 
 
 @query("R20", "R21", "R22", "R28", "R31", sql="""

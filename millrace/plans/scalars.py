@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import scalars as s
+from millrace.operators.layout import spread_small_input
 from millrace.plans.registry import day, query, sql_day
 
 
@@ -185,7 +186,7 @@ def text_assembly(t):
 SELECT doc_id, regexp_matches(text, '\b[Tt]he\b') AS has_the, regexp_extract(text, '(\w+)@(\w+)', 2) AS at_host, CAST(len(regexp_extract_all(text, '[0-9]+')) AS INTEGER) AS numbers, md5(regexp_replace(text, '[0-9]+', '#', 'g')) AS masked, md5(array_to_string(regexp_extract_all(text, '[0-9]+'), ',')) AS listed FROM documents""")
 def regular_expressions(t):
     x = F.col("text")
-    return t.documents.select("doc_id", x.rlike(r"\b[Tt]he\b").alias("has_the"), F.regexp_extract(x, r"(\w+)@(\w+)", 2).alias("at_host"), F.regexp_count(x, F.lit("[0-9]+")).alias("numbers"), F.md5(F.regexp_replace(x, "[0-9]+", "#")).alias("masked"),
+    return spread_small_input(t.documents.select("doc_id", "text")).select("doc_id", x.rlike(r"\b[Tt]he\b").alias("has_the"), F.regexp_extract(x, r"(\w+)@(\w+)", 2).alias("at_host"), F.regexp_count(x, F.lit("[0-9]+")).alias("numbers"), F.md5(F.regexp_replace(x, "[0-9]+", "#")).alias("masked"),
                               F.md5(F.array_join(F.regexp_extract_all(x, F.lit("([0-9]+)"), F.lit(1)), ",")).alias("listed"))
 
 

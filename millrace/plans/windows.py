@@ -9,6 +9,8 @@ from millrace.operators.merge import surrogate_key
 from millrace.operators.windows import Frame, WindowFn
 from millrace.plans.registry import money, query
 
+STORED = {"stable_input": True}      # the input is a projection of a stored table
+
 
 def _orders(t):
     return t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", money("o_totalprice").alias("price"))
@@ -18,7 +20,7 @@ def _orders(t):
 SELECT o_orderkey, rank() OVER w AS rk, dense_rank() OVER w AS dr, percent_rank() OVER w AS pr, cume_dist() OVER w AS cd FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderdate DESC)""")
 def rankings_with_ties(t):
     out = windows.window(t.orders, [WindowFn("rank", "rk"), WindowFn("dense_rank", "dr"), WindowFn("percent_rank", "pr"), WindowFn("cume_dist", "cd")],
-                         partition_by=["o_orderpriority"], order_by=[("o_orderdate", "desc")])
+                         partition_by=["o_orderpriority"], order_by=[("o_orderdate", "desc")], **STORED)
     return out.select("o_orderkey", F.col("rk").cast("bigint").alias("rk"), F.col("dr").cast("bigint").alias("dr"), "pr", "cd")
 
 
@@ -26,7 +28,7 @@ def rankings_with_ties(t):
 SELECT o_orderkey, row_number() OVER w AS rn, CAST(ntile(4) OVER w AS BIGINT) AS quartile, CAST(ntile(7) OVER w AS BIGINT) AS seventh FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_totalprice, o_orderkey)""")
 def row_numbers_and_tiles(t):
     out = windows.window(t.orders, [WindowFn("row_number", "rn"), WindowFn("ntile", "quartile"), WindowFn("ntile", "seventh", n=7)],
-                         partition_by=["o_orderstatus"], order_by=["o_totalprice", "o_orderkey"])
+                         partition_by=["o_orderstatus"], order_by=["o_totalprice", "o_orderkey"], **STORED)
     return out.select("o_orderkey", *[F.col(c).cast("bigint").alias(c) for c in ("rn", "quartile", "seventh")])
 
 
@@ -34,7 +36,7 @@ def row_numbers_and_tiles(t):
 SELECT event_id, lag(value) OVER w AS prev_value, lead(event_type, 2, 'none') OVER w AS second_next, lag(value, 1, 0.0) OVER w AS prev_or_zero FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def offsets_with_defaults(t):
     fns = [WindowFn("lag", "prev_value", "value"), WindowFn("lead", "second_next", "event_type", offset=2, default="none"), WindowFn("lag", "prev_or_zero", "value", default="0.0")]
-    return windows.window(t.events, fns, partition_by=["user_id"], order_by=["ts", "event_id"]).select("event_id", "prev_value", "second_next", "prev_or_zero")
+    return windows.window(t.events, fns, partition_by=["user_id"], order_by=["ts", "event_id"], **STORED).select("event_id", "prev_value", "second_next", "prev_or_zero")
 
 
 @query("W2", "W5", "D-W1", sql="""
@@ -42,14 +44,14 @@ SELECT o_orderkey, CAST(SUM(CAST(o_totalprice AS DECIMAL(15,2))) OVER w AS DOUBL
 WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def running_rows(t):
     fns = [WindowFn("sum", "running", "price"), WindowFn("count", "n"), WindowFn("min", "low", "price"), WindowFn("max", "high", "price")]
-    out = windows.window(_orders(t), fns, partition_by=["o_custkey"], order_by=["o_orderdate", "o_orderkey"], frame=windows.RUNNING_ROWS)
+    out = windows.window(_orders(t), fns, partition_by=["o_custkey"], order_by=["o_orderdate", "o_orderkey"], frame=windows.RUNNING_ROWS, **STORED)
     return out.select("o_orderkey", "n", *[F.col(c).cast("double").alias(c) for c in ("running", "low", "high")])
 
 
 @query("W2", "W5", sql="""
 SELECT o_orderkey, CAST(SUM(CAST(o_totalprice AS DECIMAL(15,2))) OVER w AS DOUBLE) AS upto_day, COUNT(*) OVER w AS orders FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_orderdate)""")
 def running_range_with_peers(t):
-    out = windows.window(_orders(t), [WindowFn("sum", "upto_day", "price"), WindowFn("count", "orders")], partition_by=["o_orderstatus"], order_by=["o_orderdate"], frame=windows.RUNNING_RANGE)
+    out = windows.window(_orders(t), [WindowFn("sum", "upto_day", "price"), WindowFn("count", "orders")], partition_by=["o_orderstatus"], order_by=["o_orderdate"], frame=windows.RUNNING_RANGE, **STORED)
     return out.select("o_orderkey", F.col("upto_day").cast("double").alias("upto_day"), "orders")
 
 
@@ -58,7 +60,7 @@ SELECT event_id, CAST(SUM(CAST(value AS DECIMAL(15,2))) OVER w AS DOUBLE) / COUN
 WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)""")
 def moving_seven_rows(t):
     df = t.events.withColumn("v", money("value"))
-    out = windows.moving(df, [WindowFn("sum", "moving_sum", "v"), WindowFn("count", "n"), WindowFn("min", "moving_min", "value")], 7, partition_by=["event_type"], order_by=["ts", "event_id"])
+    out = windows.moving(df, [WindowFn("sum", "moving_sum", "v"), WindowFn("count", "n"), WindowFn("min", "moving_min", "value")], 7, partition_by=["event_type"], order_by=["ts", "event_id"], **STORED)
     return out.select("event_id", (F.col("moving_sum").cast("double") / F.col("n")).alias("moving_avg"), F.col("moving_sum").cast("double").alias("moving_sum"), "moving_min")
 
 
@@ -67,7 +69,7 @@ SELECT o_orderkey, CAST(SUM(CAST(o_totalprice AS DECIMAL(15,2))) OVER w AS DOUBL
 WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_custkey RANGE BETWEEN 5 PRECEDING AND 2 FOLLOWING)""")
 def sliding_range(t):
     df = t.orders.select("o_orderkey", "o_orderpriority", "o_custkey", money("o_totalprice").alias("price"))
-    out = windows.window(df, [WindowFn("sum", "around", "price"), WindowFn("count", "n")], partition_by=["o_orderpriority"], order_by=["o_custkey"], frame=Frame("range", -5, 2))
+    out = windows.window(df, [WindowFn("sum", "around", "price"), WindowFn("count", "n")], partition_by=["o_orderpriority"], order_by=["o_custkey"], frame=Frame("range", -5, 2), **STORED)
     return out.select("o_orderkey", F.col("around").cast("double").alias("around"), "n")
 
 
@@ -75,7 +77,7 @@ def sliding_range(t):
 SELECT c_custkey, CAST(SUM(CAST(c_acctbal AS DECIMAL(15,2))) OVER w AS DOUBLE) AS nation_total, COUNT(*) OVER w AS n, MAX(c_acctbal) OVER w AS best FROM customer WINDOW w AS (PARTITION BY c_nationkey)""")
 def whole_partition_totals(t):
     df = t.customer.withColumn("b", money("c_acctbal"))
-    out = windows.window(df, [WindowFn("sum", "nation_total", "b"), WindowFn("count", "n"), WindowFn("max", "best", "c_acctbal")], partition_by=["c_nationkey"])
+    out = windows.window(df, [WindowFn("sum", "nation_total", "b"), WindowFn("count", "n"), WindowFn("max", "best", "c_acctbal")], partition_by=["c_nationkey"], **STORED)
     return out.select("c_custkey", F.col("nation_total").cast("double").alias("nation_total"), "n", "best")
 
 
@@ -85,7 +87,7 @@ WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED P
 def first_last_value(t):
     df = t.events.withColumn("purchase", F.when(F.col("event_type") == "purchase", F.col("value")))
     out = windows.window(df, [WindowFn("FIRST_VALUE", "first_purchase", "purchase"), WindowFn("LAST_VALUE", "last_purchase", "purchase")],
-                         partition_by=["user_id"], order_by=["ts", "event_id"], frame=windows.RUNNING_ROWS)
+                         partition_by=["user_id"], order_by=["ts", "event_id"], frame=windows.RUNNING_ROWS, **STORED)
     return out.select("event_id", "first_purchase", "last_purchase")
 
 
@@ -93,7 +95,7 @@ def first_last_value(t):
 SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY nullif(o_orderpriority, '5-LOW') DESC NULLS FIRST, o_orderkey) AS rn FROM orders""")
 def window_null_order(t):
     df = t.orders.withColumn("p", F.nullif("o_orderpriority", F.lit("5-LOW")))
-    out = windows.window(df, [WindowFn("row_number", "rn")], partition_by=["o_orderstatus"], order_by=[("p", "desc", "first"), "o_orderkey"])
+    out = windows.window(df, [WindowFn("row_number", "rn")], partition_by=["o_orderstatus"], order_by=[("p", "desc", "first"), "o_orderkey"], **STORED)
     return out.select("o_orderkey", F.col("rn").cast("bigint").alias("rn"))
 
 
@@ -109,14 +111,14 @@ SELECT event_id, COUNT(*) OVER w AS n, CAST(SUM(CAST(value AS DECIMAL(15,2))) OV
 def seven_day_range(t):
     """Seven days as a range over epoch microseconds."""
     df = t.events.select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), money("value").alias("v"))
-    out = windows.window(df, [WindowFn("count", "n"), WindowFn("sum", "spent", "v")], partition_by=["user_id"], order_by=["at"], frame=Frame("range", -7 * 86_400_000_000, 0))
+    out = windows.window(df, [WindowFn("count", "n"), WindowFn("sum", "spent", "v")], partition_by=["user_id"], order_by=["at"], frame=Frame("range", -7 * 86_400_000_000, 0), **STORED)
     return out.select("event_id", "n", F.col("spent").cast("double").alias("spent"))
 
 
 @query("D-W4", sql="""
 SELECT o_orderkey, nth_value(o_totalprice, 2) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second_price FROM orders""")
 def nth_value_per_customer(t):
-    out = windows.window(t.orders, [WindowFn("nth_value", "second_price", "o_totalprice", offset=2)], partition_by=["o_custkey"], order_by=["o_orderdate", "o_orderkey"], frame=windows.WHOLE)
+    out = windows.window(t.orders, [WindowFn("nth_value", "second_price", "o_totalprice", offset=2)], partition_by=["o_custkey"], order_by=["o_orderdate", "o_orderkey"], frame=windows.WHOLE, **STORED)
     return out.select("o_orderkey", "second_price")
 
 
@@ -133,19 +135,19 @@ WITH f AS (SELECT *, CASE WHEN date_diff('microsecond', lag(ts) OVER w, ts) // 1
 s AS (SELECT *, SUM(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session_no FROM f)
 SELECT user_id, CAST(session_no AS BIGINT) AS session_no, CAST(MIN(ts) AS VARCHAR) AS session_start, COUNT(*) AS events, date_diff('microsecond', MIN(ts), MAX(ts)) // 1000000 AS duration_s FROM s GROUP BY 1, 2""")
 def sessions_by_gap(t):
-    out = windows.session_summary(t.events, user=["user_id"], ts="ts", gap_seconds=4 * 3600, tie_breaker=["event_id"])
+    out = windows.session_summary(t.events, user=["user_id"], ts="ts", gap_seconds=4 * 3600, tie_breaker=["event_id"], **STORED)
     return out.select("user_id", "session_no", F.col("session_start").cast("string").alias("session_start"), "events", "duration_s")
 
 
 @query("M4", sql="SELECT event_id, 1000 + 10 * (row_number() OVER (ORDER BY ts, event_id) - 1) AS sk FROM events")
 def surrogate_row_number(t):
     """Gap-free keys over the whole table with start and increment."""
-    return surrogate_key(t.events, "sk", "row_number", order_by=["ts", "event_id"], start=1000, increment=10).select("event_id", "sk")
+    return surrogate_key(t.events, "sk", "row_number", order_by=["ts", "event_id"], start=1000, increment=10, **STORED).select("event_id", "sk")
 
 
 @query("F31", sql="SELECT event_id, CAST(ntile(10) OVER (ORDER BY value, event_id) AS BIGINT) AS decile FROM events")
 def buckets_equal_frequency(t):
-    return scaling.bucket_equal_frequency(t.events, ["value", "event_id"], 10, "decile").select("event_id", F.col("decile").cast("bigint").alias("decile"))
+    return scaling.bucket_equal_frequency(t.events, ["value", "event_id"], 10, "decile", **STORED).select("event_id", F.col("decile").cast("bigint").alias("decile"))
 
 
 @query("F31", sql="""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -16,6 +17,9 @@ DEFAULTS = {
     "spark.sql.ansi.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Keeps collect_list/collect_set and percentile sketches in hash maps for more keys per task
+    # before they fall back to sorting.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "8192",
 }
 
 
@@ -35,11 +39,12 @@ def local_session(app: str = "millrace", cpus: int | str = "*", shuffle_partitio
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a local one is made only where that is unset."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    local = tempfile.mkdtemp(prefix="millrace-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    return configured.rstrip("/") if configured else _local_dir()
+
+
+@cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="millrace-")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -11,10 +11,10 @@ from millrace.operators.sizing import row_hash
 
 MODES = {"overwrite", "append", "ignore", "error"}
 # Codecs each built-in format accepts (fixed values).
+TEXT_CODECS = ("none", "bzip2", "gzip", "lz4", "snappy", "deflate")
 CODECS = {
-    "parquet": ("none", "snappy", "gzip", "zstd", "lz4"), "orc": ("none", "snappy", "zlib", "zstd", "lz4"),
-    "csv": ("none", "gzip", "bzip2", "deflate"), "json": ("none", "gzip", "bzip2", "deflate"), "text": ("none", "gzip", "bzip2", "deflate"),
-    "xml": ("none", "gzip", "bzip2", "deflate"),
+    "parquet": ("none", "uncompressed", "snappy", "gzip", "lzo", "brotli", "lz4", "zstd"), "orc": ("none", "zlib", "snappy", "lzo", "lz4", "zstd"),
+    "csv": TEXT_CODECS, "json": TEXT_CODECS, "text": TEXT_CODECS, "xml": TEXT_CODECS, "avro": ("uncompressed", "snappy", "deflate", "bzip2"),
 }
 
 

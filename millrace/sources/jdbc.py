@@ -19,6 +19,8 @@ VENDORS = {
     "greenplum": ("jdbc:pivotal:greenplum:", "com.pivotal.jdbc.GreenplumDriver", 5432),
     "sybase": ("jdbc:sybase:", "com.sybase.jdbc4.jdbc.SybDriver", 5000),
 }
+# Further drivers known by URL (fixed values).
+OTHER_DRIVERS = {"jdbc:redshift:": "com.amazon.redshift.jdbc42.Driver", "jdbc:snowflake:": "net.snowflake.client.jdbc.SnowflakeDriver"}
 
 
 def jdbc_url(vendor: str, host: str, database: str, port: int | None = None) -> str:
@@ -38,7 +40,8 @@ def jdbc_url(vendor: str, host: str, database: str, port: int | None = None) ->
 
 
 def driver_for(url: str) -> str | None:
-    return next((driver for prefix, driver, _ in VENDORS.values() if url.startswith(prefix)), None)
+    known = {prefix: driver for prefix, driver, _ in VENDORS.values()} | OTHER_DRIVERS
+    return next((driver for prefix, driver in known.items() if url.lower().startswith(prefix)), None)
 
 
 def jdbc_options(url: str, *, table: str | None = None, query: str | None = None, mode: str = "FULL", watermark: tuple[str, object] | None = None,

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import re
 
-# Token letters and the characters they stand for (fixed values).
+# Token letters and the number of characters each stands for; 0 means any number (fixed values).
 TOKEN_WIDTHS = {
-    "YYYY": 4, "YY": 2, "MON": 3, "MM": 2, "DDD": 3, "DD": 2, "HH24": 2, "HH12": 2, "HH": 2, "MI": 2, "SS": 2,
+    "YYYY": 4, "YYY": 3, "YY": 2, "MONTH": 0, "MON": 3, "MM": 2, "DDD": 3, "DD": 2, "HH24": 2, "HH12": 2, "HH": 2, "MI": 2, "SS": 2,
     "FF9": 9, "FF6": 6, "FF3": 3, "FF2": 2, "FF1": 1, "Q": 1,
 }
 _TOKENS = re.compile("|".join(sorted(TOKEN_WIDTHS, key=len, reverse=True)))
@@ -19,7 +19,7 @@ def token_glob(token: str) -> str:
         return "*"
     out, at = [], 0
     for m in _TOKENS.finditer(text):
-        out += [text[at:m.start()], "?" * TOKEN_WIDTHS[m.group()]]
+        out += [text[at:m.start()], "?" * TOKEN_WIDTHS[m.group()] or "*"]
         at = m.end()
     out.append(text[at:])
     return re.sub(r"[A-Z0-9]+", "*", "".join(out)) if re.search("[A-Z]", "".join(out)) else "".join(out)
