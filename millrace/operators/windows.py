@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType
+from pyspark.sql.types import ArrayType, DataType, StructField, StructType
 
 from millrace.operators.ordering import Sort, as_sorts, sort_columns
 from millrace.operators.sizing import MAX_GROUP_ROWS, HotGroups, hot_groups
@@ -37,8 +37,9 @@ AGGREGATES = {"sum", "avg", "min", "max", "count"}
 PICKS = {"first", "last", "nth_value"}
 # Spellings accepted from configuration.
 ALIASES = {"first_value": "first", "last_value": "last", "mean": "avg"}
-MAX_CHUNKS = 512
-MAX_SUMMARY_ROWS = 100_000
+MAX_CHUNKS = 8192
+SAMPLES_PER_CHUNK = 20
+MAX_SUMMARY_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -175,48 +176,53 @@ def _typed(value, data_type: DataType | None):
 # ------------------------------------------------------------------ cutting along the order
 
 
-def _before(sorts: Sequence[Sort], bound: tuple, types: dict[str, DataType]) -> Column:
-    """True when a row sorts strictly before ``bound``."""
-    result = F.lit(False)
-    for s, value in reversed(list(zip(sorts, bound))):
-        c, b = F.col(s.column), F.lit(value).cast(types[s.column])
-        if value is None:
-            less = F.lit(False) if s.nulls_first else c.isNotNull()
-        else:
-            less = F.coalesce(c > b if s.descending else c < b, F.lit(False))
-            if s.nulls_first:
-                less = less | c.isNull()
-        result = less | (c.eqNullSafe(b) & result)
-    return result
-
-
-def _tree(sorts, bounds, types, low: int, high: int) -> Column:
-    """Binary search over the boundaries as nested CASE: about log2(n) comparisons per row."""
-    if low == high:
-        return F.lit(low + 1)
-    mid = (low + high) // 2
-    return F.when(_before(sorts, bounds[mid], types), _tree(sorts, bounds, types, low, mid)).otherwise(
-        _tree(sorts, bounds, types, mid + 1, high)
-    )
-
-
-def sampled_bounds(df: DataFrame, sorts: Sequence[Sort], rows: int, chunks: int) -> list[tuple]:
-    """Sort-key values that cut ``df`` into about ``chunks`` equal parts, from a bounded sample."""
-    wanted = chunks * 40
+@dataclass(frozen=True)
+class Bounds:
+    """Sorted sort-key values between the chunks, held as one array literal."""
+
+    sorts: Sequence[Sort]
+    values: Column
+    count: int
+
+    def _not_before(self, keys: Sequence[Column], bound: Column) -> Column:
+        """True when a row with these sort keys sorts at or after ``bound``."""
+        before = F.lit(False)
+        for i, (s, c) in reversed(list(enumerate(zip(self.sorts, keys)))):
+            b = bound[f"k{i}"]
+            smaller = F.coalesce(c > b if s.descending else c < b, F.lit(False))
+            missing = (c.isNull() & b.isNotNull()) if s.nulls_first else (c.isNotNull() & b.isNull())
+            before = smaller | missing | (c.eqNullSafe(b) & before)
+        return ~before
+
+    def chunk(self, keys: Sequence[Column]) -> Column:
+        """1 + the number of bounds at or before the row: a binary search of log2(count) steps, so
+        that thousands of bounds cost neither generated code nor comparisons."""
+        if not self.count:
+            return F.lit(1)
+        steps = [2 ** e for e in reversed(range(self.count.bit_length()))]
+
+        def advance(at: Column, step: Column) -> Column:
+            fits = at + step <= self.count
+            return at + F.when(fits & self._not_before(keys, F.get(self.values, F.least(at + step, F.lit(self.count)) - 1)), step).otherwise(0)
+
+        return F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), advance) + 1
+
+
+def sampled_bounds(df: DataFrame, sorts: Sequence[Sort], rows: int, chunks: int) -> Bounds:
+    """Sort-key values that cut ``df`` into about ``chunks`` equal parts, from a bounded sample.
+    They travel as JSON text: rounding there would only shift a border, never break the order."""
+    wanted = chunks * SAMPLES_PER_CHUNK
     fraction = min(1.0, wanted / max(rows, 1))
     names = list(dict.fromkeys(s.column for s in sorts))
     sample = df.select(*names).sample(fraction, seed=11) if fraction < 1.0 else df.select(*names)
-    ordered = sample.orderBy(*sort_columns(sorts)).limit(wanted * 4).collect()
-    if not ordered:
-        return []
+    key = F.struct(*[F.col(s.column).alias(f"k{i}") for i, s in enumerate(sorts)])
+    text = F.to_json(key, {"ignoreNullFields": "false"})
+    ordered = [r["j"] for r in sample.orderBy(*sort_columns(sorts)).limit(wanted * 4).select(text.alias("j")).collect()]
     step = max(1, len(ordered) // chunks)
-    picked = [tuple(r[s.column] for s in sorts) for r in ordered[step::step]]
-    return list(dict.fromkeys(picked))[: chunks - 1]
-
-
-def _order_chunk(df: DataFrame, sorts, bounds) -> Column:
+    picked = list(dict.fromkeys(ordered[step::step]))[: chunks - 1]
     types = {f.name: f.dataType for f in df.schema}
-    return _tree(sorts, bounds, types, 0, len(bounds)) if bounds else F.lit(1)
+    kind = ArrayType(StructType([StructField(f"k{i}", types[s.column]) for i, s in enumerate(sorts)]))
+    return Bounds(sorts, F.from_json(F.lit("[" + ",".join(picked) + "]"), kind), len(picked))
 
 
 def _flag_hot(df: DataFrame, keys, hot: HotGroups) -> DataFrame:
@@ -291,12 +297,11 @@ def _totals(df, functions, keys) -> DataFrame:
 
 def _chunk_pass(df, functions, keys, sorts, frame, hot: HotGroups, max_rows) -> DataFrame:
     names = df.columns
-    types = {f.name: f.dataType for f in df.schema}
     flagged = _flag_hot(df, keys, hot)
     chunks = max(2, min(MAX_CHUNKS, -(-2 * hot.rows // max_rows)))
     hot_only = flagged.filter("__hot") if keys else df
     bounds = sampled_bounds(hot_only, sorts, hot.rows, chunks)
-    chunked = flagged.withColumn("__chunk", F.when(F.col("__hot"), _order_chunk(df, sorts, bounds)).otherwise(F.lit(0)))
+    chunked = flagged.withColumn("__chunk", F.when(F.col("__hot"), bounds.chunk([F.col(s.column) for s in sorts])).otherwise(F.lit(0)))
 
     needs_total = any(f.name in ("percent_rank", "cume_dist", "ntile") for f in functions)
     running = [f for f in functions if f.name in AGGREGATES]
@@ -324,7 +329,7 @@ def _chunk_pass(df, functions, keys, sorts, frame, hot: HotGroups, max_rows) ->
             values[c + "_off"] = getattr(F, f.name)(c).over(earlier)
     offsets = summary.withColumns(values)
     # One row per hot key and chunk: small by construction when the hot keys are few.
-    few = hot.count is not None and hot.count * MAX_CHUNKS <= MAX_SUMMARY_ROWS
+    few = hot.count is not None and hot.count * chunks <= MAX_SUMMARY_ROWS
     joined = _attach(chunked, offsets, keys, "__chunk", list(values), small=few)
 
     inside = W.partitionBy(*keys, "__chunk")
@@ -435,14 +440,10 @@ def _range_pass(df, functions, keys, sorts, frame, hot: HotGroups, max_rows) ->
     bounds = sampled_bounds(flagged.filter("__hot") if keys else df, [s], hot.rows, chunks)
 
     def chunk_at(shift):
-        moved = {s.column: F.col(s.column) + F.lit(shift).cast(types[s.column])} if shift else {}
-        tree = _tree([s], bounds, types, 0, len(bounds)) if bounds else F.lit(1)
-        return moved, F.when(F.col("__hot"), tree).otherwise(F.lit(0))
-
-    work = flagged.withColumn("__v", F.col(s.column))
-    for label, shift in (("__own", 0), ("__from", -sign * frame.end), ("__to", -sign * frame.start)):
-        moved, chunk = chunk_at(shift)
-        work = work.withColumns(moved).withColumn(label, chunk).withColumn(s.column, F.col("__v"))
+        value = F.col(s.column) + F.lit(shift).cast(types[s.column]) if shift else F.col(s.column)
+        return F.when(F.col("__hot"), bounds.chunk([value])).otherwise(F.lit(0))
+
+    work = flagged.withColumns({"__own": chunk_at(0), "__from": chunk_at(-sign * frame.end), "__to": chunk_at(-sign * frame.start)})
     reach = F.sequence(F.least("__from", "__to", "__own"), F.greatest("__from", "__to", "__own"))
     spread = work.withColumn("__chunk", F.explode(reach))
     framed = frame.apply(W.partitionBy(*keys, "__chunk").orderBy(*sort_columns(sorts)))
