@@ -361,31 +361,39 @@ _RANKS = ("rank", "dense_rank", "row_number")
 
 def run_recipes(df: DataFrame, recipes: Sequence[Recipe], *, cache: bool = False) -> DataFrame:
     """Apply enabled recipes in order; a later one may read the output of an earlier one.
-    An unknown step is skipped with a warning."""
+    Recipes that do not look at each other share one projection. An unknown step is skipped with
+    a warning."""
+    pending: dict[str, Column] = {}
+
+    def flush() -> DataFrame:
+        done = df.withColumns(pending) if pending else df
+        pending.clear()
+        return done
+
     for r in (r for r in recipes if r.enabled):
+        if r.source in pending or r.output in pending:
+            df = flush()
         value, landed = F.col(r.source), False
         for s in (s for s in r.steps if s.enabled):
-            if s.type in _RANKS:
-                df, value, landed = _land(df, r.output, value, landed or r.source == r.output)
-                df = _ranked(df, r.output, s)
-                value, landed = F.col(r.output), True
-                continue
+            ranked = s.type in _RANKS
             kind = _KINDS.get(s.type)
-            if kind is None:
+            if kind is None and not ranked:
                 warnings.warn(f"recipe {r.output}: unknown step {s.type!r} skipped", stacklevel=2)
                 continue
-            if kind.names_columns:
-                df, value, landed = _land(df, r.output, value, landed)
+            if (ranked or kind.names_columns) and not landed:
+                pending[r.output] = value
+                df = flush()
+                value = F.col(r.output)
+            if ranked:
+                df, landed = _ranked(df, r.output, s), True
+                continue
             value = _guarded(kind.build(value, s.params, s.on_error != FAIL), s)
             landed = False
-        df = df.withColumn(r.output, value)
+        pending[r.output] = value
+    df = flush()
     return df.persist() if cache else df
 
 
-def _land(df, output, value, landed):
-    return (df, value, True) if landed else (df.withColumn(output, value), F.col(output), True)
-
-
 def _guarded(value: Column, s: Step) -> Column:
     return F.coalesce(value, F.lit(s.default)) if s.on_error == USE_DEFAULT and s.default is not None else value
 

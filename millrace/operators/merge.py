@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.operators.aggregates import latest_per_key
@@ -20,11 +21,12 @@ def unique_source(source: DataFrame, keys: Sequence[str], latest_by: Sequence[st
     """One row per key: the latest by ``latest_by``, or an error at run time when a key repeats."""
     if latest_by:
         return latest_per_key(source, keys, latest_by).select(*source.columns)
-    rest = [c for c in source.columns if c not in keys]
-    grouped = source.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("__row"), F.count(F.lit(1)).alias("__n"))
+    # Numbering by key uses the same partitioning and order as the join that follows: no extra
+    # shuffle or sort, and no buffering of a repeated key.
+    spec = W.partitionBy(*keys).orderBy(*keys)
     message = F.concat(F.lit("several source rows for key "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]))
-    row = F.when(F.col("__n") > 1, F.raise_error(message)).otherwise(F.col("__row"))
-    return grouped.withColumn("__row", row).select(*[F.col(f"__row.{c}").alias(c) if c in rest else c for c in source.columns])
+    single = F.when(F.col("__rn") > 1, F.raise_error(message)).otherwise(F.lit(True))
+    return source.withColumn("__rn", F.row_number().over(spec)).filter(single).drop("__rn")
 
 
 def _changed(columns: Sequence[str], a: str, b: str) -> Column:

@@ -73,8 +73,11 @@ def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) ->
 
 
 def duplicate_rows(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Counts of duplicated keys (or rows): groups with copies and surplus rows."""
-    counts = df.groupBy(*(keys or df.columns)).agg(F.count(F.lit(1)).alias("n"))
+    """Counts of duplicated keys (or rows): groups with copies and surplus rows. Text is grouped by
+    its SHA-256, so long texts are not shuffled, and copies combine before the shuffle."""
+    types = {f.name: f.dataType for f in df.schema}
+    by = [F.sha2(F.col(c), 256).alias(c) if isinstance(types[c], StringType) else F.col(c) for c in (keys or df.columns)]
+    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     return counts.agg(F.count_if(F.col("n") > 1).alias("duplicated_keys"),
                       F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("surplus_rows"))
 

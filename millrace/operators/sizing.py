@@ -41,13 +41,17 @@ class HotGroups:
         return self.count is None or self.count > 0
 
 
-def hot_groups(df: DataFrame, keys: Sequence[str], max_rows: int = MAX_GROUP_ROWS) -> HotGroups:
+def hot_groups(df: DataFrame, keys: Sequence[str], max_rows: int = MAX_GROUP_ROWS, *, screen: bool = False) -> HotGroups:
     """Find the groups above ``max_rows``.
 
     Counting combines on the map side, so a dominant key costs one partial row per task. At most
     ``MAX_LISTED_GROUPS`` keys are listed on the driver; beyond that the keys stay a DataFrame.
+    ``screen`` counts all rows first, which file footers answer for a stored table: when the whole
+    table fits, no group can be too large.
     """
     spark = df.sparkSession
+    if screen and keys and df.count() <= max_rows:
+        return HotGroups(df.select(*keys).limit(0), 0, 0)
     if not keys:
         n = df.count()
         return HotGroups(spark.range(1).select(), 1 if n > max_rows else 0, n)

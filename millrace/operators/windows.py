@@ -115,7 +115,7 @@ def window(
     if not sorts and (frame is None or frame.whole) and all(f.name in AGGREGATES for f in functions):
         return _totals(df, functions, keys)     # no order: aggregate and join, whatever the group sizes
     if max_group_rows is not None:
-        hot = hot_groups(df if counts_from is None else counts_from, keys, max_group_rows)
+        hot = hot_groups(df if counts_from is None else counts_from, keys, max_group_rows, screen=stable_input or counts_from is not None)
         if hot.any:
             df = df if stable_input else materialise(df, "window")
             if counts_from is not None:
