@@ -163,14 +163,16 @@ def skewness_kurtosis(t):
 
 
 @query("D-A2", sql="""
-SELECT o_orderstatus, quantile_cont(o_totalprice, 0.25) AS q1, median(o_totalprice) AS med, quantile_cont(o_totalprice, 0.9) AS p90 FROM orders GROUP BY o_orderstatus""")
+SELECT o_orderstatus, round(quantile_cont(o_totalprice, 0.25), 6) AS q1, round(median(o_totalprice), 6) AS med, round(quantile_cont(o_totalprice, 0.9), 6) AS p90 FROM orders GROUP BY o_orderstatus""")
 def percentiles_exact(t):
-    return agg.exact_percentiles(t.orders, ["o_orderstatus"], "o_totalprice", {"q1": 0.25, "med": 0.5, "p90": 0.9})
+    out = agg.exact_percentiles(t.orders, ["o_orderstatus"], "o_totalprice", {"q1": 0.25, "med": 0.5, "p90": 0.9})
+    return out.withColumns({c: F.round(c, 6) for c in ("q1", "med", "p90")})
 
 
-@query("D-A2", sql="SELECT quantile_cont(l_extendedprice, 0.5) AS med, quantile_cont(l_extendedprice, 0.99) AS p99 FROM lineitem")
+@query("D-A2", sql="SELECT round(quantile_cont(l_extendedprice, 0.5), 6) AS med, round(quantile_cont(l_extendedprice, 0.99), 6) AS p99 FROM lineitem")
 def percentiles_exact_global(t):
-    return agg.exact_percentiles(t.lineitem, [], "l_extendedprice", {"med": 0.5, "p99": 0.99})
+    out = agg.exact_percentiles(t.lineitem, [], "l_extendedprice", {"med": 0.5, "p99": 0.99})
+    return out.withColumns({c: F.round(c, 6) for c in ("med", "p99")})
 
 
 @query("D-A2", "F28", sql="SELECT event_type, true AS median_close, true AS p90_close FROM events GROUP BY event_type")

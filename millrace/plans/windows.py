@@ -122,12 +122,12 @@ def nth_value_per_customer(t):
     return out.select("o_orderkey", "second_price")
 
 
-@query("D-W4", sql="SELECT o_orderkey, o_totalprice - median(o_totalprice) OVER (PARTITION BY o_orderpriority) AS from_median FROM orders")
+@query("D-W4", sql="SELECT o_orderkey, round(o_totalprice - median(o_totalprice) OVER (PARTITION BY o_orderpriority), 6) AS from_median FROM orders")
 def median_over_partition(t):
     """The exact median per group, joined back."""
     from millrace.operators.aggregates import exact_percentiles
     m = exact_percentiles(t.orders, ["o_orderpriority"], "o_totalprice", {"med": 0.5})
-    return t.orders.join(m, "o_orderpriority").select("o_orderkey", (F.col("o_totalprice") - F.col("med")).alias("from_median"))
+    return t.orders.join(m, "o_orderpriority").select("o_orderkey", F.round(F.col("o_totalprice") - F.col("med"), 6).alias("from_median"))
 
 
 @query("D-W5", sql="""
@@ -173,13 +173,13 @@ def _holes(t):
 
 
 @query("F31", sql=f"""
-SELECT event_id, coalesce(v, 0.0) AS by_constant, coalesce(v, (SELECT median(v) FROM {HOLES})) AS by_median, coalesce(v, m) AS by_mode FROM {HOLES} LEFT JOIN
+SELECT event_id, coalesce(v, 0.0) AS by_constant, round(coalesce(v, (SELECT median(v) FROM {HOLES})), 6) AS by_median, coalesce(v, m) AS by_mode FROM {HOLES} LEFT JOIN
 (SELECT user_id, arg_min(v, (-n, v)) AS m FROM (SELECT user_id, v, COUNT(*) AS n FROM {HOLES} WHERE v IS NOT NULL GROUP BY 1, 2) GROUP BY 1) USING (user_id)""")
 def impute_constant_median_mode(t):
     df = _holes(t).select("event_id", "user_id", "v", F.col("v").alias("by_constant"), F.col("v").alias("by_median"), F.col("v").alias("by_mode"))
     df = scaling.impute(df, "by_constant", "constant", value=0.0)
     df = scaling.impute(df, "by_median", "median")
-    return scaling.impute(df, "by_mode", "mode", group_by=["user_id"]).select("event_id", "by_constant", "by_median", "by_mode")
+    return scaling.impute(df, "by_mode", "mode", group_by=["user_id"]).select("event_id", "by_constant", F.round("by_median", 6).alias("by_median"), "by_mode")
 
 
 @query("F31", sql=f"SELECT event_id, round(coalesce(v, AVG(v) OVER (PARTITION BY user_id)), 6) AS v FROM {HOLES}")
