@@ -121,6 +121,20 @@ def quarantine(df: DataFrame, rules: Sequence[Rule], path: str | None = None) ->
     return checked.filter(F.size(FAILED) == 0).drop(FAILED), checked.filter(F.size(FAILED) > 0)
 
 
+def enforce(df: DataFrame, rules: Sequence[Rule], action: str, path: str | None = None) -> DataFrame:
+    """Rows to go on with under an action: fail | warn (all rows; see ``rule_report``) | drop or skip |
+    quarantine (bad rows are appended to ``path``)."""
+    action = action.lower()
+    if action == "quarantine":
+        if not path:
+            raise ValueError("quarantine needs a path")
+        return quarantine(df, rules, path)[0]
+    handlers = {"fail": require, "drop": keep_valid, "skip": keep_valid, "warn": lambda d, _: d}
+    if action not in handlers:
+        raise ValueError(f"unknown action {action!r}")
+    return handlers[action](df, rules)
+
+
 def rule_report(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Action "warn": (rule, severity, rows, failed, passed) for all rules from one aggregate."""
     flagged = _with_table_flags(df, rules)
@@ -135,7 +149,8 @@ def rule_report(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 @dataclass(frozen=True)
 class TableRule:
-    """``kind``: NULL_CHECK, NULL_PCT, ROW_COUNT_THRESHOLD, ROW_COUNT_MAX, REGEX, UNIQUENESS, SCHEMA_DRIFT."""
+    """``kind``: NULL_CHECK, NULL_PCT, ROW_COUNT_THRESHOLD, ROW_COUNT_MAX, ROW_COUNT_SOURCE (difference to
+    the rows of the DataFrame ``expected``), REGEX, UNIQUENESS, SCHEMA_DRIFT (to the schema ``expected``)."""
 
     name: str
     kind: str
@@ -161,6 +176,10 @@ def table_report(df: DataFrame, rules: Sequence[TableRule]) -> DataFrame:
             actual, ok = total, a >= r.threshold
         elif r.kind == "ROW_COUNT_MAX":
             actual, ok = total, a <= r.threshold
+        elif r.kind == "ROW_COUNT_SOURCE":
+            actual = total
+            a = a - r.expected.agg(F.count(F.lit(1)).cast("double")).scalar()
+            ok = F.abs(a) <= r.threshold
         elif r.kind == "REGEX":
             actual, ok = F.count_if(~c.rlike(r.pattern)), a <= r.threshold
         elif r.kind == "UNIQUENESS":

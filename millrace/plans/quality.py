@@ -86,13 +86,13 @@ def dq_more_rules(t):
 SELECT * FROM (SELECT 'status nulls' AS rule_name, 'ERROR' AS severity, COUNT(*) FILTER (status IS NULL) <= 0 AS passed, CAST(COUNT(*) FILTER (status IS NULL) AS DOUBLE) AS actual_value FROM {SIGNED}
 UNION ALL SELECT 'amount null %', 'WARNING', COUNT(*) FILTER (amount IS NULL) * 100.0::DOUBLE / COUNT(*) <= 50, COUNT(*) FILTER (amount IS NULL) * 100.0::DOUBLE / COUNT(*) FROM {SIGNED}
 UNION ALL SELECT 'enough rows', 'INFO', COUNT(*) >= 1000, CAST(COUNT(*) AS DOUBLE) FROM orders UNION ALL SELECT 'not too many', 'ERROR', COUNT(*) <= 10, CAST(COUNT(*) AS DOUBLE) FROM orders
-UNION ALL SELECT 'priority form', 'ERROR', false, CAST(COUNT(*) FILTER (NOT regexp_matches(priority, '^[1-4]-')) AS DOUBLE) FROM {SIGNED} UNION ALL SELECT 'unique keys', 'ERROR', true, 0.0 UNION ALL SELECT 'layout', 'ERROR', false, 2.0)""")
+UNION ALL SELECT 'priority form', 'ERROR', false, CAST(COUNT(*) FILTER (NOT regexp_matches(priority, '^[1-4]-')) AS DOUBLE) FROM {SIGNED} UNION ALL SELECT 'unique keys', 'ERROR', true, 0.0 UNION ALL SELECT 'layout', 'ERROR', false, 2.0 UNION ALL SELECT 'as many as events', 'WARNING', false, CAST(COUNT(*) - (SELECT COUNT(*) FROM events) AS DOUBLE) FROM orders)""")
 def dq_table_rules(t):
     df = _signed(t)
     expected = T.StructType([f for f in df.schema if f.name != "priority"] + [T.StructField("comment", T.StringType())])
     return quality.table_report(df, [
         TableRule("status nulls", "NULL_CHECK", "status"), TableRule("amount null %", "NULL_PCT", "amount", 50, severity="WARNING"), TableRule("enough rows", "ROW_COUNT_THRESHOLD", threshold=1000, severity="INFO"),
-        TableRule("not too many", "ROW_COUNT_MAX", threshold=10), TableRule("priority form", "REGEX", "priority", pattern="^[1-4]-"), TableRule("unique keys", "UNIQUENESS", "o_orderkey"), TableRule("layout", "SCHEMA_DRIFT", expected=expected)])
+        TableRule("not too many", "ROW_COUNT_MAX", threshold=10), TableRule("priority form", "REGEX", "priority", pattern="^[1-4]-"), TableRule("unique keys", "UNIQUENESS", "o_orderkey"), TableRule("layout", "SCHEMA_DRIFT", expected=expected), TableRule("as many as events", "ROW_COUNT_SOURCE", expected=t.events, severity="WARNING")])
 
 
 @query("D-Q2", sql="""

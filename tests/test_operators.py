@@ -222,6 +222,17 @@ def test_fail_action_stops_the_job(small):
     fails(lambda: quality.require(small, [Rule("positive", "range", "v", low=0)]).collect(), "data quality: positive")
 
 
+def test_actions(small, spark):
+    from millrace.session import scratch_path
+    rules, path = [Rule("named", "not_null", "name")], scratch_path(spark, "bad")
+    assert quality.enforce(small, rules, "warn").count() == 5 and quality.enforce(small, rules, "SKIP").count() == 4
+    assert quality.enforce(small, rules, "QUARANTINE", path).count() == 4 and spark.read.parquet(path).count() == 1
+    fails(lambda: quality.enforce(small, rules, "FAIL").collect(), "named")
+    for bad in (lambda: quality.enforce(small, rules, "quarantine"), lambda: quality.enforce(small, rules, "explode")):
+        with pytest.raises(ValueError):
+            bad()
+
+
 def test_masks_keep_nulls_and_types(small):
     masked = masking.mask(small, {"name": "replace", "v": "null"})
     assert dict(masked.dtypes)["v"] == "double" and masked.filter("name IS NULL").count() == 1
