@@ -27,6 +27,9 @@ class Sort:
             return not self.descending
         return self.nulls.lower() == "first"
 
+    def reversed(self) -> Sort:
+        return Sort(self.column, "asc" if self.descending else "desc", "last" if self.nulls_first else "first")
+
     def to_column(self) -> Column:
         c = F.col(self.column)
         if self.descending:

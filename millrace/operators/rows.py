@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from millrace.operators.conditions import as_condition, case_when, operand
-from millrace.operators.ordering import Sort, as_sorts, sort_columns
+from millrace.operators.ordering import as_sorts, sort_columns
 from millrace.operators.sizing import row_hash
 
 # ------------------------------------------------------------------ filter and split
@@ -137,7 +137,7 @@ def dedup(df: DataFrame, keys: Sequence[str] = (), *, keep: str = "any", order_b
         return df.dropDuplicates(keys)
     sorts = as_sorts(order_by) if order_by is not None else []
     if keep == "last":
-        sorts = [Sort(s.column, "asc" if s.descending else "desc", "last" if s.nulls_first else "first") for s in sorts]
+        sorts = [s.reversed() for s in sorts]
     if count_alias is None:
         spec = W.partitionBy(*keys).orderBy(*sort_columns(sorts))
         return df.withColumn("__rn", F.row_number().over(spec)).filter("__rn = 1").drop("__rn")

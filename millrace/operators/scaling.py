@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.aggregates import exact_percentiles, mode
 from millrace.operators.windows import RUNNING_ROWS, WindowFn, window
-from millrace.operators.ordering import Sort, as_sorts
+from millrace.operators.ordering import as_sorts
 
 
 def bucket_by_edges(df: DataFrame, column: str, edges: Sequence[float], alias: str) -> DataFrame:
@@ -70,7 +70,7 @@ def fill_along(df: DataFrame, column: str, direction: str, *, partition_by: Sequ
     """Carry the last known value forward, or the next one backward."""
     sorts = as_sorts(order_by)
     if direction == "backward":
-        sorts = [Sort(s.column, "asc" if s.descending else "desc", "last" if s.nulls_first else "first") for s in sorts]
+        sorts = [s.reversed() for s in sorts]
     return window(df, [WindowFn("last", alias, column)], partition_by=partition_by, order_by=sorts, frame=RUNNING_ROWS, **kw)
 
 

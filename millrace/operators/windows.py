@@ -253,7 +253,8 @@ def _attach(df: DataFrame, summary: DataFrame, keys, part: str, values: Sequence
 def _split_window(df, functions, keys, sorts, frame, hot: HotGroups, max_rows: int) -> DataFrame:
     names = df.columns
     whole = frame.whole if frame else not sorts
-    range_fns, chunk_fns, block_fns, total_fns = [], [], [], []
+    half_open = frame is not None and frame.kind == "rows" and not whole and not frame.running and not frame.bounded
+    range_fns, chunk_fns, block_fns, total_fns, pick_fns, shifted_fns = [], [], [], [], [], []
     for f in functions:
         if f.name in RANKING:
             chunk_fns.append(f)
@@ -261,19 +262,27 @@ def _split_window(df, functions, keys, sorts, frame, hot: HotGroups, max_rows: i
             block_fns.append(f)
         elif f.name in AGGREGATES and whole:
             total_fns.append(f)
+        elif f.name in PICKS and whole and frame is not None:
+            pick_fns.append(f)
         elif f.name in AGGREGATES and (frame is None or frame.running):
             chunk_fns.append(f)
+        elif f.name in AGGREGATES and half_open:
+            shifted_fns.append(f)
         elif f.name in AGGREGATES and frame.kind == "range" and frame.bounded and len(sorts) == 1:
             range_fns.append(f)
         elif frame is not None and frame.kind == "rows" and (frame.bounded or (frame.running and f.name in ("first", "last"))):
             block_fns.append(f)
         else:
-            # Frames open on one side only, with an offset on the other, are not decomposed.
+            # Left to Spark: first/last over running RANGE frames, and RANGE frames open on one side only.
             return _plain_window(df, functions, keys, sorts, frame)
     if total_fns:
         df = _totals(df, total_fns, keys)
+    for f in pick_fns:
+        df = _whole_pick(df, f, keys, sorts)
     if range_fns:
         df = _range_pass(df, range_fns, keys, sorts, frame, hot, max_rows)
+    if shifted_fns:
+        df = _shifted_pass(df, shifted_fns, keys, sorts, frame, hot, max_rows)
     if chunk_fns or block_fns:
         extra = [WindowFn("row_number", "__rn")] if block_fns else []
         df = _chunk_pass(df, chunk_fns + extra, keys, sorts, frame or RUNNING_RANGE, hot, max_rows)
@@ -282,6 +291,41 @@ def _split_window(df, functions, keys, sorts, frame, hot: HotGroups, max_rows: i
     return df.select(*names, *[f.alias for f in functions])
 
 
+def _whole_pick(df, f: WindowFn, keys, sorts) -> DataFrame:
+    """First, last or n-th row of the whole partition: a top-n, pruned in each map task, joined back."""
+    n = f.offset if f.name == "nth_value" else 1
+    order = [s.reversed() for s in sorts] if f.name == "last" else sorts
+    known = df.filter(F.col(f.column).isNotNull()) if f.ignore_nulls else df
+    picked = top_n(known.select(*dict.fromkeys([*keys, f.column, *[s.column for s in sorts]])), n, partition_by=keys, order_by=order, alias="__rn").filter(F.col("__rn") == n)
+    if not keys:
+        return df.withColumn(f.alias, picked.select(f.column).scalar())
+    side = picked.select(*[F.col(k).alias(f"__p_{i}") for i, k in enumerate(keys)], F.col(f.column).alias(f.alias))
+    cond = reduce(lambda a, b: a & b, [df[k].eqNullSafe(F.col(f"__p_{i}")) for i, k in enumerate(keys)])
+    return df.join(side, cond, "left").drop(*[f"__p_{i}" for i in range(len(keys))])
+
+
+def _shifted_pass(df, functions, keys, sorts, frame, hot: HotGroups, max_rows) -> DataFrame:
+    """ROWS frames open at one end: the running value of a row k places away, or the total of the
+    partition where there is no such row. Frames open at the far end run in reverse order."""
+    names = df.columns
+    if frame.end == UNBOUNDED:
+        sorts, shift = [s.reversed() for s in sorts], -frame.start
+    else:
+        shift = frame.end
+    running = [WindowFn(f.function, f"__run_{i}", f.column) for i, f in enumerate(functions)]
+    df = _chunk_pass(df, [*running, WindowFn("row_number", "__rn")], keys, sorts, RUNNING_ROWS, hot, max_rows)
+    df = df.withColumn("__run", F.struct(*[r.alias for r in running])).drop(*[r.alias for r in running])
+    moved = WindowFn("lead" if shift > 0 else "lag", "__moved", "__run", offset=abs(shift))
+    df = _block_pass(df, [moved], keys, None, max_rows)
+    if shift > 0:
+        df = _totals(df, [WindowFn(f.function, f"__all_{i}", f.column) for i, f in enumerate(functions)], keys)
+    out = {}
+    for i, f in enumerate(functions):
+        outside = F.col(f"__all_{i}") if shift > 0 else F.lit(0 if f.name == "count" else None)
+        out[f.alias] = F.when(F.col("__moved").isNull(), outside).otherwise(F.col(f"__moved.__run_{i}"))
+    return df.withColumns(out).select(*names, *out)
+
+
 def _totals(df, functions, keys) -> DataFrame:
     """Whole-partition aggregates need no order: aggregate with map-side combine, then join."""
     types = {f.name: f.dataType for f in df.schema}

@@ -40,7 +40,12 @@ CASES = {
     "carried": ([WindowFn("last", "a", "price"), WindowFn("first", "b", "price")], ["ts", "event_id"], windows.RUNNING_ROWS),
     "carried_with_nulls": ([WindowFn("last", "a", "price", ignore_nulls=False), WindowFn("first", "b", "price", ignore_nulls=False)], ["ts", "event_id"], windows.RUNNING_ROWS),
     "whole": ([WindowFn("sum", "a", "price"), WindowFn("max", "b", "band")], [], None),
-    "open_end": ([WindowFn("sum", "a", "price")], ["ts", "event_id"], Frame("rows", -2, "unbounded")),
+    "open_end": ([WindowFn("sum", "a", "price"), WindowFn("count", "b", "price")], ["ts", "event_id"], Frame("rows", -2, "unbounded")),
+    "open_end_ahead": ([WindowFn("sum", "a", "price"), WindowFn("count", "b")], ["ts", "event_id"], Frame("rows", 3, "unbounded")),
+    "open_start_ahead": ([WindowFn("max", "a", "price"), WindowFn("count", "b")], ["ts", ("event_id", "desc")], Frame("rows", "unbounded", 2)),
+    "open_start_behind": ([WindowFn("sum", "a", "price"), WindowFn("count", "b")], ["ts", "event_id"], Frame("rows", "unbounded", -4)),
+    "picks_of_whole": ([WindowFn("first", "a", "price"), WindowFn("last", "b", "price"), WindowFn("nth_value", "c", "price", offset=4), WindowFn("first", "d", "price", ignore_nulls=False)], ["ts", "event_id"], windows.WHOLE),
+    "left_to_spark": ([WindowFn("sum", "a", "price")], ["band"], Frame("range", -2, "unbounded")),
 }
 
 
