@@ -26,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 @query(sql="""
-WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS words FROM documents),
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents),
 s AS (SELECT doc_id, i, array_to_string(words[i:i + 49], ' ') AS seq FROM w, unnest(range(1, len(words) - 48)) u(i)),
 f AS (SELECT seq, min(doc_id) AS first FROM s GROUP BY seq),
 r AS (SELECT doc_id, list(i) AS hits FROM s JOIN f USING (seq) WHERE first < doc_id GROUP BY doc_id),
