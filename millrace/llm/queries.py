@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import repeats, simhash
+from millrace.llm import huffman, language, pieces, repeats, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -25,6 +25,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+@query()
+def op2_huffman_tokens(spark, sf_dir):
+    return huffman.token_digest(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op4_language_id(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op5_sentencepiece(spark, sf_dir):
+    return pieces.round_trip(table(spark, sf_dir, "documents"))
+
+
 @query(sql="""
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents),
 s AS (SELECT doc_id, i, array_to_string(words[i:i + 49], ' ') AS seq FROM w, unnest(range(1, len(words) - 48)) u(i)),
