@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import huffman, language, pieces, repeats, simhash
+from millrace.llm import html, huffman, language, pieces, repeats, simhash, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -25,11 +25,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+@query()
+def op1_html_extraction(spark, sf_dir):
+    return html.page_texts(table(spark, sf_dir, "pages"))
+
+
 @query()
 def op2_huffman_tokens(spark, sf_dir):
     return huffman.token_digest(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op3_url_filter(spark, sf_dir):
+    return urls.page_verdicts(table(spark, sf_dir, "pages"))
+
+
 @query()
 def op4_language_id(spark, sf_dir):
     return language.identify(table(spark, sf_dir, "documents"))
