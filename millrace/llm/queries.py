@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import html, huffman, language, pieces, repeats, simhash, urls
+from millrace.llm import decontaminate, html, huffman, language, pieces, repeats, simhash, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -68,3 +68,8 @@ def op6_substring_dedup(spark, sf_dir):
 @query()
 def op7_simhash(spark, sf_dir):
     return simhash.digest(simhash.near_copies(table(spark, sf_dir, "documents")))
+
+
+@query()
+def op9_decontamination(spark, sf_dir):
+    return decontaminate.leaked_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
