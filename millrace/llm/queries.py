@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontaminate, html, huffman, language, pieces, repeats, simhash, urls
+from millrace.llm import backoff, decontaminate, html, huffman, language, pieces, repeats, simhash, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -73,3 +73,8 @@ def op7_simhash(spark, sf_dir):
 @query()
 def op9_decontamination(spark, sf_dir):
     return decontaminate.leaked_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op10_lm_scoring(spark, sf_dir):
+    return backoff.document_scores(table(spark, sf_dir, "documents"))
