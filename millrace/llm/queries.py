@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import backoff, decontaminate, html, huffman, language, pieces, repeats, simhash, urls
+from millrace.llm import backoff, decontaminate, embeddings, html, huffman, language, pieces, repeats, simhash, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -78,3 +78,8 @@ def op9_decontamination(spark, sf_dir):
 @query()
 def op10_lm_scoring(spark, sf_dir):
     return backoff.document_scores(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_embedding_near_dedup(spark, sf_dir):
+    return embeddings.digest(embeddings.near_copies(table(spark, sf_dir, "embeddings")))
