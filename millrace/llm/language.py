@@ -34,7 +34,7 @@ UNKNOWN = 1e-7
 SMOOTHING = 0.1
 NO_LANGUAGE = "und"
 LETTER = re.compile(r"[^\W\d_]")
-BATCH_BYTES = 8 << 20
+WORDS_AT_ONCE = 40_000      # bounds the memory of a lattice
 
 
 class Trie:
@@ -148,10 +148,13 @@ def marked(words: list[bytes]) -> tuple[list[str], np.ndarray]:
 
 
 def _log_words(words: list[bytes], trie: Trie, p: np.ndarray) -> np.ndarray:
-    runs, owner = marked(words)
-    lattice = Lattice.of(runs, trie)
-    logs = np.log(np.maximum(lattice.words(lattice.forward(p)), 1e-300))
-    return np.add.reduceat(logs, np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))), axis=0)
+    out = []
+    for a in range(0, len(words), WORDS_AT_ONCE):
+        runs, owner = marked(words[a:a + WORDS_AT_ONCE])
+        lattice = Lattice.of(runs, trie)
+        logs = np.log(np.maximum(lattice.words(lattice.forward(p)), 1e-300))
+        out.append(np.add.reduceat(logs, np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))), axis=0))
+    return np.concatenate(out)
 
 
 @dataclass
@@ -173,8 +176,8 @@ def _expectation(trie: Trie, p: np.ndarray, languages: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros_like(p)
         for batch in batches:
-            for a in range(0, batch.num_rows, 50_000):
-                frame = batch.slice(a, 50_000).to_pandas()
+            for a in range(0, batch.num_rows, WORDS_AT_ONCE):
+                frame = batch.slice(a, WORDS_AT_ONCE).to_pandas()
                 runs, owner = marked([w.encode() for w in frame["word"]])
                 weights = np.zeros((len(frame), len(languages)))
                 weights[np.arange(len(frame)), pd.Categorical(frame["lang"], languages).codes] = frame["n"]
@@ -208,7 +211,7 @@ def _predicted(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, prior = Trie(Vocabulary.load(model.path)), np.log(np.maximum(model.priors, 1e-9))
         for batch in batches:
-            for a, b, offsets, data in text_pieces(batch.column(1), BATCH_BYTES):
+            for a, b, offsets, data in text_pieces(batch.column(1)):
                 raw = data.tobytes()
                 texts = [raw[x:y] for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
                 letter = np.array([LETTER.search(t.decode()) is not None for t in texts]) & bool(model.languages)
