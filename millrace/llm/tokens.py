@@ -7,7 +7,9 @@ across it and its pre-tokeniser drops it. So each distinct word is encoded once
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +17,7 @@ import pyarrow as pa
 from millrace.llm.text import pieces
 
 WORD_TOKENIZER = "word_bpe_49k.json"
-REMEMBERED = 400_000
+REMEMBERED = 300_000        # words of one generation; two are kept
 END_OF_WORD = "</w>"
 #: Latin letters and closing marks: the letters are one token run of their own, and so are the marks.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%$#*&|]*)")
@@ -28,7 +30,10 @@ def tokenizer_path(name: str = WORD_TOKENIZER) -> str:
 
 
 class WordEncoder:
-    """Encodes texts word by word through a bounded memory of words."""
+    """Encodes texts word by word through a bounded memory of words.
+
+    A full memory becomes the old generation; words met again move to the new one without the library.
+    """
 
     def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
         import os
@@ -42,6 +47,8 @@ class WordEncoder:
         self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith(END_OF_WORD)]] = True
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.old_words: dict[bytes, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
         self.remembered = remembered
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -68,7 +75,10 @@ class WordEncoder:
                 plain.append((w, found[1].lower(), found[2]))
             else:
                 other.append((w, text))
-        self._letters(list({x[1] for x in plain} - self.parts.keys()))
+        runs = {x[1] for x in plain} - self.parts.keys()
+        again = runs & self.old_parts.keys()
+        self.parts.update((r, self.old_parts[r]) for r in again)
+        self._letters(list(runs - again))
         marks = list({x[2] for x in plain if x[2]} - self.parts.keys())
         self.parts.update(zip(marks, self._whole(marks)))
         self.parts[""] = b""
@@ -78,22 +88,32 @@ class WordEncoder:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids as little-endian 32-bit integers, one bytes object a text."""
         split = [t.split() for t in texts]
-        new = {w for words in split for w in words} - self.words.keys()
-        if new:
-            if len(self.words) + len(new) > self.remembered:
-                self.words, self.parts = {}, {}
-                new = {w for words in split for w in words}
-            self.learn(new)
+        met = set().union(*split)
+        new = met - self.words.keys()
+        if len(self.words) + len(new) > self.remembered:
+            self.old_words, self.old_parts, self.words, self.parts, new = self.words, self.parts, {}, {}, met
+        again = new & self.old_words.keys()
+        self.words.update((w, self.old_words[w]) for w in again)
+        if len(again) < len(new):
+            self.learn(new - again)
         known = self.words.__getitem__
         return [b"".join(map(known, words)) for words in split]
 
 
+def process_encoder(path: str) -> WordEncoder:
+    """The worker process's encoder: what it remembers outlives a task. Functions arrive by value, so a module of its own holds it."""
+    memory = sys.modules.setdefault("millrace_worker_memory", ModuleType("millrace_worker_memory"))
+    if path not in memory.__dict__:
+        memory.__dict__[path] = WordEncoder(path)
+    return memory.__dict__[path]
+
+
 def encoded(path: str):
     """Arrow batches (id, text) to (id, n, ids): the ids packed as little-endian 32-bit integers and compressed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        encoder, squeeze = WordEncoder(path), zstandard.ZstdCompressor(level=1)
+        encoder, squeeze = process_encoder(path), zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for a, b, offsets, data in pieces(batch.column(1)):
                 raw = data.tobytes()
