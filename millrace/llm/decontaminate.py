@@ -24,11 +24,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
-from millrace.llm.columns import picked
+from millrace.llm.columns import col, picked
 from millrace.llm.text import WORD_BASE, mixed, pieces, run_hash, run_sums, word_hashes, word_spans
 from millrace.session import materialise
 
@@ -236,17 +238,43 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     Either table may be empty, and other columns are not read.
     """
     docs = picked(df, id=id_col, text=text_col).select(F.col("id").cast("bigint").alias("id"), "text")
-    items = picked(benchmark, item=item_col, text=item_text_col).select(F.col("item").cast("bigint").alias("item"), "text")
+    found = None
+    for rows in _item_blocks(benchmark, item_col, item_text_col, block_words):
+        part = docs.mapInArrow(_scan(rows, similarity, min_words), FOUND)
+        found = part if found is None else found.union(part)
+    return found
+
+
+def _item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[int, str | None]]]:
+    """The benchmark's rows, about ``block_words`` words at a time."""
+    items = picked(benchmark, item=item_col, text=text_col).select(F.col("item").cast("bigint").alias("item"), "text")
     words = items.select(F.coalesce(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"))), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-words // block_words))
     if blocks > 1:
         items = materialise(items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks))), "decontaminate-items")
-    found = None
     for k in range(blocks):
-        rows = [(r["item"], r["text"]) for r in (items.filter(F.col("block") == k) if blocks > 1 else items).collect()]     # about block_words words
-        part = docs.mapInArrow(_scan(rows, similarity, min_words), FOUND)
-        found = part if found is None else found.union(part)
-    return found
+        yield [(r["item"], r["text"]) for r in (items.filter(F.col("block") == k) if blocks > 1 else items).collect()]
+
+
+def drop_leaks(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows, with all their columns, that contain no benchmark item. Null and empty texts stay."""
+    for rows in _item_blocks(benchmark, item_col, item_text_col, block_words):
+        df = df.filter(_clean(rows, similarity, min_words)(col(text_col)))
+    return df
+
+
+def _clean(rows: list[tuple[int, str | None]], similarity: float, min_words: int):
+    @F.pandas_udf(BooleanType())
+    def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        items = Items.of(rows, similarity, min_words)
+        for texts in parts:
+            ok = np.ones(len(texts), bool)
+            for a, _, offsets, data in pieces(pa.array(texts, pa.string(), from_pandas=True)):
+                starts, ends, first = word_spans(data, offsets)
+                for doc, *_ in _matches(items, word_hashes(data, starts, ends, folded=True), first):
+                    ok[a + doc] = False
+            yield pd.Series(ok)
+    return clean
 
 
 def leaked_pairs(df: DataFrame, benchmark: DataFrame) -> DataFrame:

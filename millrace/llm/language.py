@@ -20,6 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from millrace.llm.columns import col, picked
 from millrace.llm.text import pieces as text_pieces
@@ -33,6 +34,7 @@ PIECE_CHARS = 16
 UNKNOWN = 1e-7
 SMOOTHING = 0.1
 NO_LANGUAGE = "und"
+LEAST_SCORE = 0.5
 LETTER = re.compile(r"[^\W\d_]")
 WORDS_AT_ONCE = 40_000      # bounds the memory of a lattice
 
@@ -207,33 +209,42 @@ def fit(df: DataFrame, *, train_rows: int = TRAIN_ROWS, rounds: int = ROUNDS, pa
     return Model(languages, np.array([n / sum(sizes.values()) for n in sizes.values()]), p, path)
 
 
+def judged(texts: list[bytes], trie: Trie, model: Model) -> tuple[list[str], np.ndarray]:
+    """Likeliest language and its posterior for UTF-8 texts."""
+    if not model.languages:
+        return [NO_LANGUAGE] * len(texts), np.zeros(len(texts))
+    number: dict[bytes, int] = {}
+    index, sizes = [], []
+    for t in texts:
+        words = t.split()
+        sizes.append(len(words))
+        index += [number.setdefault(w, len(number)) for w in words]
+    sums = np.zeros((len(texts), len(model.priors)))
+    if index:
+        logs = _log_words(list(number), trie, model.p)[np.array(index)]
+        sizes = np.array(sizes)
+        full = np.flatnonzero(sizes)
+        sums[full] = np.add.reduceat(logs, (np.cumsum(sizes) - sizes)[full], axis=0)
+    sums += np.log(np.maximum(model.priors, 1e-9))
+    letter = np.array([LETTER.search(t.decode()) is not None for t in texts], bool)
+    posterior = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
+    named = [model.languages[k] if ok else NO_LANGUAGE for k, ok in zip(sums.argmax(axis=1).tolist(), letter.tolist())]
+    return named, np.where(letter, posterior, 0.0)
+
+
+def _rows(column: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
+    for a, b, offsets, data in text_pieces(column):
+        raw = data.tobytes()
+        yield a, b, [raw[x:y] for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+
+
 def _predicted(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, prior = Trie(Vocabulary.load(model.path)), np.log(np.maximum(model.priors, 1e-9))
+        trie = Trie(Vocabulary.load(model.path))
         for batch in batches:
-            for a, b, offsets, data in text_pieces(batch.column(1)):
-                raw = data.tobytes()
-                texts = [raw[x:y] for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-                letter = np.array([LETTER.search(t.decode()) is not None for t in texts]) & bool(model.languages)
-                number: dict[bytes, int] = {}
-                index, sizes = [], []
-                for t in texts:
-                    words = t.split()
-                    sizes.append(len(words))
-                    index += [number.setdefault(w, len(number)) for w in words]
-                sums = np.zeros((b - a, len(prior)))
-                if index and model.languages:
-                    logs = _log_words(list(number), trie, model.p)[np.array(index)]
-                    sizes = np.array(sizes)
-                    full = np.flatnonzero(sizes)
-                    sums[full] = np.add.reduceat(logs, (np.cumsum(sizes) - sizes)[full], axis=0)
-                best, score = np.zeros(b - a, np.int64), np.zeros(b - a)
-                if model.languages:
-                    sums += prior
-                    best = sums.argmax(axis=1)
-                    score = np.where(letter, 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1), 0.0)
-                named = [model.languages[k] if ok else NO_LANGUAGE for k, ok in zip(best.tolist(), letter.tolist())]
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for i, c in enumerate(batch.columns) if i != 1), pa.array(named, pa.string()), pa.array(score)], names=[*(n for i, n in enumerate(batch.schema.names) if i != 1), "lang_pred", "score"])
+            for a, b, texts in _rows(batch.column(1)):
+                named, score = judged(texts, trie, model)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(named, pa.string()), pa.array(score)], names=["id", "lang_pred", "score"])
     return run
 
 
@@ -263,3 +274,17 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     """The query's form: learn from the rows that are not held out, predict for all."""
     found = predict(df, learned(df, id_col, text_col, lang_col, **options), id_col, text_col)
     return found.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "lang_pred", "score")
+
+
+def accept(df: DataFrame, model: Model, text_col: str = "text", *, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows, with all their columns, whose text has a language with a posterior of at least ``least``. Null texts and texts without a letter go."""
+    @F.pandas_udf(BooleanType())
+    def accepted(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        trie = Trie(Vocabulary.load(model.path))
+        for texts in parts:
+            ok = np.zeros(len(texts), bool)
+            for a, b, rows in _rows(pa.array(texts, pa.string(), from_pandas=True)):
+                named, score = judged(rows, trie, model)
+                ok[a:b] = (np.array(named, object) != NO_LANGUAGE) & (score >= least)
+            yield pd.Series(ok)
+    return df.filter(accepted(col(text_col)))

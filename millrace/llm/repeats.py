@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.columns import picked
+from millrace.llm.columns import col, picked
 from millrace.llm.text import WORD_BASE, lists, pieces, run_hash, run_sums, signed, word_hashes, word_spans
 from millrace.session import materialise
 
@@ -42,7 +42,7 @@ BUCKET_RUNS = 4096
 
 RUN_BASE = 0xA0761D6478BD642F
 PACKED = "id bigint, t int, words bigint, packed binary, g array<bigint>, i0 array<int>, n array<int>, h array<bigint>"
-OUT = "id bigint, n_words bigint, n_removed bigint, kept string"
+OUT = "id bigint, t int, n_words bigint, n_removed bigint, kept string"
 
 
 def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
@@ -150,7 +150,7 @@ def _leaves(window: int):
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, counts, packed, spans = (batch.column(k).to_pylist() for k in range(4))
+        ids, ts, counts, packed, spans = (batch.column(k).to_pylist() for k in range(5))
         for a in range(0, len(ids), 256):
             removed, kept = [], []
             for n, z, s in zip(counts[a:a + 256], packed[a:a + 256], spans[a:a + 256]):
@@ -163,7 +163,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     words = [w for w, k in zip(words, keep.tolist()) if k]
                 removed.append(n - len(words))
                 kept.append(b" ".join(words).decode())
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a:a + 256], pa.int64()), pa.array(counts[a:a + 256], pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["id", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a:a + 256], pa.int64()), pa.array(ts[a:a + 256], pa.int32()), pa.array(counts[a:a + 256], pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["id", "t", "n_words", "n_removed", "kept"])
 
 
 def repeated_spans(packed: DataFrame, window: int = WINDOW, group_runs: int = GROUP_RUNS, bucket_runs: int = BUCKET_RUNS) -> DataFrame:
@@ -192,7 +192,7 @@ def repeated_spans(packed: DataFrame, window: int = WINDOW, group_runs: int = GR
 
 
 def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = WINDOW, anchor: int = ANCHOR, group_runs: int = GROUP_RUNS, bucket_runs: int = BUCKET_RUNS) -> DataFrame:
-    """``(id, n_words, n_removed, kept)`` for every row; ``kept`` has the kept words joined by one space.
+    """``(id, t, n_words, n_removed, kept)`` for every row; ``t`` is Spark's hash of the text, and ``kept`` has the kept words joined by one space.
 
     Null or empty texts have no words and give an empty ``kept``. Texts under ``window`` words lose
     nothing. Rows with a null id are compared with nobody and keep everything. Of repeated windows
@@ -204,7 +204,20 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spans = repeated_spans(packed.filter("id IS NOT NULL"), window, group_runs, bucket_runs)
     # Only texts travel to the spans; one list per document, never longer than its text.
     spans = spans.groupBy("id", "t").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    return packed.select("id", "t", "words", "packed").join(spans, ["id", "t"], "left").select("id", "words", "packed", "spans").mapInArrow(_remove, OUT)
+    return packed.select("id", "t", "words", "packed").join(spans, ["id", "t"], "left").select("id", "t", "words", "packed", "spans").mapInArrow(_remove, OUT)
+
+
+def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows, with all their columns, without repeated words.
+
+    Texts that lose nothing stay as they are, byte for byte; others become their kept words, joined by
+    one space; rows that lose every word go.
+    """
+    kept = drop_repeats(df, id_col, text_col, **options).filter("n_removed > 0").select("id", "t", "kept").dropDuplicates(["id", "t"])
+    whole = df.select(F.struct(*[col(c) for c in df.columns]).alias("row"), col(id_col).cast("bigint").alias("id"), F.hash(col(text_col)).alias("t"))
+    text = F.coalesce("kept", F.col("row").getField(text_col))
+    joined = whole.join(kept, ["id", "t"], "left").filter("kept IS NULL OR kept <> ''")
+    return joined.select(*[(text if c == text_col else F.col("row").getField(c)).alias(c) for c in df.columns])
 
 
 def digest(kept: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.columns import picked
+from millrace.llm.columns import col, picked
 from millrace.llm.components import components
 from millrace.llm.text import pieces
 from millrace.session import materialise
@@ -117,6 +117,12 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     return prints.join(firsts, "fp", "left").select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
 
 
+def first_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows, with all their columns, whose id is the smallest of its group. Rows that share an id stay or go together, rows with a null id stay."""
+    later = near_copies(df, id_col, text_col, **options).filter("id <> component").select("id").distinct()
+    return df.join(later, col(id_col).cast("bigint") == later["id"], "left_anti")
+
+
 def digest(found: DataFrame) -> DataFrame:
     """The query's form of ``near_copies``."""
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
