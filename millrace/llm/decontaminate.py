@@ -46,25 +46,6 @@ def allowed_edits(m: int, similarity: float = SIMILARITY) -> int:
     return int((1 - similarity) * m + 1e-9)
 
 
-def edit_distance(a: list[int], b: list[int], most: int) -> int:
-    """Edit distance of two sequences, or ``most + 1`` if it is larger; only the band of width ``most`` is filled."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    if a == b:
-        return 0
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        low, high = max(1, i - most), min(len(b), i + most)
-        new = [most + 1] * (len(b) + 1)
-        new[0] = i
-        for j in range(low, high + 1):
-            new[j] = min(row[j - 1] + (x != b[j - 1]), row[j] + 1, new[j - 1] + 1)
-        row = new
-        if min(row[low - 1:high + 1]) > most:
-            return most + 1
-    return min(row[len(b)], most + 1)
-
-
 def best_run(words: list[int], item: list[int], most: int) -> tuple[int, int, int] | None:
     """(distance, start, end) of the run of ``words`` nearest to the item, the first and shortest of equals; None beyond ``most``."""
     cost, begin = [0] * (len(words) + 1), list(range(len(words) + 1))

@@ -119,8 +119,8 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
 
 def first_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows, with all their columns, whose id is the smallest of its group. Rows that share an id stay or go together, rows with a null id stay."""
-    later = near_copies(df, id_col, text_col, **options).filter("id <> component").select("id").distinct()
-    return df.join(later, col(id_col).cast("bigint") == later["id"], "left_anti")
+    later = near_copies(df, id_col, text_col, **options).filter("id <> component").select(F.col("id").alias("__later")).distinct()
+    return df.join(later, col(id_col).cast("bigint") == F.col("__later"), "left_anti")
 
 
 def digest(found: DataFrame) -> DataFrame:
