@@ -53,6 +53,13 @@ def _valid(x: str = "x"):
     return F.coalesce(F.col("label").isNotNull() & finite & F.exists(x, lambda v: v != 0), F.lit(False))
 
 
+def unit_rows(vectors) -> np.ndarray:
+    """Vectors of one length as unit rows; scaled first, so that squares neither vanish nor overflow."""
+    x = np.stack(list(vectors)).astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 # ------------------------------------------------------------------ clusters
 
 
@@ -73,13 +80,12 @@ def _assigned(centres: dict[str, tuple[int, np.ndarray]], overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             label = np.array(batch.column(1).to_pylist(), object)
-            x = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 1))
-            unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+            vectors = batch.column(2).to_numpy(zero_copy_only=False)
             row, cell = [], []
             for name in sorted(set(label)):
                 first, c = centres[name]
                 at = np.flatnonzero(label == name)
-                near = np.argsort(-(unit[at] @ c.T), axis=1, kind="stable")[:, :overlap]
+                near = np.argsort(-(unit_rows(vectors[at]).astype(np.float32) @ c.T), axis=1, kind="stable")[:, :overlap]
                 row.append(np.repeat(at, near.shape[1]))
                 cell.append(near.ravel() + first)
             if row:
@@ -99,24 +105,12 @@ def _cells(nodes: DataFrame, cell_rows: int, max_cells: int, overlap: int) -> Da
     share = F.pmod(F.xxhash64("node", F.lit("centres")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     picked_rows = nodes.filter(share < F.lit(SAMPLE_ROWS / rows)).select("label", "x").toPandas()       # about SAMPLE_ROWS rows per centre
     centres, first = {}, 0
-    width = None
     for name in sizes:
         x = picked_rows.loc[picked_rows["label"] == name, "x"]
-        x = np.array([np.asarray(v) for v in x]) if len(x) else None
-        if x is None:
-            centres[name] = None
-        else:
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            width = x.shape[1]
-            centres[name] = centres_of(x, k[name]).astype(np.float32)
-    out = {}
-    for name, c in centres.items():
-        c = np.zeros((1, width or 1), np.float32) if c is None else c
-        out[name], first = (first, c), first + len(c)
-    if width is None and sizes:                 # nothing was drawn: one cell per label
-        width = nodes.select(F.size("x").alias("w")).first()["w"]
-        out = {name: (i, np.zeros((1, width), np.float32)) for i, name in enumerate(sizes)}
-    return nodes.mapInArrow(_assigned(out, overlap), "cell bigint, node bigint, x array<double>, copies bigint")
+        # A label of which nothing was drawn is one cell; its key begins with the length of its vectors.
+        c = centres_of(unit_rows(x), k[name]).astype(np.float32) if len(x) else np.zeros((1, int(name.split(":", 1)[0])), np.float32)
+        centres[name], first = (first, c), first + len(c)
+    return nodes.mapInArrow(_assigned(centres, overlap), "cell bigint, node bigint, x array<double>, copies bigint")
 
 
 # ------------------------------------------------------------------ the graph of a shard
@@ -161,8 +155,7 @@ def _graph(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def _unit(frame: pd.DataFrame) -> np.ndarray:
-    x = np.stack(frame["x"].to_list()).astype(np.float64)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+    return unit_rows(frame["x"])
 
 
 # ------------------------------------------------------------------ search
@@ -350,12 +343,11 @@ def _counted(labels: list, ids: list, queries: np.ndarray, similarity: float):
         counts = np.zeros(len(ids), np.int64)
         kinds = np.array(labels, object)
         for batch in batches:
-            x = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1)
-            unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+            vectors = batch.column(2).to_numpy(zero_copy_only=False)
             own = np.array(batch.column(1).to_pylist(), object)
             for name in set(own) & set(labels):
                 a, b = np.flatnonzero(kinds == name), np.flatnonzero(own == name)
-                hits = (queries[a] @ unit[b].T >= similarity) & (np.array(ids)[a][:, None] != np.asarray(batch.column(0))[b])
+                hits = (unit_rows(queries[a]) @ unit_rows(vectors[b]).T >= similarity) & (np.array(ids)[a][:, None] != np.asarray(batch.column(0))[b])
                 counts[a] += hits.sum(axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts)], names=["id", "n"])
     return run
@@ -363,8 +355,8 @@ def _counted(labels: list, ids: list, queries: np.ndarray, similarity: float):
 
 def audit(df: DataFrame, found: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", *, similarity: float = SIMILARITY, every: int = 100, block: int = 10_000) -> float:
     """Share of the links of every ``every``-th id, by brute force against all rows, that ``found`` counts. Queries are sent out ``block`` at a time."""
-    rows = picked(df, id=id_col, label=label_col, x=vector_col).select(F.col("id").cast("bigint").alias("id"), F.col("label").cast("string").alias("label"), F.col("x").cast("array<double>").alias("x"))
-    rows = rows.filter(_valid())
+    rows = picked(df, id=id_col, label=label_col, x=vector_col).select(F.col("id").cast("bigint").alias("id"), F.concat_ws(":", F.size("x"), F.col("label").cast("string")).alias("key"), F.col("label").alias("label"), F.col("x").cast("array<double>").alias("x"))
+    rows = rows.filter(_valid()).select("id", F.col("key").alias("label"), "x")
     queries = rows.filter(F.col("id") % every == 0)
     blocks = max(1, -(-queries.count() // block))
     true = hit = 0
@@ -372,8 +364,7 @@ def audit(df: DataFrame, found: DataFrame, id_col: str = "vec_id", vector_col: s
         some = queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).toPandas()
         if not len(some):
             continue
-        x = np.stack(some["x"].to_list())
-        counts = rows.mapInArrow(_counted(some["label"].tolist(), some["id"].tolist(), x / np.linalg.norm(x, axis=1, keepdims=True), similarity), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+        counts = rows.mapInArrow(_counted(some["label"].tolist(), some["id"].tolist(), some["x"].to_numpy(), similarity), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
         both = counts.join(found.select("id", "n_links"), "id").agg(F.sum("n").alias("true"), F.sum(F.least("n", "n_links")).alias("hit")).first()
         true, hit = true + (both["true"] or 0), hit + (both["hit"] or 0)
     return hit / true if true else 1.0
