@@ -12,7 +12,8 @@ these draws are a candidate pair, and an exact edit distance decides.
 
 Embedding every window of every length would read the corpus many times, so windows are proposed
 first, without loss: within ``e`` edits an item keeps a run of at least ``(m - e) / (e + 1)`` of
-its words, so only windows laid over a common run of that length can qualify.
+its words, so only windows laid over a common run of that length can qualify; and it keeps
+``m - e`` words in all, so the text around must hold that many words of the item.
 
 The benchmark is the stated query set. It is read in blocks of ``BLOCK_WORDS`` words, each small
 enough to send to all tasks, against all documents; the corpus is never shuffled.
@@ -48,6 +49,9 @@ def allowed_edits(m: int, similarity: float = SIMILARITY) -> int:
 
 def best_run(words: list[int], item: list[int], most: int) -> tuple[int, int, int] | None:
     """(distance, start, end) of the run of ``words`` nearest to the item, the first and shortest of equals; None beyond ``most``."""
+    for k in range(len(words) - len(item) + 1):
+        if words[k] == item[0] and words[k:k + len(item)] == item:
+            return 0, k, k + len(item)
     cost, begin = [0] * (len(words) + 1), list(range(len(words) + 1))
     for i, x in enumerate(item, 1):
         new_cost, new_begin = [i], [begin[0]]
@@ -64,30 +68,24 @@ def best_run(words: list[int], item: list[int], most: int) -> tuple[int, int, in
     return least, begin[end], end
 
 
-def walk(words: np.ndarray, starts: np.ndarray, length: int, repeat: int) -> np.ndarray:
-    """CGK embeddings of runs ``words[start:start + length]``: 3 * length written words for each run (rows), zeros past the end."""
-    out = np.zeros((3 * length, len(starts)), np.uint64)
-    at = np.zeros(len(starts), np.int64)
-    for step in range(3 * length):
-        on = at < length
-        if not on.any():
-            break
-        here = np.where(on, words[np.minimum(starts + np.minimum(at, length - 1), len(words) - 1)], np.uint64(0))
-        out[step] = here
-        at += on & ((mixed(here + np.uint64((repeat + 1) * 0x9E3779B97F4A7C15 % (1 << 64)) + np.uint64(step * 0xC2B2AE3D27D4EB4F % (1 << 64))) & np.uint64(1)) == 1)
-    return out.T
+def walk(words: np.ndarray, starts: np.ndarray, length: int, repeats: int) -> Iterator[np.ndarray]:
+    """CGK embeddings of the runs ``words[start:start + length]``: for each of ``2 * length`` steps what the walks [run, repeat] write, zero past the end."""
+    at = np.zeros((len(starts), repeats), np.int64)
+    salts = (np.arange(1, repeats + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+    starts = starts[:, None]
+    for step in range(2 * length):
+        here = np.where(at < length, words[starts + np.minimum(at, length - 1)], np.uint64(0))
+        yield here
+        at += (mixed(here + salts + np.uint64(step * 0xC2B2AE3D27D4EB4F % (1 << 64))) & np.uint64(1)).astype(np.int64)
 
 
 def sampled_keys(words: np.ndarray, starts: np.ndarray, length: int, repeats: int = REPEATS, sampled: int = SAMPLED) -> np.ndarray:
-    """[run, repeat]: a hash of the words that the walk of each repeat wrote at its sampled steps."""
-    keys = np.zeros((len(starts), repeats), np.uint64)
-    for r in range(repeats):
-        steps = np.random.default_rng((length, r)).integers(0, 2 * length, sampled)     # a walk is usually over after 2 * length steps
-        written = walk(words, starts, length, r)[:, steps]
-        key = np.full(len(starts), r + 1, np.uint64)
-        for k in range(sampled):
-            key = mixed(key * np.uint64(WORD_BASE) + written[:, k])
-        keys[:, r] = key
+    """[run, repeat]: a hash of the words that the walk of each repeat wrote at its sampled steps (a walk is usually over after 2 * length steps)."""
+    wanted = np.random.default_rng((length, repeats)).integers(0, 2 * length, (repeats, sampled))
+    keys = np.tile(np.arange(1, repeats + 1, dtype=np.uint64), (len(starts), 1))
+    for step, written in enumerate(walk(words, starts, length, repeats)):
+        for r in np.flatnonzero((wanted == step).any(axis=1)).tolist():
+            keys[:, r] = mixed(keys[:, r] * np.uint64(WORD_BASE) + written[:, r] + np.uint64(step))
     return keys
 
 
@@ -100,6 +98,7 @@ class Items:
     edits: list[int]
     keys: list[np.ndarray] = field(default_factory=list)
     runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)    # run length: sorted hashes, item, offset
+    members: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))                 # sorted hashes of (item, word)
 
     @classmethod
     def of(cls, rows: list[tuple[int, str | None]], similarity: float, min_words: int) -> Items:
@@ -121,15 +120,41 @@ class Items:
             hashes, item, at = (np.concatenate(x) for x in zip(*parts))
             order = np.argsort(hashes, kind="stable")
             items.runs[size] = hashes[order], item[order], at[order]
+        if items.words:
+            items.members = np.unique(_member(np.concatenate(items.words), np.repeat(np.arange(len(items.words)), [len(w) for w in items.words])))
         return items
 
 
+def _member(words: np.ndarray, item: np.ndarray) -> np.ndarray:
+    return mixed(words ^ mixed(item.astype(np.uint64) + np.uint64(1)))
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0] ... starts[0] + sizes[0] - 1, starts[1] ... and so on."""
+    return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
+def _hold_enough(items: Items, hashes: np.ndarray, low: np.ndarray, high: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Whether hashes[low:high] have as many words of the item as a match must keep."""
+    needed = (np.array([len(w) for w in items.words]) - np.array(items.edits))[item]
+    ok = np.zeros(len(item), bool)
+    for a in range(0, len(item), 20_000):
+        s = slice(a, a + 20_000)
+        sizes = high[s] - low[s]
+        wanted = _member(hashes[_ranges(low[s], sizes)], np.repeat(item[s], sizes))
+        known = items.members[np.minimum(np.searchsorted(items.members, wanted), len(items.members) - 1)] == wanted
+        total = np.concatenate(([0], np.cumsum(known)))
+        ends = np.cumsum(sizes)
+        ok[s] = total[ends] - total[ends - sizes] >= needed[s]
+    return ok
+
+
 def _proposals(items: Items, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Rows (document, item, window start), distinct: windows laid over a common run, moved by up to the allowed edits."""
     out = []
     sums = run_sums(hashes, WORD_BASE)
     doc_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    edits = np.array(items.edits)
+    edits, sizes = np.array(items.edits), np.array([len(w) for w in items.words])
     for size, (wanted, item, offset) in items.runs.items():
         if len(hashes) < size:
             continue
@@ -139,15 +164,16 @@ def _proposals(items: Items, hashes: np.ndarray, first: np.ndarray) -> np.ndarra
         low = np.searchsorted(wanted, h)
         at, low, h = (x[wanted[np.minimum(low, len(wanted) - 1)] == h] for x in (at, low, h))
         n = np.searchsorted(wanted, h, "right") - low
-        which = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        which = _ranges(low, n)
         at = np.repeat(at, n)
         doc, which_item = doc_of[at], item[which]
-        start = at - offset[which]
-        e = edits[which_item]
+        # One proposal for each laid-over window, however many runs it shares.
+        doc, which_item, start = np.unique(np.stack([doc, which_item, at - offset[which]]), axis=1)
+        e, m = edits[which_item], sizes[which_item]
+        ok = _hold_enough(items, hashes, np.maximum(start - e, first[doc]), np.minimum(start + m + e, first[doc + 1]), which_item)
+        doc, which_item, start, e = doc[ok], which_item[ok], start[ok], e[ok]
         moves = 2 * e + 1
-        step = np.arange(moves.sum()) - np.repeat(np.cumsum(moves) - moves, moves)
-        start = np.repeat(start - e, moves) + step
-        out.append(np.stack([np.repeat(doc, moves), np.repeat(which_item, moves), start], axis=1))
+        out.append(np.stack([np.repeat(doc, moves), np.repeat(which_item, moves), _ranges(start - e, moves)], axis=1))
     return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
 
 
