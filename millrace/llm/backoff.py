@@ -32,7 +32,8 @@ from millrace.session import materialise
 
 ORDER = 3
 ALPHA = 0.4
-CHUNK_IDS = 1 << 22
+CHUNK_IDS = 1 << 21
+SLICE_IDS = 1 << 18       # a chunk is worked through in slices of documents, which bounds the memory of a task
 RANGE_GRAMS = 1 << 22
 SCORES = "id bigint, n_tokens bigint, score double"
 
@@ -77,11 +78,38 @@ def _chunked(path: str, chunk_ids: int):
     return run
 
 
+def _slices(ids: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Ranges of documents of about ``SLICE_IDS`` ids."""
+    first, held = 0, 0
+    for k, one in enumerate(ids):
+        if held and held + len(one) > SLICE_IDS:
+            yield first, k
+            first, held = k, 0
+        held += len(one)
+    if ids:
+        yield first, len(ids)
+
+
+def _joined_up(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([*ids, np.zeros(0, np.uint32)]), np.cumsum([len(x) for x in ids], dtype=np.int64)
+
+
+def gram_table(ids: list[np.ndarray], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of all orders in some documents, ascending, and how often each occurs."""
+    grams, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for a, b in _slices(ids):
+        for _, h in ngrams(*_joined_up(ids[a:b]), order):
+            own, n = np.unique(h, return_counts=True)
+            grams.append(own)
+            counts.append(n)
+    table, place = np.unique(np.concatenate(grams), return_inverse=True)
+    return table, np.bincount(place, np.concatenate(counts), len(table)).astype(np.int64)
+
+
 def _asked(order: int, bits: int):
     """The distinct n-grams of each chunk, by hash range."""
     def rows(chunk: int, ids: list[np.ndarray]) -> pa.RecordBatch:
-        flat, ends = np.concatenate(ids), np.cumsum([len(x) for x in ids])
-        grams, n = np.unique(np.concatenate([h for _, h in ngrams(flat, ends, order)]), return_counts=True)
+        grams, n = gram_table(ids, order)
         part = (grams >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(grams), np.int64)
         cuts = np.concatenate((np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, np.int64), [len(part)]))
         spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
@@ -116,34 +144,36 @@ def _joined(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["chunk", "part", "totals"])
 
 
+def document_sums(ids: list[np.ndarray], table: np.ndarray, totals: np.ndarray, order: int, alpha: float, tokens: int) -> np.ndarray:
+    """Scores of documents, given the totals of all their n-grams in the corpus of ``tokens`` tokens."""
+    flat, ends = _joined_up(ids)
+    sizes = np.diff(ends, prepend=0)
+    doc = np.repeat(np.arange(len(ids)), sizes)
+    counts = np.zeros((order + 1, len(flat)))           # of the n-gram that ends at each position, without the document's own
+    for k, (last, h) in enumerate(ngrams(flat, ends, order), 1):
+        at = np.searchsorted(table, h)
+        _, place, own = np.unique(doc[last] * np.int64(len(table)) + at, return_inverse=True, return_counts=True)
+        counts[k, last] = totals[at] - own[place]
+    before = np.arange(len(flat)) - (ends - sizes)[doc]     # tokens of the document before each position
+    score = np.log10(np.maximum(counts[1], 0.5) / np.maximum(tokens - sizes[doc], 1))
+    longest = np.minimum(before + 1, order)
+    fallen = longest - 1
+    for k in range(2, order + 1):
+        seen = counts[k] > 0
+        context = np.concatenate(([1.0], counts[k - 1][:-1]))[:len(flat)]
+        score = np.where(seen, np.log10(np.where(seen, counts[k], 1) / np.where(seen, context, 1)), score)
+        fallen = np.where(seen, longest - k, fallen)
+    return np.bincount(doc, score + fallen * np.log10(alpha), len(ids)).astype(np.float64)
+
+
 def _scored(order: int, alpha: float, tokens: int):
-    def run(docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        ids = [unpacked(x) for x in docs["ids"]]
-        sizes = np.array([len(x) for x in ids], np.int64)
-        flat, ends = np.concatenate([*ids, np.zeros(0, np.uint32)]), np.cumsum(sizes)
-        doc = np.repeat(np.arange(len(ids)), sizes)
-        grams = ngrams(flat, ends, order)
-        table = np.unique(np.concatenate([h for _, h in grams]))
-        found = found.sort_values("part")
-        totals = np.concatenate([*map(unpack, found["totals"]), np.zeros(0, np.uint64)]).astype(np.int64)
+    def run(docs: pa.Table, found: pa.Table) -> pa.Table:
+        ids = [unpacked(x) for x in docs["ids"].to_pylist()]
+        table, _ = gram_table(ids, order)
+        totals = np.concatenate([*map(unpack, found.sort_by("part")["totals"].to_pylist()), np.zeros(0, np.uint64)]).astype(np.int64)
         assert len(totals) == len(table), "a hash range is missing"
-        counts = np.zeros((order + 1, len(flat)))           # of the n-gram that ends at each position, without the document's own
-        for k, (last, h) in enumerate(grams, 1):
-            at = np.searchsorted(table, h)
-            _, place, own = np.unique(doc[last] * np.int64(len(table)) + at, return_inverse=True, return_counts=True)
-            counts[k, last] = totals[at] - own[place]
-        others = np.maximum(tokens - sizes[doc], 1) if len(doc) else np.zeros(0)
-        before = np.arange(len(flat)) - (ends - sizes)[doc]     # tokens of the document before each position
-        score = np.log10(np.maximum(counts[1], 0.5) / others)
-        longest = np.minimum(before + 1, order)
-        fallen = longest - 1
-        for k in range(2, order + 1):
-            seen = counts[k] > 0
-            context = np.concatenate(([1.0], counts[k - 1][:-1]))
-            score = np.where(seen, np.log10(np.where(seen, counts[k], 1) / np.where(seen, context, 1)), score)
-            fallen = np.where(seen, longest - k, fallen)
-        score = score + fallen * np.log10(alpha)
-        return pd.DataFrame({"id": docs["id"], "n_tokens": sizes, "score": np.bincount(doc, score, len(ids)) if len(doc) else np.zeros(len(ids))})
+        sums = [document_sums(ids[a:b], table, totals, order, alpha, tokens) for a, b in _slices(ids)]
+        return pa.table({"id": docs["id"], "n_tokens": pa.array([len(x) for x in ids], pa.int64()), "score": np.concatenate([*sums, np.zeros(0)])})
     return run
 
 
@@ -160,7 +190,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, orde
     bits = max(0, (order * total // range_grams).bit_length())
     asked = tokens.select("chunk", "ids").mapInArrow(_asked(order, bits), "part bigint, chunk bigint, grams binary, n binary")
     totals = asked.groupBy("part").applyInPandas(_joined, "chunk bigint, part bigint, totals binary")
-    return tokens.select("chunk", "id", "ids").groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInPandas(_scored(order, alpha, total), SCORES)
+    return tokens.select("chunk", "id", "ids").groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(_scored(order, alpha, total), SCORES)
 
 
 def document_scores(df: DataFrame) -> DataFrame:
