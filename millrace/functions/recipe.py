@@ -225,11 +225,8 @@ def _replace_regex(c, p, tolerant):
     pattern, new = _pattern(p), str(p.get("replacement", ""))
     if p.get("replaceAll", True):
         return F.regexp_replace(c, pattern, new)
-    at = F.regexp_instr(c, F.lit(pattern))
-    head, tail = F.substring(c, F.lit(1), at - 1), F.substring(c, at, F.length(c))
-    match = F.regexp_substr(c, F.lit(pattern))
-    rest = F.substring(tail, F.length(match) + 1, F.length(c))
-    return F.when(at > 0, F.concat(head, F.regexp_replace(match, pattern, new), rest)).otherwise(c)
+    # The match takes the rest of the text along, so there is one; the pattern sees the whole text.
+    return F.regexp_replace(c, rf"(?:{pattern})(?<millraceRest>[\s\S]*)", new + "${millraceRest}")
 
 
 @_step("matches_regex")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -11,50 +10,29 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def col(name: str) -> Column:
-    return F.col(name)
-
-
-def lit(value) -> Column:
-    return F.lit(value)
-
-
 def as_condition(text: str | Column | None) -> Column:
-    """SQL condition text: a leading WHERE and trailing semicolons are ignored, blank means true."""
+    """A condition as Spark reads it; blank means true. One WHERE in front and semicolons around it may be there."""
     if isinstance(text, Column):
         return text
-    if not isinstance(text, str):
-        return F.lit(True)
-    body = re.sub(r"(?i)^\s*where\b", "", text).strip()
-    body = body.rstrip("; \t\n")
-    return F.expr(body) if body else F.lit(True)
+    body = (text or "").strip("; \t\r\n")
+    if body[:5].upper() == "WHERE" and not body[5:6].isidentifier():
+        body = body[5:].lstrip()
+    return F.expr(body or "true")
 
 
 def operand(value) -> Column:
     """A loosely typed configuration value as a Column.
 
-    Numbers, booleans and null become literals, quoted text a string literal, a bare identifier
-    a column, and anything else a SQL expression. Pass ``lit(..)`` or ``col(..)`` to be explicit.
+    Text is a Spark SQL expression (a literal, a name, anything else); blank text is NULL and, so that
+    results stay floating-point, a decimal number is a double. Pass ``F.lit(..)`` to be explicit.
     """
-    if isinstance(value, Column):
-        return value
-    if value is None or isinstance(value, (bool, int, float)):
-        return F.lit(value)
-    text = str(value).strip()
-    if text == "" or text.lower() == "null":
-        return F.lit(None)
-    if text.lower() in ("true", "false"):
-        return F.lit(text.lower() == "true")
-    if re.fullmatch(r"-?\d+", text):
-        return F.lit(int(text))
-    if re.fullmatch(r"-?\d+\.\d+", text):
-        return F.lit(float(text))
-    if len(text) > 1 and text[0] == text[-1] and text[0] in "'\"":
-        quote = text[0]
-        return F.lit(text[1:-1].replace(quote * 2, quote).replace("\\" + quote, quote))
-    if re.fullmatch(r"[A-Za-z_]\w*(\.[A-Za-z_]\w*)*", text):
-        return F.col(text)
-    return F.expr(text)
+    if not isinstance(value, str):
+        return value if isinstance(value, Column) else F.lit(value)
+    text = value.strip()
+    try:
+        return F.lit(float(text)) if "." in text else F.expr(text or "NULL")
+    except ValueError:
+        return F.expr(text)
 
 
 @dataclass(frozen=True)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.sizing import BROADCAST_BYTES, broadcast_if_small, hot_groups, measured_bytes, row_hash
+from millrace.operators.sizing import broadcast_if_small, hot_groups, row_hash
 from millrace.operators.windows import WindowFn, window
 
 # Accepted spellings of join types.
@@ -40,10 +40,7 @@ def join(left: DataFrame, right: DataFrame, on: Sequence, how: str = "inner", *,
     """
     how = join_type(how)
     if how == "cross":
-        # A product is only sensible against a small side; measured, not assumed.
-        if measured_bytes(right) > BROADCAST_BYTES:
-            raise ValueError("the right side of a cross join must be small; join on a key or use range_join")
-        return left.crossJoin(F.broadcast(right))
+        return left.crossJoin(broadcast_if_small(right))
     pairs = [(k, k) if isinstance(k, str) else tuple(k) for k in on]
     if not pairs:
         raise ValueError("a join needs at least one key; use how='cross' for a product")
@@ -145,23 +142,38 @@ def theta_join(left: DataFrame, right: DataFrame, condition: str | Column, how:
 
 
 def range_join(points: DataFrame, ranges: DataFrame, *, point: str, low: str, high: str, width: float,
-               on: Sequence[str] = ()) -> DataFrame:
-    """Rows with ``low <= point < high`` (and equal ``on`` keys), without a nested loop.
+               on: Sequence[str] = (), how: str = "inner") -> DataFrame:
+    """Rows with ``low <= point < high`` (and equal ``on`` keys), without a nested loop; ``how`` = inner | left.
 
-    Points and ranges meet in buckets of ``width``: each point sits in one bucket and each range
-    is listed in every bucket it touches, so the join is an equi-join that shuffles by bucket and
-    that AQE can split when a bucket is crowded. Pick ``width`` near the typical range length.
+    Points and ranges meet in buckets. A range up to ``width`` long is listed in the one or two buckets
+    of that size it touches, a longer one on the level whose buckets, twice as wide on each level,
+    first reach its length; a point is listed once per level in use. So no range is listed more than
+    twice, the join is an equi-join, and AQE can split a crowded bucket.
     """
-    p = points.withColumn("__bucket", F.floor(F.col(point) / width).cast("long"))
-    last = F.floor(F.col(high) / width).cast("long")
-    r = ranges.filter(F.col(low) < F.col(high)).withColumn(
-        "__bucket_r", F.explode(F.sequence(F.floor(F.col(low) / width).cast("long"), last)))
-    cond = (p["__bucket"] == r["__bucket_r"]) & (p[point] >= r[low]) & (p[point] < r[high])
+    if how not in ("inner", "left"):
+        raise ValueError(f"range_join takes inner or left, not {how!r}")
+    length = (F.col(high) - F.col(low)).cast("double") / width
+    ranges = ranges.filter(F.col(low) < F.col(high)).withColumn("__level", F.greatest(F.lit(0), F.ceil(F.log2(length))).cast("int"))
+    levels = sorted(r["__level"] for r in ranges.select("__level").distinct().collect())      # about a thousand exist for doubles
+
+    def bucket(c: str, level: Column) -> Column:
+        return F.floor(F.col(c) / (F.pow(F.lit(2.0), level) * width)).cast("long")
+
+    first, last = bucket(low, F.col("__level")), bucket(high, F.col("__level"))
+    r = ranges.withColumn("__bucket_r", F.explode(F.array_distinct(F.array(first, last)))).withColumnRenamed("__level", "__level_r")
+    p = points.withColumn("__level", F.explode(F.lit(levels).cast("array<int>"))).withColumn("__bucket", bucket(point, F.col("__level")))
+    cond = (p["__level"] == r["__level_r"]) & (p["__bucket"] == r["__bucket_r"]) & (p[point] >= r[low]) & (p[point] < r[high])
     for k in on:
         cond = cond & (p[k] == r[k])
-    joined = p.join(r, cond, "inner").drop("__bucket", "__bucket_r")
+    joined = p.join(r, cond, "inner").drop("__level", "__bucket", "__level_r", "__bucket_r")
     for k in on:
         joined = joined.drop(r[k])
+    if how == "left":
+        # Whether a point has a range depends on its position and keys alone.
+        keys = [point, *on]
+        met = joined.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
+        alone = points.join(met, reduce(lambda a, b: a & b, [points[k].eqNullSafe(met[f"__{k}"]) for k in keys]), "left_anti")
+        joined = joined.unionByName(alone, allowMissingColumns=True)
     return joined
 
 

@@ -46,13 +46,6 @@ def clustered(df: DataFrame, columns: Sequence[str], n: int | None = None) -> Da
     return df.repartitionByRange(*size, *columns).sortWithinPartitions(*columns)
 
 
-def spread_small_input(df: DataFrame) -> DataFrame:
-    """Use all cores for costly work per row when the input has few splits (one large row group).
-    Inputs with at least one split per core, as on a cluster, are left alone: no shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, row_hash(df)) if df.rdd.getNumPartitions() < cores else df
-
-
 def persist(df: DataFrame, level: str = "MEMORY_AND_DISK", eager: bool = False) -> DataFrame:
     kept = df.persist(LEVELS[level.upper()])
     if eager:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.aggregates import exact_percentiles
 from millrace.operators.conditions import as_condition
+from millrace.operators.sizing import join_back
 from millrace.session import materialise
 
 FAILED = "_failed_rules"
@@ -205,7 +206,7 @@ def zscore_flags(df: DataFrame, column: str, *, group_by: Sequence[str] = (), th
     aggs = [F.avg(column).alias("__avg"), F.stddev_samp(column).alias("__sd")]
     if group_by:
         stats = df.groupBy(*group_by).agg(*aggs)
-        joined = df.join(stats, list(group_by), "left")
+        joined = join_back(df, stats, group_by)
     else:
         joined = df.withColumn("__s", df.agg(F.struct(*aggs)).scalar()).select("*", "__s.*").drop("__s")
     z = F.try_divide(F.col(column) - F.col("__avg"), F.col("__sd"))
@@ -215,7 +216,7 @@ def zscore_flags(df: DataFrame, column: str, *, group_by: Sequence[str] = (), th
 def iqr_flags(df: DataFrame, column: str, *, group_by: Sequence[str] = (), k: float = 1.5, alias: str = "is_outlier") -> DataFrame:
     quartiles = exact_percentiles(df, group_by, column, {"__q1": 0.25, "__q3": 0.75})
     if group_by:
-        joined = df.join(quartiles, list(group_by), "left")
+        joined = join_back(df, quartiles, group_by)
     else:
         joined = df.withColumn("__s", quartiles.select(F.struct("__q1", "__q3")).scalar()).select("*", "__s.*").drop("__s")
     span = (F.col("__q3") - F.col("__q1")) * k

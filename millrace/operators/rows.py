@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -141,17 +142,16 @@ def dedup(df: DataFrame, keys: Sequence[str] = (), *, keep: str = "any", order_b
     if count_alias is None:
         spec = W.partitionBy(*keys).orderBy(*sort_columns(sorts))
         return df.withColumn("__rn", F.row_number().over(spec)).filter("__rn = 1").drop("__rn")
-    rest = [c for c in df.columns if c not in keys]
-    aggs = [F.count(F.lit(1)).alias(count_alias)]
-    if rest:
-        payload = F.struct(*rest)
-        if len({s.descending for s in sorts}) > 1:
-            raise ValueError("dedup with a count takes sort keys of one direction")
-        by = F.struct(*[F.col(s.column) for s in sorts])
-        pick = F.max(payload) if not sorts else (F.max_by if sorts[0].descending else F.min_by)(payload, by)
-        aggs.append(pick.alias("__row"))
-    out = df.groupBy(*keys).agg(*aggs)
-    return out.select(*[F.col(f"__row.{c}").alias(c) if c in rest else F.col(c) for c in df.columns], count_alias)
+    counted = F.count(F.lit(1)).alias(count_alias)
+    if not sorts:
+        rest = [c for c in df.columns if c not in keys]
+        out = df.groupBy(*keys).agg(counted, *([F.max(F.struct(*rest)).alias("__row")] if rest else []))
+        return out.select(*[F.col(f"__row.{c}").alias(c) if c in rest else F.col(c) for c in df.columns], count_alias)
+    # One row per key on either side; the same row as without a count, whatever directions and NULL rules.
+    picked = dedup(df, keys, keep="first", order_by=sorts)
+    copies = df.groupBy(*keys).agg(counted).withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [picked[k].eqNullSafe(copies[f"__{k}"]) for k in keys])
+    return picked.join(copies, same).select(*df.columns, count_alias)
 
 
 def fill_na(df: DataFrame, values) -> DataFrame:

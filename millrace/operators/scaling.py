@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from millrace.operators.aggregates import exact_percentiles, mode
 from millrace.operators.windows import RUNNING_ROWS, WindowFn, window
 from millrace.operators.ordering import as_sorts
+from millrace.operators.sizing import join_back
 
 
 def bucket_by_edges(df: DataFrame, column: str, edges: Sequence[float], alias: str) -> DataFrame:
@@ -38,7 +39,7 @@ def scale(df: DataFrame, column: str, method: str, alias: str, group_by: Sequenc
     aggs = [F.min(column).alias("lo"), F.max(column).alias("hi"), F.avg(column).alias("mean"), F.stddev_pop(column).alias("sd")]
     if group_by:
         stats = df.groupBy(*group_by).agg(F.struct(*aggs).alias("__s"))
-        work = df.join(stats, list(group_by), "left")
+        work = join_back(df, stats, group_by)
     else:
         work = df.withColumn("__s", df.agg(F.struct(*aggs)).scalar())
     c = F.col(column)
@@ -62,7 +63,7 @@ def impute(df: DataFrame, column: str, method: str, *, group_by: Sequence[str] =
         stats = mode(df, group_by, column, "__fill")
     else:
         raise ValueError(f"unknown method {method!r}")
-    work = df.join(stats, list(group_by), "left") if group_by else df.withColumn("__fill", stats.scalar())
+    work = join_back(df, stats, group_by) if group_by else df.withColumn("__fill", stats.scalar())
     return work.withColumn(column, F.coalesce(F.col(column), F.col("__fill").cast(df.schema[column].dataType))).drop("__fill")
 
 

@@ -8,10 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from millrace.session import materialise
+
 BROADCAST_BYTES = 64 * 1024 * 1024
 MAX_GROUP_ROWS = 2_000_000
 MAX_LISTED_GROUPS = 1_000
@@ -23,9 +26,29 @@ def measured_bytes(df: DataFrame) -> int:
     return df.agg(F.coalesce(F.sum(F.octet_length(row)), F.lit(0)).alias("b")).first()["b"]
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size of the result, without a job; for stored tables that of the columns read."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Adds the broadcast hint when the measured size fits; otherwise Spark shuffles as usual."""
-    return F.broadcast(df) if measured_bytes(df) <= max_bytes else df
+    """Adds the broadcast hint when the measured size fits; otherwise Spark shuffles as usual.
+
+    A side that the optimizer puts far above the limit is not measured, so measuring reads little.
+    """
+    return F.broadcast(df) if estimated_bytes(df) <= 4 * max_bytes and measured_bytes(df) <= max_bytes else df
+
+
+def join_back(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join statistics (one row per group) to the rows of the group; NULL keys are a group like any other.
+
+    The statistics are written first. Small ones, as usual with few groups, are then broadcast, so
+    the rows are not shuffled on the group key; else adaptive execution can split crowded groups.
+    """
+    own = {k: f"__key_{i}" for i, k in enumerate(keys)}
+    stats = broadcast_if_small(materialise(stats.withColumnsRenamed(own), "stats"))
+    same = reduce(lambda a, b: a & b, [df[f"`{k}`"].eqNullSafe(stats[own[k]]) for k in keys])
+    return df.join(stats, same, how).drop(*own.values())
 
 
 @dataclass
@@ -34,7 +57,7 @@ class HotGroups:
 
     frame: DataFrame            # key columns only
     count: int | None           # None: more than can be listed, so ``frame`` is a distributed table
-    rows: int                   # rows in all of them (a lower bound when count is None)
+    rows: int                   # rows in all of them
 
     @property
     def any(self) -> bool:
@@ -57,9 +80,9 @@ def hot_groups(df: DataFrame, keys: Sequence[str], max_rows: int = MAX_GROUP_ROW
         return HotGroups(spark.range(1).select(), 1 if n > max_rows else 0, n)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") > max_rows)
     listed: list[Row] = counts.limit(MAX_LISTED_GROUPS + 1).collect()
-    total = sum(r["__rows"] for r in listed)
     if len(listed) > MAX_LISTED_GROUPS:
-        return HotGroups(counts.select(*keys), None, total)
+        return HotGroups(counts.select(*keys), None, counts.agg(F.sum("__rows").alias("n")).first()["n"])
+    total = sum(r["__rows"] for r in listed)
     schema = counts.select(*keys).schema
     return HotGroups(spark.createDataFrame([tuple(r)[:-1] for r in listed], schema), len(listed), total)
 

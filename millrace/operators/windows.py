@@ -32,6 +32,7 @@ from millrace.session import materialise
 
 UNBOUNDED = "unbounded"
 RANKING = {"row_number", "rank", "dense_rank", "percent_rank", "cume_dist", "ntile"}
+COUNTING = {"row_number", "rank", "dense_rank", "ntile"}      # bigint: a group may hold more than an int can count
 OFFSETS = {"lag", "lead"}
 AGGREGATES = {"sum", "avg", "min", "max", "count"}
 PICKS = {"first", "last", "nth_value"}
@@ -121,7 +122,10 @@ def window(
             if counts_from is not None:
                 hot = hot_groups(df, keys, max_group_rows)
         if hot.any:
-            return _split_window(df, list(functions), keys, sorts, frame, hot, max_group_rows)
+            # The types are those of the plain window, whatever way the rows took.
+            types = {f.name: f.dataType for f in _plain_window(df, functions, keys, sorts, frame).schema}
+            cut = _split_window(df, list(functions), keys, sorts, frame, hot, max_group_rows)
+            return cut.withColumns({f.alias: F.col(f"`{f.alias}`").cast(types[f.alias]) for f in functions})
     return _plain_window(df, functions, keys, sorts, frame)
 
 
@@ -135,9 +139,8 @@ def _plain_window(df, functions, keys, sorts, frame) -> DataFrame:
     framed = frame.apply(base) if frame else base
     types = {f.name: f.dataType for f in df.schema}
     # Ranking and offset functions have a fixed frame of their own; Spark rejects any other.
-    return df.withColumns(
-        {f.alias: _call(f, types).over(base if f.name in RANKING | OFFSETS else framed) for f in functions}
-    )
+    placed = {f: _call(f, types).over(base if f.name in RANKING | OFFSETS else framed) for f in functions}
+    return df.withColumns({f.alias: c.cast("bigint") if f.name in COUNTING else c for f, c in placed.items()})
 
 
 def _call(f: WindowFn, types: dict[str, DataType]) -> Column:
@@ -209,7 +212,7 @@ class Bounds:
 
 
 def sampled_bounds(df: DataFrame, sorts: Sequence[Sort], rows: int, chunks: int) -> Bounds:
-    """Sort-key values that cut ``df`` into about ``chunks`` equal parts, from a bounded sample.
+    """Sort-key values that cut ``df`` (of ``rows`` rows) into about ``chunks`` equal parts, from a sample of about ``chunks * SAMPLES_PER_CHUNK``.
     They travel as JSON text: rounding there would only shift a border, never break the order."""
     wanted = chunks * SAMPLES_PER_CHUNK
     fraction = min(1.0, wanted / max(rows, 1))
@@ -217,7 +220,7 @@ def sampled_bounds(df: DataFrame, sorts: Sequence[Sort], rows: int, chunks: int)
     sample = df.select(*names).sample(fraction, seed=11) if fraction < 1.0 else df.select(*names)
     key = F.struct(*[F.col(s.column).alias(f"k{i}") for i, s in enumerate(sorts)])
     text = F.to_json(key, {"ignoreNullFields": "false"})
-    ordered = [r["j"] for r in sample.orderBy(*sort_columns(sorts)).limit(wanted * 4).select(text.alias("j")).collect()]
+    ordered = [r["j"] for r in sample.orderBy(*sort_columns(sorts)).select(text.alias("j")).collect()]
     step = max(1, len(ordered) // chunks)
     picked = list(dict.fromkeys(ordered[step::step]))[: chunks - 1]
     types = {f.name: f.dataType for f in df.schema}

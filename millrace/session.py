@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from functools import cache
@@ -37,9 +38,18 @@ def local_session(app: str = "millrace", cpus: int | str = "*", shuffle_partitio
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one is made only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``; where that is unset, a local one in local mode and an error on a cluster."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    return configured.rstrip("/") if configured else _local_dir()
+    if configured:
+        return configured.rstrip("/")
+    require_local(spark.conf.get("spark.master", "local"))
+    return _local_dir()
+
+
+def require_local(master: str) -> None:
+    """Executors of a cluster do not see a folder of the driver's machine."""
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share; the master is {master}")
 
 
 @cache

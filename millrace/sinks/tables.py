@@ -36,9 +36,9 @@ def jdbc_write_options(url: str, table: str, *, batch_size: int = 10_000, trunca
     return out | {k: str(v) for k, v in (options or {}).items()}
 
 
-def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", *, connections: int = 16, **kw) -> None:
-    """``connections`` bounds how many tasks write at once."""
-    df.coalesce(connections).write.format("jdbc").options(**jdbc_write_options(url, table, **kw)).mode(check_mode(mode)).save()
+def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", *, connections: int | None = None, **kw) -> None:
+    """Each task writes over a connection of its own; ``connections`` deals the rows to that many tasks first."""
+    (df.repartition(connections) if connections else df).write.format("jdbc").options(**jdbc_write_options(url, table, **kw)).mode(check_mode(mode)).save()
 
 
 def write_delta(df: DataFrame, path: str, mode: str = "append", *, partition_by: Sequence[str] = (), optimize_write: bool = False,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import timedelta
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,9 +32,16 @@ def save_watermark(mark: DataFrame, path: str) -> None:
     mark.withColumn("saved_at", F.current_timestamp()).write.mode("append").parquet(path)
 
 
-def load_watermark(spark: SparkSession, path: str, source: str):
-    row = spark.read.parquet(path).filter(F.col("source") == source).agg(F.max_by("watermark", "saved_at").alias("w")).first()
-    return row["w"]
+def load_watermark(spark: SparkSession, path: str, source: str, *, kind: str = "string", initial=None):
+    """The last mark as a value of type ``kind`` (that of the column); ``initial`` on the first run, when nothing is stored yet."""
+    try:
+        marks = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return initial
+    row = marks.filter(F.col("source") == source).agg(F.max_by("watermark", "saved_at").cast(kind).alias("w")).first()
+    return initial if row["w"] is None else row["w"]
 
 
 def partitions_since(df: DataFrame, partition: str, last, known: Sequence | None = None) -> DataFrame:

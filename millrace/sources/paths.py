@@ -4,25 +4,21 @@ from __future__ import annotations
 
 import re
 
-# Token letters and the number of characters each stands for; 0 means any number (fixed values).
-TOKEN_WIDTHS = {
-    "YYYY": 4, "YYY": 3, "YY": 2, "MONTH": 0, "MON": 3, "MM": 2, "DDD": 3, "DD": 2, "HH24": 2, "HH12": 2, "HH": 2, "MI": 2, "SS": 2,
-    "FF9": 9, "FF6": 6, "FF3": 3, "FF2": 2, "FF1": 1, "Q": 1,
+# The glob of every date token.
+TOKEN_GLOBS = {
+    "YYYY": "????", "YYY": "???", "YY": "??", "Q": "?", "MONTH": "*", "MON": "???", "MM": "??", "DDD": "???", "DD": "??",
+    "HH24": "??", "HH12": "??", "HH": "??", "MI": "??", "SS": "??", "FF9": "?????????", "FF6": "??????", "FF3": "???", "FF2": "??", "FF1": "?",
 }
-_TOKENS = re.compile("|".join(sorted(TOKEN_WIDTHS, key=len, reverse=True)))
+_PARTS = re.compile(f"(?P<token>{'|'.join(sorted(TOKEN_GLOBS, key=len, reverse=True))})|(?P<word>[A-Z]+?(?=[^A-Z]|$))|(?P<mark>.)", re.S)
+
+
+def _part_glob(part: re.Match) -> str:
+    return TOKEN_GLOBS[part["token"]] if part["token"] else "*" if part["word"] else part["mark"]
 
 
 def token_glob(token: str) -> str:
-    """One token body. Letters outside the table match anything."""
-    text = token.strip().upper()
-    if not text:
-        return "*"
-    out, at = [], 0
-    for m in _TOKENS.finditer(text):
-        out += [text[at:m.start()], "?" * TOKEN_WIDTHS[m.group()] or "*"]
-        at = m.end()
-    out.append(text[at:])
-    return re.sub(r"[A-Z0-9]+", "*", "".join(out)) if re.search("[A-Z]", "".join(out)) else "".join(out)
+    """One token body: date tokens by the table, words it does not list match anything, marks and digits stay."""
+    return _PARTS.sub(_part_glob, token.strip().upper()) or "*"
 
 
 def path_glob(path: str) -> str:

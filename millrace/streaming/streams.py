@@ -107,15 +107,28 @@ class VersionedTable:
     def at(self, version: int) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/v={version}").select("*")
 
-    def write(self, df: DataFrame, version: int) -> None:
+    def write(self, df: DataFrame, version: int, stream: str | None = None, batch: int | None = None) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/v={version}")
-        self.spark.range(1).select(F.lit(version).cast("bigint").alias("version")).write.mode("append").parquet(f"{self.path}/_versions")
+        pointer = self.spark.range(1).select(F.lit(version).cast("bigint").alias("version"), F.lit(stream).cast("string").alias("stream"), F.lit(batch).cast("bigint").alias("batch"))
+        pointer.write.mode("append").parquet(f"{self.path}/_versions")
+
+    def holds(self, stream: str, batch: int) -> bool:
+        """Whether a version made from this batch of this stream is complete."""
+        pointers = self.spark.read.parquet(f"{self.path}/_versions")
+        return bool(pointers.filter((F.col("stream") == stream) & (F.col("batch") == batch)).take(1))
 
 
 def stream_upsert(df: DataFrame, table: VersionedTable, merge: Callable[[DataFrame, DataFrame], DataFrame], *, checkpoint: str | None = None) -> StreamingQuery:
-    """Merge each micro-batch into the table. Version 0 is the initial table and batch n writes
-    version n + 1 from version n, so a replay after a failure gives the same result."""
+    """Merge each micro-batch into the latest version of the table, which makes the next one.
+
+    A version records the stream (its checkpoint folder) and batch it came from, so a batch that is
+    replayed after a failure is merged once, and streams may follow one another on the same table.
+    """
+    stream = checkpoint or scratch_path(df.sparkSession, "stream-checkpoint")
+
     def apply(batch: DataFrame, number: int) -> None:
-        table.write(merge(table.at(number), batch), number + 1)
+        if not table.holds(stream, number):
+            latest = table.version()
+            table.write(merge(table.at(latest), batch), latest + 1, stream, number)
 
-    return start_foreach(df, apply, checkpoint=checkpoint, mode="append", available_now=True)
+    return start_foreach(df, apply, checkpoint=stream, mode="append", available_now=True)

@@ -318,3 +318,80 @@ def test_sql_function_and_custom_sql(spark):
     assert sorted(r["d"] for r in out.collect()) == [0, 2]
     with pytest.raises(ValueError):
         udfs.sql_function(spark, "x(); DROP", "x INT", "INT", "1")
+
+
+# ------------------------------------------------------------------ NULL keys, long ranges, first matches
+
+
+def test_null_group_is_a_group(spark):
+    from millrace.operators import quality, scaling
+    df = spark.createDataFrame([(None, float(v)) for v in (1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 90)] + [("a", 1.0), ("a", 2.0), ("a", None)], "g string, v double")
+    flagged = quality.zscore_flags(df, "v", group_by=["g"], threshold=3.0)
+    assert [r["g"] for r in flagged.filter("is_anomaly").collect()] == [None]
+    assert quality.iqr_flags(df, "v", group_by=["g"]).filter("is_outlier").count() == 1
+    scaled = scaling.scale(df, "v", "minmax", "s", ["g"])
+    assert scaled.filter("g IS NULL AND s = 1.0").count() == 1 and scaled.count() == df.count()
+    assert scaling.impute(df, "v", "mean", group_by=["g"]).filter("v = 1.5").count() == 1
+
+
+def test_statistics_are_joined_without_a_shuffle_of_the_rows(t):
+    from millrace.operators import quality
+    plan = quality.zscore_flags(t.lineitem, "l_quantity", group_by=["l_returnflag"])._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("order", [("o", "asc", "last"), ("o", "asc", "first"), ("o", "desc", "last"), [("o", "desc", "first"), ("p", "asc")]])
+def test_dedup_with_a_count_keeps_the_same_row(spark, order):
+    from millrace.operators import rows
+    df = spark.createDataFrame([(1, None, 1), (1, 5, 2), (1, 7, 3), (1, 7, 2), (None, 4, 4), (None, 2, 5)], "k int, o int, p int")
+    order = order if isinstance(order, list) else [order, "p"]
+    for keep in ("first", "last"):
+        plain = rows.dedup(df, ["k"], keep=keep, order_by=order)
+        counted = rows.dedup(df, ["k"], keep=keep, order_by=order, count_alias="n")
+        assert {(*r, 4 if r["k"] else 2) for r in plain.collect()} == {tuple(r) for r in counted.collect()}
+
+
+@pytest.mark.parametrize("pattern, new, want", [("(?<=a)b", "X", "aXab"), (r"\\bab", "X", "Xab"), ("^a", "X", "Xbab"), ("b(?=a)", "<$0>", None), ("(a)(b)", "$2$1", "baab"), ("z", "X", "abab"), ("b$", "X", "abaX")])
+def test_first_match_sees_the_whole_text(spark, pattern, new, want):
+    from millrace.functions.recipe import Recipe, Step, run_recipes
+    pattern = pattern.replace("\\\\", "\\")
+    if want is None:
+        new, want = "<>", "a<>ab"
+    df = spark.createDataFrame([("abab",)], "x string")
+    step = Step("regex_replace", {"pattern": pattern, "replacement": new, "replaceAll": False})
+    assert run_recipes(df, [Recipe("y", "x", [step])]).first()["y"] == want
+
+
+def test_range_join_of_short_and_endless_ranges(spark):
+    from millrace.operators import joins
+    points = spark.createDataFrame([(float(p),) for p in (-5, 0, 1, 2.5, 9, 10, 1e9, 3e9)] + [(None,), (1.0,)], "x double")
+    ranges = spark.createDataFrame([("short", 0.0, 1.0), ("long", -10.0, 3e9), ("exact", 1.0, 2.0), ("wide", 2.0, 10.0), ("empty", 5.0, 5.0), ("open", None, 4.0)], "name string, lo double, hi double")
+    low = [tuple(r) for r in ranges.collect()]
+    want = sorted((p, n) for (p,) in points.collect() if p is not None for n, a, b in low if a is not None and a <= p < b)
+    got = joins.range_join(points, ranges, point="x", low="lo", high="hi", width=1.0)
+    assert sorted((r["x"], r["name"]) for r in got.collect()) == want
+    left = joins.range_join(points, ranges, point="x", low="lo", high="hi", width=1.0, how="left")
+    assert left.columns == got.columns and left.count() == len(want) + 2 and left.filter("name IS NULL").count() == 2
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from millrace.session import require_local
+    require_local("local[8]"), require_local("local[*]"), require_local("local[2, 3]")
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,3000]", "k8s://https://host"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            require_local(master)
+
+
+def test_first_incremental_run_and_typed_marks(spark, t):
+    import datetime as dt
+
+    from millrace.session import scratch_path
+    from millrace.sources import incremental
+    path = scratch_path(spark, "marks")
+    start = dt.datetime(2000, 1, 1)
+    assert incremental.load_watermark(spark, path, "events", kind="timestamp_ntz", initial=start) == start
+    incremental.save_watermark(incremental.next_watermark(t.events, "event_id", "events"), path)
+    mark = incremental.load_watermark(spark, path, "events", kind="bigint", initial=0)
+    assert mark == t.events.agg(F.max("event_id")).first()[0]
+    assert incremental.above_watermark(t.events, "event_id", mark, look_back=10).count() == 10
+    assert incremental.load_watermark(spark, path, "other", kind="bigint", initial=-1) == -1

@@ -42,6 +42,23 @@ def test_upsert_over_batches_and_replay(spark, t, rows_of):
     assert table.version() == 4 and rows_of(table.read()) == want
 
 
+def test_upserts_of_streams_in_a_row_and_replays(spark, t, rows_of):
+    table = streams.VersionedTable(spark, scratch_path(spark, "table"))
+    cols = ["user_id", "event_id", "value", "ts"]
+    rows = t.events.select(*cols)
+    table.write(rows.limit(0), 0)
+    merge = lambda now, batch: upsert(now, latest_per_key(now.unionByName(batch.select(*cols)), ["user_id"], ["ts", "event_id"]), ["user_id"])
+    early, late = t.events.filter("ts < timestamp_ntz'2024-01-15'"), t.events.filter("ts >= timestamp_ntz'2024-01-15'")
+    marks = [scratch_path(spark, "mark") for _ in range(2)]
+    for part, mark in ((late, marks[0]), (early, marks[1])):
+        path = scratch_path(spark, "source")
+        part.repartition(2).write.parquet(path)
+        run = lambda: streams.stream_upsert(streams.read_stream(spark, path, t.events.schema, max_files=1), table, merge, checkpoint=mark).awaitTermination()
+        run(), run()                    # a restart from the same checkpoint adds nothing
+    assert rows_of(table.read()) == rows_of(latest_per_key(rows, ["user_id"], ["ts", "event_id"])) and table.version() == 4
+    assert table.holds(marks[0], 0) and table.holds(marks[1], 1) and not table.holds(marks[1], 2)
+
+
 def test_watermark_needs_a_timestamp(spark, t):
     src = streams.event_time(streams.read_stream(spark, parts(spark, t, 1), t.events.schema), "ts", "1 hour")
     assert dict(src.dtypes)["ts"] == "timestamp" and src.isStreaming
