@@ -25,14 +25,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from millrace.llm.columns import col, picked
-from millrace.llm.text import WORD_BASE, mixed, pieces, run_hash, run_sums, word_hashes, word_spans
+from millrace.llm.text import WORD_BASE, mixed, pieces, ranges, run_hash, run_sums, word_hashes, word_spans
 from millrace.session import materialise
 
 SIMILARITY = 0.8
@@ -129,11 +128,6 @@ def _member(words: np.ndarray, item: np.ndarray) -> np.ndarray:
     return mixed(words ^ mixed(item.astype(np.uint64) + np.uint64(1)))
 
 
-def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """starts[0] ... starts[0] + sizes[0] - 1, starts[1] ... and so on."""
-    return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
-
-
 def _hold_enough(items: Items, hashes: np.ndarray, low: np.ndarray, high: np.ndarray, item: np.ndarray) -> np.ndarray:
     """Whether hashes[low:high] have as many words of the item as a match must keep."""
     needed = (np.array([len(w) for w in items.words]) - np.array(items.edits))[item]
@@ -141,7 +135,7 @@ def _hold_enough(items: Items, hashes: np.ndarray, low: np.ndarray, high: np.nda
     for a in range(0, len(item), 20_000):
         s = slice(a, a + 20_000)
         sizes = high[s] - low[s]
-        wanted = _member(hashes[_ranges(low[s], sizes)], np.repeat(item[s], sizes))
+        wanted = _member(hashes[ranges(low[s], sizes)], np.repeat(item[s], sizes))
         known = items.members[np.minimum(np.searchsorted(items.members, wanted), len(items.members) - 1)] == wanted
         total = np.concatenate(([0], np.cumsum(known)))
         ends = np.cumsum(sizes)
@@ -164,7 +158,7 @@ def _proposals(items: Items, hashes: np.ndarray, first: np.ndarray) -> np.ndarra
         low = np.searchsorted(wanted, h)
         at, low, h = (x[wanted[np.minimum(low, len(wanted) - 1)] == h] for x in (at, low, h))
         n = np.searchsorted(wanted, h, "right") - low
-        which = _ranges(low, n)
+        which = ranges(low, n)
         at = np.repeat(at, n)
         doc, which_item = doc_of[at], item[which]
         # One proposal for each laid-over window, however many runs it shares.
@@ -173,7 +167,7 @@ def _proposals(items: Items, hashes: np.ndarray, first: np.ndarray) -> np.ndarra
         ok = _hold_enough(items, hashes, np.maximum(start - e, first[doc]), np.minimum(start + m + e, first[doc + 1]), which_item)
         doc, which_item, start, e = doc[ok], which_item[ok], start[ok], e[ok]
         moves = 2 * e + 1
-        out.append(np.stack([np.repeat(doc, moves), np.repeat(which_item, moves), _ranges(start - e, moves)], axis=1))
+        out.append(np.stack([np.repeat(doc, moves), np.repeat(which_item, moves), ranges(start - e, moves)], axis=1))
     return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
 
 
@@ -271,16 +265,16 @@ def drop_leaks(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item
 
 
 def _clean(rows: list[tuple[int, str | None]], similarity: float, min_words: int):
-    @F.pandas_udf(BooleanType())
-    def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(BooleanType())
+    def clean(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         items = Items.of(rows, similarity, min_words)
         for texts in parts:
             ok = np.ones(len(texts), bool)
-            for a, _, offsets, data in pieces(pa.array(texts, pa.string(), from_pandas=True)):
+            for a, _, offsets, data in pieces(texts):
                 starts, ends, first = word_spans(data, offsets)
                 for doc, *_ in _matches(items, word_hashes(data, starts, ends, folded=True), first):
                     ok[a + doc] = False
-            yield pd.Series(ok)
+            yield pa.array(ok)
     return clean
 
 

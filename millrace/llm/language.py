@@ -36,7 +36,8 @@ SMOOTHING = 0.1
 NO_LANGUAGE = "und"
 LEAST_SCORE = 0.5
 LETTER = re.compile(r"[^\W\d_]")
-WORDS_AT_ONCE = 40_000      # bounds the memory of a lattice
+PIECE_BYTES = 2 << 20
+WORDS_AT_ONCE = 12_000      # bounds the memory of a lattice
 
 
 class Trie:
@@ -233,7 +234,7 @@ def judged(texts: list[bytes], trie: Trie, model: Model) -> tuple[list[str], np.
 
 
 def _rows(column: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
-    for a, b, offsets, data in text_pieces(column):
+    for a, b, offsets, data in text_pieces(column, PIECE_BYTES):
         raw = data.tobytes()
         yield a, b, [raw[x:y] for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
 
@@ -278,13 +279,13 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
 def accept(df: DataFrame, model: Model, text_col: str = "text", *, least: float = LEAST_SCORE) -> DataFrame:
     """The rows, with all their columns, whose text has a language with a posterior of at least ``least``. Null texts and texts without a letter go."""
-    @F.pandas_udf(BooleanType())
-    def accepted(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(BooleanType())
+    def accepted(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         trie = Trie(Vocabulary.load(model.path))
         for texts in parts:
             ok = np.zeros(len(texts), bool)
-            for a, b, rows in _rows(pa.array(texts, pa.string(), from_pandas=True)):
+            for a, b, rows in _rows(texts):
                 named, score = judged(rows, trie, model)
                 ok[a:b] = (np.array(named, object) != NO_LANGUAGE) & (score >= least)
-            yield pd.Series(ok)
+            yield pa.array(ok)
     return df.filter(accepted(col(text_col)))

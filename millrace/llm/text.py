@@ -115,5 +115,6 @@ def lists(flat: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArr
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, kind))
 
 
-def one_batch(table: pa.Table) -> pa.RecordBatch:
-    return table.combine_chunks().to_batches()[0]
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0] ... starts[0] + sizes[0] - 1, starts[1] ... and so on."""
+    return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
