@@ -55,8 +55,8 @@ def _by_hand() -> dict:
 
     def upsert_all_columns(spark, folder):
         o = Tables(spark, folder).orders
-        state = lambda cond: o.filter(cond).groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.min("o_orderpriority").alias("p"))
-        t, s = state("o_orderdate < timestamp_ntz'1996-01-01'"), state("o_orderdate >= timestamp_ntz'2000-06-01'")
+        state = lambda df: df.groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.min("o_orderpriority").alias("p"), F.count_if(F.col("o_orderstatus") == "O").alias("open"))
+        t, s = state(o.filter("o_orderdate < timestamp_ntz'1998-01-01'")), state(o).filter("open > 0")
         return t.join(s, t.k == s.k, "full").select(F.coalesce(s.k, t.k).alias("k"), F.coalesce(s.n, t.n).alias("n"), F.coalesce(s.p, t.p).alias("p"))
 
     return {f.__name__: f for f in (recipe_text_steps, group_having, dedup_keep_first, moving_seven_rows, upsert_all_columns)}

@@ -1,7 +1,7 @@
 """Upserts, dimensions, change flags, keys and audit columns.
 
-The old state is each customer's orders before 1996, the new state those from June 2000 on, so
-inserts, updates, deletes and unchanged keys all arise from the data itself.
+The old state is each customer's orders up to 1998, the new state all orders of the customers with
+an open one, so inserts, updates, deletes and unchanged keys all arise from the whole table.
 """
 
 from __future__ import annotations
@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from millrace.operators import merge
 from millrace.plans.registry import day, query
 
-OLD = "(SELECT o_custkey AS k, COUNT(*) AS n, MIN(o_orderpriority) AS p FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' GROUP BY 1)"
-NEW = "(SELECT o_custkey AS k, COUNT(*) AS n, MIN(o_orderpriority) AS p FROM orders WHERE o_orderdate >= TIMESTAMP '2000-06-01' GROUP BY 1)"
+OLD = "(SELECT o_custkey AS k, COUNT(*) AS n, MIN(o_orderpriority) AS p FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' GROUP BY 1)"
+NEW = "(SELECT o_custkey AS k, COUNT(*) AS n, MIN(o_orderpriority) AS p FROM orders GROUP BY 1 HAVING COUNT(*) FILTER (WHERE o_orderstatus = 'O') > 0)"
 
 
 def _state(t, condition):
@@ -20,11 +20,12 @@ def _state(t, condition):
 
 
 def _old(t):
-    return _state(t, "o_orderdate < timestamp_ntz'1996-01-01'")
+    return _state(t, "o_orderdate < timestamp_ntz'1998-01-01'")
 
 
 def _new(t):
-    return _state(t, "o_orderdate >= timestamp_ntz'2000-06-01'")
+    state = t.orders.groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.min("o_orderpriority").alias("p"), F.count_if(F.col("o_orderstatus") == "O").alias("open"))
+    return state.filter("open > 0").drop("open")
 
 
 @query("M1", sql=f"SELECT coalesce(s.k, t.k) AS k, CASE WHEN s.k IS NULL THEN t.n ELSE s.n END AS n, CASE WHEN s.k IS NULL THEN t.p ELSE s.p END AS p FROM {OLD} t FULL JOIN {NEW} s ON t.k = s.k")
