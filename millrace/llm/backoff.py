@@ -32,21 +32,23 @@ from millrace.session import materialise
 
 ORDER = 3
 ALPHA = 0.4
-CHUNK_IDS = 1 << 21
+CHUNK_IDS = 1 << 22
 SLICE_IDS = 1 << 18       # a chunk is worked through in slices of documents, which bounds the memory of a task
 RANGE_GRAMS = 1 << 22
 SCORES = "id bigint, n_tokens bigint, score double"
 
 
-def pack(values: np.ndarray) -> bytes:
-    """64-bit integers, ascending ones best: differences, equal byte positions together, compressed."""
-    steps = np.diff(values.astype(np.uint64), prepend=np.uint64(0))
+def pack(values: np.ndarray, ascending: bool = True) -> bytes:
+    """64-bit integers, of ascending ones the differences: equal byte positions together, compressed."""
+    values = values.astype(np.uint64, copy=False)
+    steps = np.diff(values, prepend=np.uint64(0)) if ascending else values
     return zstandard.ZstdCompressor(level=1).compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
-def unpack(packed: bytes) -> np.ndarray:
+def unpack(packed: bytes, ascending: bool = True) -> np.ndarray:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
-    return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view(np.uint64).ravel())
+    values = np.ascontiguousarray(raw.reshape(8, -1).T).view(np.uint64).ravel()
+    return np.cumsum(values) if ascending else values
 
 
 def ngrams(ids: np.ndarray, ends: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -94,28 +96,35 @@ def _joined_up(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*ids, np.zeros(0, np.uint32)]), np.cumsum([len(x) for x in ids], dtype=np.int64)
 
 
-def gram_table(ids: list[np.ndarray], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct n-grams of all orders in some documents, ascending, and how often each occurs."""
-    grams, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for a, b in _slices(ids):
-        for _, h in ngrams(*_joined_up(ids[a:b]), order):
-            own, n = np.unique(h, return_counts=True)
-            grams.append(own)
-            counts.append(n)
-    table, place = np.unique(np.concatenate(grams), return_inverse=True)
-    return table, np.bincount(place, np.concatenate(counts), len(table)).astype(np.int64)
+class Slice:
+    """Documents of a chunk with their n-grams: for each order where they end, the distinct ones, and which of these each is."""
+
+    def __init__(self, ids: list[np.ndarray], order: int) -> None:
+        flat, self.ends = _joined_up(ids)
+        self.grams = []
+        for last, h in ngrams(flat, self.ends, order):
+            distinct, which = np.unique(h, return_inverse=True)
+            self.grams.append((last.astype(np.int32), distinct, which.astype(np.int32)))
+
+
+def gram_table(slices: list[Slice]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of all orders, ascending, and how often each occurs."""
+    grams = np.concatenate([np.zeros(0, np.uint64), *(d for s in slices for _, d, _ in s.grams)])
+    counts = np.concatenate([np.zeros(0, np.int64), *(np.bincount(w, minlength=len(d)) for s in slices for _, d, w in s.grams)])
+    table, place = np.unique(grams, return_inverse=True)
+    return table, np.bincount(place, counts, len(table)).astype(np.int64)
 
 
 def _asked(order: int, bits: int):
     """The distinct n-grams of each chunk, by hash range."""
     def rows(chunk: int, ids: list[np.ndarray]) -> pa.RecordBatch:
-        grams, n = gram_table(ids, order)
+        grams, n = gram_table([Slice(ids[a:b], order) for a, b in _slices(ids)])
         part = (grams >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(grams), np.int64)
         cuts = np.concatenate((np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, np.int64), [len(part)]))
         spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
         return pa.RecordBatch.from_arrays([
             pa.array([int(part[a]) for a, _ in spans], pa.int64()), pa.array([chunk] * len(spans), pa.int64()),
-            pa.array([pack(grams[a:b]) for a, b in spans], pa.binary()), pa.array([pack(n[a:b]) for a, b in spans], pa.binary()),
+            pa.array([pack(grams[a:b]) for a, b in spans], pa.binary()), pa.array([pack(n[a:b], False) for a, b in spans], pa.binary()),
         ], names=["part", "chunk", "grams", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,43 +145,43 @@ def _joined(frame: pd.DataFrame) -> pd.DataFrame:
     """One hash range: add up the counts of all chunks and give each chunk the totals of its n-grams, in their order."""
     grams = [unpack(x) for x in frame["grams"]]
     table, place = np.unique(np.concatenate(grams), return_inverse=True)
-    totals = np.bincount(place, np.concatenate([unpack(x) for x in frame["n"]]).astype(np.float64)).astype(np.int64)
+    totals = np.bincount(place, np.concatenate([unpack(x, False) for x in frame["n"]]).astype(np.float64)).astype(np.int64)
     out = []
     for chunk, rows in frame.reset_index(drop=True).groupby("chunk").groups.items():
         own = grams[rows[0]] if len(rows) == 1 else np.unique(np.concatenate([grams[r] for r in rows]))
-        out.append((chunk, frame["part"].iloc[0], pack(totals[np.searchsorted(table, own)])))
+        out.append((chunk, frame["part"].iloc[0], pack(totals[np.searchsorted(table, own)], False)))
     return pd.DataFrame(out, columns=["chunk", "part", "totals"])
 
 
-def document_sums(ids: list[np.ndarray], table: np.ndarray, totals: np.ndarray, order: int, alpha: float, tokens: int) -> np.ndarray:
+def document_sums(part: Slice, table: np.ndarray, totals: np.ndarray, alpha: float, tokens: int) -> np.ndarray:
     """Scores of documents, given the totals of all their n-grams in the corpus of ``tokens`` tokens."""
-    flat, ends = _joined_up(ids)
+    ends, order = part.ends, len(part.grams)
     sizes = np.diff(ends, prepend=0)
-    doc = np.repeat(np.arange(len(ids)), sizes)
-    counts = np.zeros((order + 1, len(flat)))           # of the n-gram that ends at each position, without the document's own
-    for k, (last, h) in enumerate(ngrams(flat, ends, order), 1):
-        at = np.searchsorted(table, h)
-        _, place, own = np.unique(doc[last] * np.int64(len(table)) + at, return_inverse=True, return_counts=True)
-        counts[k, last] = totals[at] - own[place]
-    before = np.arange(len(flat)) - (ends - sizes)[doc]     # tokens of the document before each position
+    doc = np.repeat(np.arange(len(ends)), sizes)
+    counts = np.zeros((order + 1, len(doc)))            # of the n-gram that ends at each position, without the document's own
+    for k, (last, distinct, which) in enumerate(part.grams, 1):
+        _, place, own = np.unique(doc[last] * np.int64(max(1, len(distinct))) + which, return_inverse=True, return_counts=True)
+        counts[k, last] = totals[np.searchsorted(table, distinct)][which] - own[place]
+    before = np.arange(len(doc)) - (ends - sizes)[doc]     # tokens of the document before each position
     score = np.log10(np.maximum(counts[1], 0.5) / np.maximum(tokens - sizes[doc], 1))
     longest = np.minimum(before + 1, order)
     fallen = longest - 1
     for k in range(2, order + 1):
         seen = counts[k] > 0
-        context = np.concatenate(([1.0], counts[k - 1][:-1]))[:len(flat)]
+        context = np.concatenate(([1.0], counts[k - 1][:-1]))[:len(doc)]
         score = np.where(seen, np.log10(np.where(seen, counts[k], 1) / np.where(seen, context, 1)), score)
         fallen = np.where(seen, longest - k, fallen)
-    return np.bincount(doc, score + fallen * np.log10(alpha), len(ids)).astype(np.float64)
+    return np.bincount(doc, score + fallen * np.log10(alpha), len(ends)).astype(np.float64)
 
 
 def _scored(order: int, alpha: float, tokens: int):
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         ids = [unpacked(x) for x in docs["ids"].to_pylist()]
-        table, _ = gram_table(ids, order)
-        totals = np.concatenate([*map(unpack, found.sort_by("part")["totals"].to_pylist()), np.zeros(0, np.uint64)]).astype(np.int64)
+        slices = [Slice(ids[a:b], order) for a, b in _slices(ids)]
+        table, _ = gram_table(slices)
+        totals = np.concatenate([*(unpack(x, False) for x in found.sort_by("part")["totals"].to_pylist()), np.zeros(0, np.uint64)]).astype(np.int64)
         assert len(totals) == len(table), "a hash range is missing"
-        sums = [document_sums(ids[a:b], table, totals, order, alpha, tokens) for a, b in _slices(ids)]
+        sums = [document_sums(part, table, totals, alpha, tokens) for part in slices]
         return pa.table({"id": docs["id"], "n_tokens": pa.array([len(x) for x in ids], pa.int64()), "score": np.concatenate([*sums, np.zeros(0)])})
     return run
 

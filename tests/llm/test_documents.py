@@ -437,4 +437,5 @@ def test_scores_awkward(awkward, nothing):
 @given(st.lists(st.integers(0, (1 << 63) - 1), max_size=50))
 @settings(max_examples=40, deadline=None)
 def test_packing(values):
-    assert backoff.unpack(backoff.pack(np.array(values, np.uint64))).tolist() == values
+    for ascending in (True, False):
+        assert backoff.unpack(backoff.pack(np.array(values, np.uint64), ascending), ascending).tolist() == values
