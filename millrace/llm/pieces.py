@@ -27,6 +27,7 @@ from millrace.llm.text import lists, pieces as text_pieces
 from millrace.llm.vocabulary import MARK, Vocabulary, model_path
 
 REMEMBERED = 300_000
+BATCH_BYTES = 4 << 20        # the more text at once, the fewer new words in it
 
 
 class Segmenter:
@@ -117,7 +118,7 @@ def _encoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter = Segmenter(Vocabulary.load(path))
         for batch in batches:
-            for a, b, offsets, data in text_pieces(batch.column(1)):
+            for a, b, offsets, data in text_pieces(batch.column(1), BATCH_BYTES):
                 raw = data.tobytes()
                 texts = [raw[x:y] for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
                 ids = segmenter.encode([t.decode() for t in texts])

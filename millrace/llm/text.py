@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20      # arrays of eight bytes per byte of text follow from it
 MASK = (1 << 64) - 1
 BYTE_BASE = 0x9E3779B97F4A7C15 | 1
 WORD_BASE = 0xD6E8FEB86659FD93 | 1
@@ -34,7 +34,7 @@ def powers(base: int, n: int) -> np.ndarray:
         have = np.full(max(n, 1 << 16), base & MASK, np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if len(have) <= 4 * PIECE_BYTES:
+        if len(have) <= 8 * PIECE_BYTES:
             _powers[base] = have
     return have[:n]
 

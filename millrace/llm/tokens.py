@@ -17,6 +17,7 @@ from millrace.llm.text import mixed, pieces, ranges, word_hashes, word_spans
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 REMEMBERED = 400_000        # entries of one generation; two are kept
+BATCH_BYTES = 4 << 20        # the more text at once, the fewer new words in it
 END_OF_WORD = "</w>"
 #: Closing marks of words: they are a token run of their own, and so are the Latin letters before them.
 MARKS = b".,;:!?%$#*&|"
@@ -128,7 +129,7 @@ def encoded(path: str):
 
         encoder, squeeze = process_encoder(path), zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            for a, b, offsets, data in pieces(batch.column(1)):
+            for a, b, offsets, data in pieces(batch.column(1), BATCH_BYTES):
                 ids, ends = encoder.encode_rows(data, offsets)
                 packed = [squeeze.compress(_narrow(x)) for x in np.split(ids, ends[:-1])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(ends, prepend=0), pa.int64()), pa.array(packed, pa.binary())], names=["id", "n", "ids"])
