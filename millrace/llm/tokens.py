@@ -16,8 +16,8 @@ import pyarrow as pa
 from millrace.llm.text import mixed, pieces, ranges, word_hashes, word_spans
 
 WORD_TOKENIZER = "word_bpe_49k.json"
-REMEMBERED = 400_000        # entries of one generation; two are kept
-BATCH_BYTES = 4 << 20        # the more text at once, the fewer new words in it
+REMEMBERED = 250_000        # entries of one generation; two are kept
+BATCH_BYTES = 3 << 19        # the more text at once, the fewer new words in it
 END_OF_WORD = "</w>"
 #: Closing marks of words: they are a token run of their own, and so are the Latin letters before them.
 MARKS = b".,;:!?%$#*&|"
@@ -87,10 +87,10 @@ class WordEncoder:
         starts, ends, first = word_spans(data, offsets)
         if not len(starts):
             return np.zeros(0, "<u4"), np.zeros(len(offsets) - 1, np.int64)
-        last = np.maximum.accumulate(np.where(IS_MARK[data], -1, np.arange(len(data))))
+        last = np.maximum.accumulate(np.where(IS_MARK[data], np.int64(-1), np.arange(len(data))).astype(np.int32 if len(data) < 1 << 31 else np.int64))
         core = np.maximum(last[ends - 1] + 1, starts)
         after = np.concatenate(([False], data[:-1] == 0xC3))
-        odd = np.concatenate(([0], np.cumsum(~(ASCII_LETTER[data] | (data == 0xC3) | (after & C3_LETTER[data])))))
+        odd = np.concatenate(([0], np.cumsum(~(ASCII_LETTER[data] | (data == 0xC3) | (after & C3_LETTER[data])), dtype=np.int32 if len(data) < 1 << 31 else np.int64)))
         plain = (odd[core] == odd[starts]) & (core > starts)
         core[~plain] = ends[~plain]
         # Letters count as lower case (the library lowers them), all else as it is.
