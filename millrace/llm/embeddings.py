@@ -40,6 +40,7 @@ BLOCK_ROWS = 2048
 SAMPLE_ROWS = 64        # rows of the clustering sample per cell
 NEAREST, DRAWN, DEGREE, BACK, STRETCH = 40, 6, 24, 4, 1.2
 BEAM, MEDOIDS = 24, 4
+QUERIES_AT_ONCE = 64    # a dense group has many nodes to expand for each
 SLACK = 1e-4            # single precision while searching
 RADIUS = 0.05           # nodes a little out of range are expanded too: the way to one in range may lead over them
 
@@ -200,8 +201,8 @@ def range_search(x: np.ndarray, lists: list[np.ndarray], similarity: float) -> t
     starts = np.unique((x @ centres_of(x, MEDOIDS, 3).T).argmax(axis=0))
     low = similarity - SLACK
     found_q, found_n = [], []
-    for a in range(0, n, 256):
-        queries = np.arange(a, min(n, a + 256))
+    for a in range(0, n, QUERIES_AT_ONCE):
+        queries = np.arange(a, min(n, a + QUERIES_AT_ONCE))
         seen = np.zeros((len(queries), n), bool)
         _greedy(single, table, queries, starts, seen)
         seen[np.arange(len(queries)), queries] = True          # a query is a node of the graph as well
