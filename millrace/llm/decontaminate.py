@@ -13,7 +13,9 @@ these draws are a candidate pair, and an exact edit distance decides.
 Embedding every window of every length would read the corpus many times, so windows are proposed
 first, without loss: within ``e`` edits an item keeps a run of at least ``(m - e) / (e + 1)`` of
 its words, so only windows laid over a common run of that length can qualify; and it keeps
-``m - e`` words in all, so the text around must hold that many words of the item.
+``m - e`` words in all, so the text around must hold that many words of the item. Windows near an
+edge of the document, where the item may lack words that no window inside it makes up for, are few
+and are verified without the draws.
 
 The benchmark is the stated query set. It is read in blocks of ``BLOCK_WORDS`` words, each small
 enough to send to all tasks, against all documents; the corpus is never shuffled.
@@ -144,7 +146,10 @@ def _hold_enough(items: Items, hashes: np.ndarray, low: np.ndarray, high: np.nda
 
 
 def _proposals(items: Items, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Rows (document, item, window start), distinct: windows laid over a common run, moved by up to the allowed edits."""
+    """Rows (document, item, window start, at an edge), distinct: windows laid over a common run, moved by up to the allowed edits.
+
+    All windows of a run are at an edge where one of them sticks out of the document.
+    """
     out = []
     sums = run_sums(hashes, WORD_BASE)
     doc_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -165,10 +170,11 @@ def _proposals(items: Items, hashes: np.ndarray, first: np.ndarray) -> np.ndarra
         doc, which_item, start = np.unique(np.stack([doc, which_item, at - offset[which]]), axis=1)
         e, m = edits[which_item], sizes[which_item]
         ok = _hold_enough(items, hashes, np.maximum(start - e, first[doc]), np.minimum(start + m + e, first[doc + 1]), which_item)
-        doc, which_item, start, e = doc[ok], which_item[ok], start[ok], e[ok]
+        doc, which_item, start, e, m = doc[ok], which_item[ok], start[ok], e[ok], m[ok]
+        edge = (start - e < first[doc]) | (start + m + e > first[doc + 1])
         moves = 2 * e + 1
-        out.append(np.stack([np.repeat(doc, moves), np.repeat(which_item, moves), ranges(start - e, moves)], axis=1))
-    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
+        out.append(np.stack([np.repeat(doc, moves), np.repeat(which_item, moves), ranges(start - e, moves), np.repeat(edge, moves)], axis=1))
+    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 4), np.int64)
 
 
 def _matches(items: Items, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
@@ -176,21 +182,11 @@ def _matches(items: Items, hashes: np.ndarray, first: np.ndarray) -> Iterator[tu
     pairs = _proposals(items, hashes, first)
     if not len(pairs):
         return
-    hit = np.zeros(len(pairs), bool)
+    hit = pairs[:, 3] > 0
     lengths = np.array([len(w) for w in items.words])[pairs[:, 1]]
-    for length in np.unique(lengths).tolist():
-        at = np.flatnonzero(lengths == length)
-        doc = pairs[at, 0]
-        # A window may stick out of its document by the allowed edits: it is pushed inside.
-        start = np.maximum(first[doc], np.minimum(pairs[at, 2], first[doc + 1] - length))
-        room = np.minimum(first[doc + 1] - first[doc], length)
-        for short in np.unique(room).tolist():
-            some = np.flatnonzero(room == short)
-            if short == length:
-                keys = sampled_keys(hashes, start[some], length)
-                hit[at[some]] = (keys == np.stack([items.keys[k] for k in pairs[at[some], 1]])).any(axis=1)
-            else:
-                hit[at[some]] = True        # documents shorter than the item are few words: verified right away
+    for length in np.unique(lengths[~hit]).tolist():
+        at = np.flatnonzero((lengths == length) & (pairs[:, 3] == 0))
+        hit[at] = (sampled_keys(hashes, pairs[at, 2], length) == np.stack([items.keys[k] for k in pairs[at, 1]])).any(axis=1)
     kept = pairs[hit]                       # in order of document and item
     heads = np.flatnonzero(np.concatenate(([True], (kept[1:, :2] != kept[:-1, :2]).any(axis=1)))) if len(kept) else []
     for group in np.split(kept, heads[1:]) if len(kept) else ():
