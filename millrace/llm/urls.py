@@ -5,8 +5,10 @@ a context of up to ``ORDER`` bytes counts where it was seen ``CONTEXT_ROWS`` tim
 is smoothed by the one below (Witten-Bell). The log-likelihood difference per byte is compared with
 a threshold calibrated on the labelled URLs that the models have not seen (a fifth, by hash).
 
-URLs that a rule decides are the labels. All of them are counted; counts live in tables of ``SLOTS``
-hashed slots per model, so what is sent around has a fixed size whatever the input.
+URLs that a rule decides are the labels. All of them are counted, by the 64-bit hashes of contexts and
+of contexts with their next byte. Contexts seen fewer than ``CONTEXT_ROWS`` times, which no score reads,
+go with their bytes before the counts are sent around as sorted arrays. These grow with the distinct
+contexts of the labelled URLs: 16 bytes for each context byte kept, 24 for each context.
 """
 
 from __future__ import annotations
@@ -16,11 +18,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.columns import col
 from millrace.llm.text import BYTE_BASE, BYTE_VALUES, pieces, run_hash, run_sums
+from millrace.session import materialise
 
 ALLOW, BLOCK = "allow", "block"
 #: The rules as (verdict, host, path).
@@ -33,7 +37,6 @@ RULES = (
 )
 ORDER = 5
 CONTEXT_ROWS = 4
-SLOTS = 1 << 18
 BIN = 0.05
 BINS = 400          # on either side of zero; further scores share the last bin
 CALIBRATION = 5
@@ -68,47 +71,62 @@ def _padded(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
         yield a, b, out, np.arange(len(owner)) + (owner + 1) * ORDER, owner
 
 
-def _slots(sums, at: np.ndarray, before: int, after: int) -> np.ndarray:
-    return (run_hash(sums, at - before, at + after) & np.uint64(SLOTS - 1)).astype(np.int64)
+def _keys(sums, at: np.ndarray, before: int, after: int) -> np.ndarray:
+    return run_hash(sums, at - before, at + after).view(np.int64)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts (model, slot of context, slot of context and byte, n) of a task."""
+    """Partial counts (model, context, context and byte, n) of a task."""
     for batch in batches:
         rejected = np.asarray(batch.column(0)).astype(np.int64)
         for a, b, data, at, owner in _padded(batch.column(1)):
             sums = run_sums(BYTE_VALUES[data], BYTE_BASE)
             model = rejected[a:b][owner]
-            found = np.concatenate([(model * SLOTS + _slots(sums, at, k, 0)) * SLOTS + _slots(sums, at, k, 1) for k in range(ORDER + 1)])
-            key, n = np.unique(found, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array((key // (SLOTS * SLOTS)).astype(np.int32)), pa.array((key // SLOTS % SLOTS).astype(np.int32)), pa.array((key % SLOTS).astype(np.int32)), pa.array(n.astype(np.int64))], names=["model", "context", "gram", "n"])
+            for side in (0, 1):
+                here = at[model == side]
+                # The byte follows from the key of context and byte, so each of these has one context.
+                gram, first, n = np.unique(np.concatenate([_keys(sums, here, k, 1) for k in range(ORDER + 1)]), return_index=True, return_counts=True)
+                context = np.concatenate([_keys(sums, here, k, 0) for k in range(ORDER + 1)])[first]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), side, np.int32)), pa.array(context), pa.array(gram), pa.array(n.astype(np.int64))], names=["model", "context", "gram", "n"])
 
 
 @dataclass
 class Model:
-    """Counts by slot for both models: of contexts, of their different next bytes, of context and byte."""
+    """Counts of both models: of contexts, of their different next bytes, of context and byte; the keys are sorted."""
 
-    contexts: np.ndarray
-    kinds: np.ndarray
-    grams: np.ndarray
+    contexts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]       # key, n, kinds
+    grams: list[tuple[np.ndarray, np.ndarray]]                      # key, n
+    filled: bool
     threshold: float = 0.0
 
     def score(self, column: pa.Array) -> np.ndarray:
         """Log-likelihood difference per byte, accepted minus rejected; 0 where a model is empty."""
         out = np.zeros(len(column))
-        if not (self.contexts.any(axis=1)).all():
+        if not self.filled:
             return out
         for a, b, data, at, owner in _padded(column):
             sums = run_sums(BYTE_VALUES[data], BYTE_BASE)
             p = np.full((2, len(at)), 1 / 256)
             for k in range(ORDER + 1):
-                context, gram = _slots(sums, at, k, 0), _slots(sums, at, k, 1)
-                n, kinds = self.contexts[:, context], self.kinds[:, context]
-                p = np.where(n >= CONTEXT_ROWS, (self.grams[:, gram] + kinds * p) / np.maximum(n + kinds, 1), p)
+                context, gram = _keys(sums, at, k, 0), _keys(sums, at, k, 1)
+                for side in (0, 1):
+                    keys, *counts = self.contexts[side]
+                    n, kinds = _looked_up(keys, counts, context)
+                    seen, = _looked_up(self.grams[side][0], self.grams[side][1:], gram)
+                    p[side] = np.where(n >= CONTEXT_ROWS, (seen + kinds * p[side]) / np.maximum(n + kinds, 1), p[side])
             out[a:b] = np.bincount(owner, np.log(p[0]) - np.log(p[1]), b - a) / np.bincount(owner, minlength=b - a)
         return out
 
 
+def _looked_up(keys: np.ndarray, counts: Sequence[np.ndarray], wanted: np.ndarray) -> list[np.ndarray]:
+    """The counts of the wanted keys, zero for those that are not there."""
+    if not len(keys):
+        return [np.zeros(len(wanted), np.int64) for _ in counts]
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    there = keys[at] == wanted
+    return [np.where(there, x[at], 0) for x in counts]
+
+
 def _scored(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,17 +139,27 @@ def _with_scores(df: DataFrame, model: Model) -> DataFrame:
     return df.mapInArrow(_scored(model), f"{fields}, score double")
 
 
+def _sorted(table: DataFrame, key: str, counts: list[str]) -> list[tuple[np.ndarray, ...]]:
+    """For each model its keys in order and their counts."""
+    found, out = table.toArrow(), []
+    for side in (0, 1):
+        part = found.filter(pc.equal(found["model"], side))
+        keys = part[key].to_numpy()
+        order = np.argsort(keys)
+        out.append((keys[order], *(part[c].to_numpy()[order] for c in counts)))
+    return out
+
+
 def fit(df: DataFrame) -> Model:
     """Models and threshold from ``df(said, verdict)``; rows with a null verdict teach nothing."""
     labelled = df.filter(F.col("verdict").isNotNull()).select((F.col("verdict") == BLOCK).cast("int").alias("rejected"), "said")
     aside = F.pmod(F.xxhash64("said"), F.lit(CALIBRATION)) == 0
-    counts = labelled.filter(~aside).mapInArrow(_counted, "model int, context int, gram int, n bigint").groupBy("model", "context", "gram").agg(F.sum("n").alias("n"))
-    model = Model(*(np.zeros((2, SLOTS)) for _ in range(3)))
-    contexts = counts.groupBy("model", "context").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).toArrow()     # at most 2 * SLOTS rows
-    grams = counts.groupBy("model", "gram").agg(F.sum("n").alias("n")).toArrow()
-    for table, slot, into in ((contexts, "context", (("n", model.contexts), ("kinds", model.kinds))), (grams, "gram", (("n", model.grams),))):
-        for name, array in into:
-            array[table["model"].to_numpy(), table[slot].to_numpy()] = table[name].to_numpy()
+    counts = labelled.filter(~aside).mapInArrow(_counted, "model int, context bigint, gram bigint, n bigint").groupBy("model", "context", "gram").agg(F.sum("n").alias("n"))
+    counts = materialise(counts, "urls-counts")
+    contexts = materialise(counts.groupBy("model", "context").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).filter(F.col("n") >= CONTEXT_ROWS), "urls-contexts")
+    grams = counts.join(contexts.select("model", "context"), ["model", "context"], "left_semi").select("model", "gram", "n")
+    filled = counts.select("model").distinct().count() == 2
+    model = Model(_sorted(contexts, "context", ["n", "kinds"]), _sorted(grams, "gram", ["n"]), filled)
     scores = _with_scores(labelled.filter(aside), model)
     bins = F.greatest(F.lit(-BINS), F.least(F.lit(BINS), F.floor(F.col("score") / BIN))).cast("int")
     seen = scores.groupBy("rejected", bins.alias("bin")).agg(F.count("*").alias("n")).collect()                          # at most 2 * (2 * BINS + 1) rows
