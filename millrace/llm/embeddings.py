@@ -308,7 +308,7 @@ def near_copies(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 
     Vectors that are null, zero, hold null or non-finite components or have no label link with
     nothing; so do vectors of different lengths. Rows that repeat an id are one vector if they agree,
-    and else separate ones that share the id's component. A row with a null id links with nothing, has
+    and else separate ones, each with its own links. A row with a null id links with nothing, has
     a null component and is kept. An empty table gives an empty one; other columns are not read.
     """
     rows = picked(df, id=id_col, label=label_col, x=vector_col).select(F.col("id").cast("bigint").alias("id"), F.col("label").cast("string").alias("label"), F.col("x").cast("array<double>").alias("x"))
@@ -316,15 +316,18 @@ def near_copies(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     rows = rows.withColumns({"h1": F.xxhash64("label", "x"), "h2": F.xxhash64("x", "label", F.lit("again"))})
     keys = materialise(rows.select("id", "label", "h1", "h2"), "embeddings-keys")
     valid = rows.filter("label IS NOT NULL")
-    # The copies of a vector are counted on its hashes; only one of them carries it on.
-    copies = keys.filter("label IS NOT NULL").groupBy("h1", "h2").agg(F.min("id").alias("node"), F.count_distinct("id").alias("copies"))
-    copies = materialise(copies, "embeddings-copies")
-    nodes = valid.join(copies, ["h1", "h2"]).filter("id = node").select("node", "label", "x", "copies").dropDuplicates(["node"])
+    # The copies of a vector are counted on its hashes; only one of them carries it on, under its own hash: an id may have several vectors.
+    copies = keys.filter("label IS NOT NULL").groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count_distinct("id").alias("copies"))
+    copies = materialise(copies.withColumn("node", F.col("h1")), "embeddings-copies")
+    nodes = valid.join(copies, ["h1", "h2"]).filter("id = first").select("node", "label", "x", "copies").dropDuplicates(["node"])
     nodes = materialise(nodes, "embeddings-nodes")
     links = materialise(_links(nodes, similarity, cell_rows, shard_limit, block_rows, max_cells, overlap), "embeddings-links")
     counts = links.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")).select("node", F.aggregate("near", F.lit(0).cast("bigint"), lambda s, v: s + v["copies"]).alias("others"))
-    groups = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")), "embeddings-groups").withColumnRenamed("component", "least")
-    known = copies.join(counts, "node", "left").join(groups, "node", "left").select("h1", "h2", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("least", "node").alias("component"))
+    groups = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")), "embeddings-groups")
+    members = materialise(copies.join(groups, "node", "left").withColumn("group", F.coalesce("component", "node")).select("node", "first", "group"), "embeddings-members-of-groups")
+    least = materialise(members.groupBy("group").agg(F.min("first").alias("component")), "embeddings-least")
+    members = members.join(least, "group").select("node", "component")
+    known = copies.join(counts, "node", "left").join(members, "node").select("h1", "h2", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component")
     known = materialise(known, "embeddings-known")
     out = keys.join(known, ["h1", "h2"], "left")
     component = F.when(F.col("label").isNotNull(), F.col("component")).otherwise(F.col("id"))

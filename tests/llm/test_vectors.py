@@ -55,11 +55,42 @@ def test_links_against_brute_force(spark, options):
         assert got == want
 
 
-def test_recall_on_the_table(spark):
-    df = spark.read.parquet("/root/testdata/check_s/embeddings.parquet")
-    found = embeddings.near_copies(df)
+def planted(seed, vectors=6000, width=48):
+    """Near copies in groups of two to forty, with angles on both sides of the limit, among vectors of their own."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    while len(rows) < vectors:
+        centre = rng.normal(size=width)
+        size = int(rng.choice([1, 1, 1, 2, 3, 8, 40]))
+        for _ in range(size):
+            v = centre + rng.normal(size=width) * (rng.uniform(0.02, 0.2) if size > 1 else 0)
+            rows.append((len(rows), v.astype(np.float32).tolist(), int(size > 2)))
+    order = rng.permutation(len(rows))
+    return [(int(order[i]), x, label) for i, x, label in rows]
+
+
+def test_recall_of_planted_links(spark):
+    """Enough vectors for several cells; the links of every hundredth row by ``audit``, and all of them here."""
+    rows = planted(4)
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = embeddings.near_copies(df, cell_rows=400, shard_limit=2000)
+    got = {r["id"]: r["n_links"] for r in found.collect()}
+    ids, true = np.array([r[0] for r in rows]), {}
+    for label in (0, 1):
+        at = np.array([r[2] == label for r in rows])
+        x = np.array([r[1] for r in rows])[at]
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        true |= dict(zip(ids[at].tolist(), ((x @ x.T >= 0.98).sum(axis=1) - 1).tolist()))
+    total = sum(true.values())
+    assert total > 5000 and all(got[i] <= true[i] for i in true)
+    assert sum(got.values()) >= 0.97 * total
     assert embeddings.audit(df, found) >= 0.9
-    assert found.count() == df.count()
+
+
+def test_vectors_that_share_an_id_keep_their_own_links(spark):
+    rows = [(1, [1.0, 0.0, 0.0], 1), (1, [0.0, 1.0, 0.0], 1), (2, [1.0, 0.01, 0.0], 1), (3, [0.01, 1.0, 0.0], 1), (3, [0.0, 0.0, 1.0], 1)]
+    got = sorted(tuple(r) for r in embeddings.digest(embeddings.near_copies(spark.createDataFrame(rows, SCHEMA))).collect())
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (3, 1, 1, False)]
 
 
 def test_vectors_awkward(spark):
