@@ -50,10 +50,10 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, budget: float =
     ordered = weighed.withColumn("room", F.col("most").cast("double") / F.col("weight"))
     running = windows.window(ordered, [windows.WindowFn("sum", "most_so_far", "most"), windows.WindowFn("sum", "weight_so_far", "weight")],
                              order_by=["room", ("source", "asc", "last")], frame=windows.RUNNING_ROWS)
-    total = weighed.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("weights"))
-    left = F.col("words").cast("double") * budget - (F.col("most_so_far") - F.col("most")).cast("double")
-    level = running.crossJoin(F.broadcast(total)).agg(F.max(left / (F.col("weights") - F.col("weight_so_far") + F.col("weight")).cast("double")).alias("level"))
-    return weighed.crossJoin(F.broadcast(level)).select("source", "source_size", "weight", F.least(F.col("most").cast("double"), F.col("level") * F.col("weight")).alias("target"))
+    words, weights_left = weighed.agg(F.sum("source_size")).scalar(), weighed.agg(F.sum("weight")).scalar() - F.col("weight_so_far") + F.col("weight")
+    left = words.cast("double") * budget - (F.col("most_so_far") - F.col("most")).cast("double")
+    level = running.select((left / weights_left.cast("double")).alias("level")).agg(F.max("level")).scalar()
+    return weighed.select("source", "source_size", "weight", F.least(F.col("most").cast("double"), level * F.col("weight")).alias("target"))
 
 
 def _bucket(bits: int) -> Column:
