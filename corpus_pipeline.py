@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, language, pieces, repeats, shingles
+from millrace.llm import decontaminate, language, pieces, repeats, simhash
 from millrace.session import scratch_path
 
 
@@ -15,8 +15,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of near copies: five-word shingles, Jaccard similarity 0.8 and more."""
-    return shingles.first_of_each(docs)
+    """Keeps the smallest id of each group of documents whose fingerprints of three-word shingles are linked at two bits or fewer."""
+    return simhash.first_of_each(docs, shingle=simhash.SHINGLE)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ STAGES = [
     ("sentencepiece", token_ids),
 ]
 
-#: Shingle fingerprints, CGK hashing and piece segmentation are beyond SQL: tests/llm holds the rows against a brute-force version.
+#: Fingerprints, CGK hashing and piece segmentation are beyond SQL: tests/llm holds the rows against a brute-force version.
 ORACLE_SQL = None
 
 
