@@ -1,15 +1,17 @@
 """Near copies by 64-bit SimHash fingerprints that differ in at most two bits.
 
 Method: an inverted index of the eight bytes of a fingerprint by position. Two differing bits spoil
-at most two bytes, so a link shares at least six of the eight positional bytes. The pairs of a list
-are tallied (shared positional bytes), those below six go, and the rest are verified by their bits.
-
-One positional byte has only 256 values, so its lists would grow with the corpus and their pairs
-with its square. A list here stands for four positional bytes at once, two of the four byte pairs:
-two spoiled bytes leave at least two pairs whole, so each link meets in one of the six lists.
-Equal fingerprints are one entry. Lists longer than ``list_limit`` (groups of near copies) are not
-paired: two values differ in at most two bits exactly if some value is at most one bit away from
-both, so their entries meet at their 64 neighbours, which takes a fixed number of rows per entry.
+at most two bytes, so a link shares at least six of the eight positional bytes: pairs below six are
+dropped, the rest are verified by their bits.
+
+Two departures from a plain positional index, both exact. One positional byte has only 256 values,
+so its lists would grow with the corpus and their pairs with its square. A list here stands for four
+positional bytes at once, two of the four byte pairs: two spoiled bytes leave at least two pairs
+whole, so each link meets in one of the six lists, and its shared bytes are counted on the pair
+itself instead of adding up over lists. Equal fingerprints are one entry. Lists longer than
+``list_limit`` (groups of near copies) are not paired at all: two values differ in at most two bits
+exactly if some value is at most one bit away from both, so their entries meet at their 64
+neighbours, which takes a fixed number of rows per entry.
 """
 
 from __future__ import annotations
