@@ -12,7 +12,13 @@ window. With hot groups they are cut along the sort order:
   equal blocks of the now known row number. Rows near a border are copied to the neighbour
   block, which then sees all rows its frames need.
 
-Both passes are exact. Boundaries only decide how evenly the work is spread.
+* value pass - where a function depends on the sort value alone (RANGE frames open on one side,
+  running first/last over RANGE, and ranks or running RANGE aggregates when more rows share one sort
+  key than a task should take), the rows are aggregated to one row per (key, sort key) with map-side
+  combine, the window runs over those, cut in its turn if it has to be, and its values are joined
+  back. The value at a frame bound that no row has is carried from the nearest row before it.
+
+All passes are exact. Boundaries only decide how evenly the work is spread.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructField, StructType
 
 from millrace.operators.ordering import Sort, as_sorts, sort_columns
-from millrace.operators.sizing import MAX_GROUP_ROWS, HotGroups, hot_groups
+from millrace.operators.sizing import MAX_GROUP_ROWS, HotGroups, hot_groups, join_back, row_hash
 from millrace.session import materialise
 
 UNBOUNDED = "unbounded"
@@ -35,9 +41,10 @@ RANKING = {"row_number", "rank", "dense_rank", "percent_rank", "cume_dist", "nti
 COUNTING = {"row_number", "rank", "dense_rank", "ntile"}      # bigint: a group may hold more than an int can count
 OFFSETS = {"lag", "lead"}
 AGGREGATES = {"sum", "avg", "min", "max", "count"}
+SPREADS = {"stddev", "stddev_pop", "variance", "var_pop", "collect_list"}     # over moving frames; collect_list with as many elements as the frame has rows
 PICKS = {"first", "last", "nth_value"}
 # Spellings accepted from configuration.
-ALIASES = {"first_value": "first", "last_value": "last", "mean": "avg"}
+ALIASES = {"first_value": "first", "last_value": "last", "mean": "avg", "stddev_samp": "stddev", "var_samp": "variance", "array_agg": "collect_list"}
 MAX_CHUNKS = 8192
 SAMPLES_PER_CHUNK = 20
 MAX_SUMMARY_ROWS = 200_000
@@ -157,7 +164,7 @@ def _call(f: WindowFn, types: dict[str, DataType]) -> Column:
         return getattr(F, name)(f.column, f.ignore_nulls)
     if name == "count" and f.column in (None, "*"):
         return F.count(F.lit(1))
-    if name in AGGREGATES:
+    if name in AGGREGATES | SPREADS:
         return getattr(F, name)(f.column)
     raise ValueError(f"unknown window function {f.function!r}")
 
@@ -256,28 +263,30 @@ def _attach(df: DataFrame, summary: DataFrame, keys, part: str, values: Sequence
 def _split_window(df, functions, keys, sorts, frame, hot: HotGroups, max_rows: int) -> DataFrame:
     names = df.columns
     whole = frame.whole if frame else not sorts
-    half_open = frame is not None and frame.kind == "rows" and not whole and not frame.running and not frame.bounded
-    range_fns, chunk_fns, block_fns, total_fns, pick_fns, shifted_fns = [], [], [], [], [], []
+    open_rows = frame is not None and frame.kind == "rows" and not whole and not frame.running and not frame.bounded
+    open_range = frame is None or (frame.kind == "range" and not whole and not frame.bounded)
+    range_fns, chunk_fns, block_fns, total_fns, pick_fns, shifted_fns, value_fns = [], [], [], [], [], [], []
     for f in functions:
         if f.name in RANKING:
             chunk_fns.append(f)
         elif f.name in OFFSETS:
             block_fns.append(f)
-        elif f.name in AGGREGATES and whole:
+        elif f.name in AGGREGATES | SPREADS - {"collect_list"} and whole:
             total_fns.append(f)
         elif f.name in PICKS and whole and frame is not None:
             pick_fns.append(f)
         elif f.name in AGGREGATES and (frame is None or frame.running):
             chunk_fns.append(f)
-        elif f.name in AGGREGATES and half_open:
+        elif f.name in AGGREGATES and open_rows:
             shifted_fns.append(f)
-        elif f.name in AGGREGATES and frame.kind == "range" and frame.bounded and len(sorts) == 1:
+        elif f.name in AGGREGATES | {"first", "last"} and open_range:
+            value_fns.append(f)
+        elif f.name in AGGREGATES | SPREADS and frame.kind == "range" and frame.bounded and len(sorts) == 1:
             range_fns.append(f)
         elif frame is not None and frame.kind == "rows" and (frame.bounded or (frame.running and f.name in ("first", "last"))):
             block_fns.append(f)
         else:
-            # Left to Spark: first/last over running RANGE frames, and RANGE frames open on one side only.
-            return _plain_window(df, functions, keys, sorts, frame)
+            raise ValueError(f"{f.function} over this frame is not available for groups of more than {max_rows} rows")
     if total_fns:
         df = _totals(df, total_fns, keys)
     for f in pick_fns:
@@ -286,6 +295,18 @@ def _split_window(df, functions, keys, sorts, frame, hot: HotGroups, max_rows: i
         df = _range_pass(df, range_fns, keys, sorts, frame, hot, max_rows)
     if shifted_fns:
         df = _shifted_pass(df, shifted_fns, keys, sorts, frame, hot, max_rows)
+    if value_fns:
+        df = _value_pass(df, value_fns, keys, sorts, frame or RUNNING_RANGE, max_rows)
+    if chunk_fns or block_fns:
+        # Chunks keep equal sort keys together. Where those alone are too many, peers go by value, and
+        # functions that number rows get the order that Spark leaves open from a hash of the row.
+        if hot_groups(df, list(dict.fromkeys([*keys, *(s.column for s in sorts)])), max_rows).any:
+            by_value = [f for f in chunk_fns if f.name in ("rank", "dense_rank", "percent_rank", "cume_dist") or (f.name in AGGREGATES and (frame is None or frame.kind == "range"))]
+            if by_value:
+                df = _value_pass(df, by_value, keys, sorts, RUNNING_RANGE, max_rows)
+                chunk_fns = [f for f in chunk_fns if f not in by_value]
+            df = df.withColumns({"__tie": row_hash(df), "__tie_no": F.monotonically_increasing_id()})
+            sorts = [*sorts, Sort("__tie"), Sort("__tie_no")]
     if chunk_fns or block_fns:
         extra = [WindowFn("row_number", "__rn")] if block_fns else []
         df = _chunk_pass(df, chunk_fns + extra, keys, sorts, frame or RUNNING_RANGE, hot, max_rows)
@@ -294,6 +315,72 @@ def _split_window(df, functions, keys, sorts, frame, hot: HotGroups, max_rows: i
     return df.select(*names, *[f.alias for f in functions])
 
 
+def _value_pass(df, functions, keys, sorts, frame, max_rows) -> DataFrame:
+    """Functions of the sort value: one row per (key, sort key), the window over those, joined back NULL-safely.
+
+    A frame that ends k after the current value reads the running value of the nearest sort key up to
+    there: bounds are put among the sort keys as rows of their own, and the last value before each is
+    carried to it. Frames open at the far end run in reverse order.
+    """
+    names = df.columns
+    places = list(dict.fromkeys(s.column for s in sorts))
+    shift, order, swapped = frame.end, sorts, {}
+    if frame.end == UNBOUNDED:
+        shift, order, swapped = -frame.start, [s.reversed() for s in sorts], {"first": "last", "last": "first"}
+    if shift and len(sorts) != 1:
+        raise ValueError("a RANGE frame with an offset takes one sort key")
+    aggs, runs = [F.count(F.lit(1)).alias("__n")], [WindowFn("sum", "__n_run", "__n"), WindowFn("row_number", "__nr")]
+    for i, f in enumerate(functions):
+        if f.name in ("sum", "avg"):
+            aggs.append(F.sum(f.column).alias(f"__sum_{i}"))
+            runs.append(WindowFn("sum", f"__sum_run_{i}", f"__sum_{i}"))
+        if f.name in ("avg", "count"):
+            aggs.append(F.count(F.lit(1) if f.column in (None, "*") else F.col(f.column)).alias(f"__cnt_{i}"))
+            runs.append(WindowFn("sum", f"__cnt_run_{i}", f"__cnt_{i}"))
+        if f.name in ("min", "max"):
+            aggs.append(getattr(F, f.name)(f.column).alias(f"__ext_{i}"))
+            runs.append(WindowFn(f.name, f"__ext_run_{i}", f"__ext_{i}"))
+        if f.name in ("first", "last"):
+            seen = F.when(F.col(f.column).isNotNull() | F.lit(not f.ignore_nulls), F.struct(F.col(f.column).alias("v")))
+            aggs.append(getattr(F, f.name)(seen, True).alias(f"__pick_{i}"))
+            runs.append(WindowFn(swapped.get(f.name, f.name), f"__pick_run_{i}", f"__pick_{i}"))
+    groups = materialise(df.groupBy(*dict.fromkeys([*keys, *places])).agg(*aggs), "window-values")
+    cut = {"partition_by": keys, "max_group_rows": max_rows, "stable_input": True}
+    found = window(groups, runs, order_by=order, frame=RUNNING_ROWS, **cut)
+    if any(f.name in ("percent_rank", "cume_dist") for f in functions):
+        found = _totals(found, [WindowFn("sum", "__n_all", "__n")], keys)
+    if shift:
+        s, types = order[0], {f.name: f.dataType for f in groups.schema}
+        at = F.col(s.column) + F.lit(-shift if s.descending else shift).cast(types[s.column])
+        reads = [r.alias for r in runs]
+        known = found.select(*keys, F.col(s.column).alias("__at"), F.lit(0).alias("__ask"), F.col(s.column).alias("__for"), F.struct(*reads).alias("__upto"))
+        asked = groups.select(*keys, at.alias("__at"), F.lit(1).alias("__ask"), F.col(s.column).alias("__for"), F.lit(None).cast(known.schema["__upto"].dataType).alias("__upto"))
+        both = materialise(known.union(asked), "window-bounds")
+        answered = window(both, [WindowFn("last", "__got", "__upto")], order_by=[Sort("__at", s.direction, s.nulls), "__ask", "__for"], frame=RUNNING_ROWS, **cut)
+        found = answered.filter("__ask = 1").select(*keys, F.col("__for").alias(s.column), *[F.col(f"__got.{r}").alias(r) for r in reads])
+    out = {}
+    for i, f in enumerate(functions):
+        rank = (F.col("__n_run") - F.col("__n") + 1) if not shift else None
+        if f.name == "rank":
+            out[f.alias] = rank
+        elif f.name == "dense_rank":
+            out[f.alias] = F.col("__nr")
+        elif f.name == "percent_rank":
+            out[f.alias] = F.when(F.col("__n_all") > 1, (rank - 1) / F.greatest(F.col("__n_all") - 1, F.lit(1))).otherwise(F.lit(0.0))
+        elif f.name == "cume_dist":
+            out[f.alias] = F.col("__n_run") / F.col("__n_all")
+        elif f.name == "avg":
+            out[f.alias] = F.try_divide(F.col(f"__sum_run_{i}"), F.col(f"__cnt_run_{i}"))
+        elif f.name == "count":
+            out[f.alias] = F.coalesce(F.col(f"__cnt_run_{i}"), F.lit(0))
+        elif f.name in ("first", "last"):
+            out[f.alias] = F.col(f"__pick_run_{i}.v")
+        else:
+            out[f.alias] = F.col(f"__sum_run_{i}" if f.name == "sum" else f"__ext_run_{i}")
+    stats = found.select(*dict.fromkeys([*keys, *places]), *[c.alias(a) for a, c in out.items()])
+    return join_back(df, stats, list(dict.fromkeys([*keys, *places]))).select(*names, *out)
+
+
 def _whole_pick(df, f: WindowFn, keys, sorts) -> DataFrame:
     """First, last or n-th row of the whole partition: a top-n, pruned in each map task, joined back."""
     n = f.offset if f.name == "nth_value" else 1
@@ -431,6 +518,18 @@ def _ntile(rn: Column, total: Column, n: int) -> Column:
     ).cast("int")
 
 
+def block_spread(df: DataFrame, before: int, after: int, size: int) -> DataFrame:
+    """Every row in its block of ``size`` row numbers (``__own``), and copies of the ``before`` and ``after`` rows at a border in the block beyond it."""
+    place, pos = F.floor((F.col("__rn") - 1) / size), (F.col("__rn") - 1) % size
+    copies = F.array(
+        F.struct(place.alias("block"), F.lit(True).alias("own")),
+        F.when(pos >= size - before, F.struct((place + 1).alias("block"), F.lit(False).alias("own"))),
+        F.when((pos < after) & (place > 0), F.struct((place - 1).alias("block"), F.lit(False).alias("own"))),
+    )
+    spread = df.withColumn("__c", F.explode(F.filter(copies, lambda x: x.isNotNull())))
+    return spread.withColumns({"__block": F.col("__c.block"), "__own": F.col("__c.own")}).drop("__c")
+
+
 def _block_pass(df, functions, keys, frame, max_rows) -> DataFrame:
     """Blocks of consecutive row numbers plus a halo of copied border rows."""
     names = [c for c in df.columns if c != "__rn"]
@@ -440,14 +539,7 @@ def _block_pass(df, functions, keys, frame, max_rows) -> DataFrame:
     after = max([f.offset for f in functions if f.name == "lead"] + ([max(0, frame.end, frame.start)] if sliding else []) + [0])
     size = max(max_rows, before, after, 1)
     place = F.floor((F.col("__rn") - 1) / size)
-    pos = (F.col("__rn") - 1) % size
-    copies = F.array(
-        F.struct(place.alias("block"), F.lit(True).alias("own")),
-        F.when(pos >= size - before, F.struct((place + 1).alias("block"), F.lit(False).alias("own"))),
-        F.when((pos < after) & (place > 0), F.struct((place - 1).alias("block"), F.lit(False).alias("own"))),
-    )
-    spread = df.withColumn("__c", F.explode(F.filter(copies, lambda x: x.isNotNull())))
-    spread = spread.withColumns({"__block": F.col("__c.block"), "__own": F.col("__c.own")}).drop("__c")
+    spread = block_spread(df, before, after, size)
     ordered = W.partitionBy(*keys, "__block").orderBy("__rn")
     out = {}
     for f in functions:
@@ -477,11 +569,9 @@ def _block_pass(df, functions, keys, frame, max_rows) -> DataFrame:
     return spread.withColumns(out).filter("__own").select(*names, *[f.alias for f in functions])
 
 
-def _range_pass(df, functions, keys, sorts, frame, hot: HotGroups, max_rows) -> DataFrame:
-    """Sliding RANGE frame over one numeric sort key: a row is copied to every chunk whose rows see it."""
-    names, types = df.columns, {f.name: f.dataType for f in df.schema}
-    s = sorts[0]
-    sign = -1 if s.descending else 1
+def range_spread(df, keys, s: Sort, frame: Frame, hot: HotGroups, max_rows: int) -> DataFrame:
+    """Every row in its chunk (``__own``), and a copy in every other chunk (``__chunk``) whose rows see it in their RANGE frame."""
+    types, sign = {f.name: f.dataType for f in df.schema}, -1 if s.descending else 1
     flagged = _flag_hot(df, keys, hot)
     chunks = max(2, min(MAX_CHUNKS, -(-2 * hot.rows // max_rows)))
     bounds = sampled_bounds(flagged.filter("__hot") if keys else df, [s], hot.rows, chunks)
@@ -492,7 +582,13 @@ def _range_pass(df, functions, keys, sorts, frame, hot: HotGroups, max_rows) ->
 
     work = flagged.withColumns({"__own": chunk_at(0), "__from": chunk_at(-sign * frame.end), "__to": chunk_at(-sign * frame.start)})
     reach = F.sequence(F.least("__from", "__to", "__own"), F.greatest("__from", "__to", "__own"))
-    spread = work.withColumn("__chunk", F.explode(reach))
+    return work.withColumn("__chunk", F.explode(reach)).drop("__from", "__to", "__hot")
+
+
+def _range_pass(df, functions, keys, sorts, frame, hot: HotGroups, max_rows) -> DataFrame:
+    """Sliding RANGE frame over one numeric sort key: a row is copied to every chunk whose rows see it."""
+    names, types = df.columns, {f.name: f.dataType for f in df.schema}
+    spread = range_spread(df, keys, sorts[0], frame, hot, max_rows)
     framed = frame.apply(W.partitionBy(*keys, "__chunk").orderBy(*sort_columns(sorts)))
     out = {f.alias: _call(f, types).over(framed) for f in functions}
     return spread.withColumns(out).filter("__chunk = __own").select(*names, *[f.alias for f in functions])

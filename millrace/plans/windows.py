@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.operators import scaling, windows
+from millrace.operators import orderstats, scaling, windows
 from millrace.operators.merge import surrogate_key
 from millrace.operators.windows import Frame, WindowFn
 from millrace.plans.registry import money, query
@@ -130,6 +130,60 @@ def median_over_partition(t):
     return t.orders.join(m, "o_orderpriority").select("o_orderkey", F.round(F.col("o_totalprice") - F.col("med"), 6).alias("from_median"))
 
 
+@query("D-W4", sql="""
+SELECT o_orderkey, round(median(o_totalprice) OVER w, 6) AS med, COUNT(*) OVER w AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 4 PRECEDING AND 1 FOLLOWING)""")
+def moving_median(t):
+    """Median and number of the rows of a moving frame per customer."""
+    how = {"partition_by": ["o_custkey"], "order_by": ["o_orderdate", "o_orderkey"], "frame": Frame("rows", -4, 1)}
+    out = windows.window(t.orders, [WindowFn("count", "n")], **how, **STORED)
+    return orderstats.moving_median(out, "o_totalprice", "med", **how).select("o_orderkey", F.round("med", 6).alias("med"), "n")
+
+
+@query("D-W4", sql="""
+SELECT event_id, round(quantile_cont(value, 0.9) OVER w, 6) AS p90, round(quantile_cont(value, 0.25) OVER w, 6) AS p25, quantile_disc(value, 0.5) OVER w AS middle
+FROM (SELECT *, epoch_us(ts) AS tick FROM events) WINDOW w AS (PARTITION BY event_type ORDER BY tick RANGE BETWEEN 86400000000 PRECEDING AND 3600000000 FOLLOWING)""")
+def moving_percentiles(t):
+    """Percentiles of the day before and the hour after each event, among events of its kind: wide frames in large groups."""
+    df = t.events.select("event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("tick"), "value")
+    out = orderstats.moving_quantiles(df, {"p90": 0.9, "p25": 0.25, "middle": (0.5, "disc")}, "value", partition_by=["event_type"], order_by=["tick"],
+                                      frame=Frame("range", -86_400_000_000, 3_600_000_000), **STORED)
+    return out.select("event_id", F.round("p90", 6).alias("p90"), F.round("p25", 6).alias("p25"), "middle")
+
+
+@query("W3", "W5", sql="""
+SELECT l_orderkey, l_linenumber, rank() OVER w AS rk, dense_rank() OVER w AS dr, cume_dist() OVER w AS cd, CAST(SUM(CAST(l_quantity AS BIGINT)) OVER w AS BIGINT) AS upto FROM lineitem
+WINDOW w AS (PARTITION BY l_linestatus ORDER BY l_returnflag)""")
+def ranks_of_few_values(t):
+    """Two groups, three sort values: every value has more rows than one task takes here, so peers are ranked by value."""
+    df = t.lineitem.select("l_orderkey", "l_linenumber", "l_linestatus", "l_returnflag", F.col("l_quantity").cast("bigint").alias("qty"))
+    fns = [WindowFn("rank", "rk"), WindowFn("dense_rank", "dr"), WindowFn("cume_dist", "cd"), WindowFn("sum", "upto", "qty")]
+    out = windows.window(df, fns, partition_by=["l_linestatus"], order_by=["l_returnflag"], frame=windows.RUNNING_RANGE, max_group_rows=500, **STORED)
+    return out.select("l_orderkey", "l_linenumber", "rk", "dr", "cd", "upto")
+
+
+@query("W2", "W6", sql="""
+SELECT event_id, COUNT(*) OVER a AS upto_next_hour, CAST(SUM(CAST(value AS DECIMAL(15,2))) OVER a AS DOUBLE) AS spent, MAX(value) OVER b AS largest_left,
+first_value(hour) OVER b AS first_hour FROM (SELECT *, epoch_us(ts) // 3600000000 AS hour FROM events)
+WINDOW a AS (PARTITION BY event_type ORDER BY hour RANGE BETWEEN UNBOUNDED PRECEDING AND 1 FOLLOWING),
+b AS (PARTITION BY event_type ORDER BY hour RANGE BETWEEN 24 PRECEDING AND UNBOUNDED FOLLOWING)""")
+def open_ranges(t):
+    """RANGE frames open on one side, in groups above a low limit: carried by value."""
+    df = t.events.select("event_id", "event_type", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000).alias("hour"), "value", money("value").alias("v"))
+    how = {"partition_by": ["event_type"], "order_by": ["hour"], "max_group_rows": 1000}
+    out = windows.window(df, [WindowFn("count", "upto_next_hour"), WindowFn("sum", "spent", "v")], frame=Frame("range", windows.UNBOUNDED, 1), **how, **STORED)
+    out = windows.window(out, [WindowFn("max", "largest_left", "value"), WindowFn("first", "first_hour", "hour")], frame=Frame("range", -24, windows.UNBOUNDED), **how)
+    return out.select("event_id", "upto_next_hour", F.col("spent").cast("double").alias("spent"), "largest_left", "first_hour")
+
+
+@query("W5", sql="""
+SELECT o_orderkey, round(stddev_samp(o_totalprice) OVER w, 4) AS sd, round(var_pop(o_totalprice) OVER w, 2) AS vp, array_to_string(list(o_orderstatus) OVER w, '') AS states FROM orders
+WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)""")
+def moving_spread_and_lists(t):
+    fns = [WindowFn("STDDEV_SAMP", "sd", "o_totalprice"), WindowFn("var_pop", "vp", "o_totalprice"), WindowFn("array_agg", "states", "o_orderstatus")]
+    out = windows.moving(t.orders, fns, 4, partition_by=["o_custkey"], order_by=["o_orderdate", "o_orderkey"], **STORED)
+    return out.select("o_orderkey", F.round("sd", 4).alias("sd"), F.round("vp", 2).alias("vp"), F.array_join("states", "").alias("states"))
+
+
 @query("D-W5", sql="""
 WITH f AS (SELECT *, CASE WHEN date_diff('microsecond', lag(ts) OVER w, ts) // 1000000 > 14400 OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 s AS (SELECT *, SUM(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session_no FROM f)

@@ -45,7 +45,16 @@ CASES = {
     "open_start_ahead": ([WindowFn("max", "a", "price"), WindowFn("count", "b")], ["ts", ("event_id", "desc")], Frame("rows", "unbounded", 2)),
     "open_start_behind": ([WindowFn("sum", "a", "price"), WindowFn("count", "b")], ["ts", "event_id"], Frame("rows", "unbounded", -4)),
     "picks_of_whole": ([WindowFn("first", "a", "price"), WindowFn("last", "b", "price"), WindowFn("nth_value", "c", "price", offset=4), WindowFn("first", "d", "price", ignore_nulls=False)], ["ts", "event_id"], windows.WHOLE),
-    "left_to_spark": ([WindowFn("sum", "a", "price")], ["band"], Frame("range", -2, "unbounded")),
+    "open_range_end": ([WindowFn("sum", "a", "price"), WindowFn("count", "b"), WindowFn("avg", "c", "price"), WindowFn("min", "d", "price")], ["band"], Frame("range", -2, "unbounded")),
+    "open_range_end_ahead": ([WindowFn("count", "b", "price"), WindowFn("max", "d", "price")], ["band"], Frame("range", 3, "unbounded")),
+    "open_range_start": ([WindowFn("sum", "a", "price"), WindowFn("count", "b")], [("band", "desc")], Frame("range", "unbounded", 3)),
+    "open_range_start_behind": ([WindowFn("sum", "a", "price"), WindowFn("count", "b"), WindowFn("max", "c", "band")], [("band", "asc", "last")], Frame("range", "unbounded", -2)),
+    "range_to_the_end": ([WindowFn("sum", "a", "price"), WindowFn("last", "b", "band")], ["band"], Frame("range", 0, "unbounded")),
+    "picks_of_ranges": ([WindowFn("first", "a", "band"), WindowFn("last", "b", "band"), WindowFn("last", "c", "band", ignore_nulls=False)], [("band", "desc", "first")], windows.RUNNING_RANGE),
+    "picks_of_default_frame": ([WindowFn("last", "b", "band"), WindowFn("rank", "r")], ["band"], None),
+    "picks_of_open_ranges": ([WindowFn("first", "a", "band"), WindowFn("last", "b", "band", ignore_nulls=False)], ["band"], Frame("range", -3, "unbounded")),
+    "spreads_of_rows": ([WindowFn("stddev", "a", "band"), WindowFn("var_pop", "b", "band"), WindowFn("collect_list", "c", "event_type")], ["ts", "event_id"], Frame("rows", -3, 1)),
+    "spreads_of_ranges": ([WindowFn("variance", "a", "band")], ["band"], Frame("range", -2, 2)),
 }
 
 
@@ -101,3 +110,34 @@ def test_surrogate_keys_have_no_gaps(hot):
 def test_ranking_ignores_a_custom_frame(hot):
     out = windows.window(hot, [WindowFn("rank", "r"), WindowFn("sum", "s", "price")], partition_by=["user"], order_by=["event_id"], frame=windows.RUNNING_ROWS)
     assert out.count() == hot.count()
+
+
+def few_values(df, share=90):
+    """Nine of ten rows have one sort key, the others another or none."""
+    return df.withColumn("k", F.when(F.col("event_id") % 100 < share, F.lit(1)).when(F.col("event_id") % 7 != 0, F.col("band")))
+
+
+@pytest.mark.parametrize("keys", [["user"], []], ids=["key", "global"])
+def test_heavy_ties_are_ranked_by_value(hot, rows_of, keys):
+    fns = [WindowFn("rank", "a"), WindowFn("dense_rank", "b"), WindowFn("percent_rank", "c"), WindowFn("cume_dist", "d"), WindowFn("sum", "e", "price"), WindowFn("count", "f", "price"), WindowFn("min", "g", "price")]
+    run = lambda size, order: windows.window(few_values(hot), fns, partition_by=keys, order_by=order, max_group_rows=size).select("event_id", *"abcdefg")
+    for order in (["k"], [("k", "desc", "first")], ["k", ("event_type", "desc")]):
+        assert run(CUT, order).dtypes == run(PLAIN, order).dtypes
+        assert rows_of(run(CUT, order)) == rows_of(run(PLAIN, order))
+
+
+def test_rows_among_heavy_ties_are_numbered_once(hot):
+    out = windows.window(few_values(hot).drop("event_id", "ts"), [WindowFn("row_number", "n"), WindowFn("ntile", "t", n=4), WindowFn("lag", "p", "k")], order_by=["k"], max_group_rows=CUT)
+    n = hot.count()
+    assert out.agg(F.min("n"), F.max("n"), F.count_distinct("n")).first()[:] == (1, n, n)
+    ordered = [r["k"] for r in out.orderBy("n").collect()]
+    assert ordered == sorted(ordered, key=lambda k: (k is not None, k or 0)) and [r["p"] for r in out.orderBy("n").collect()][1:] == ordered[:-1]
+    sizes = [r["count"] for r in out.groupBy("t").count().collect()]
+    assert max(sizes) - min(sizes) <= 1
+
+
+def test_no_task_takes_a_heavy_tie(hot):
+    out = windows.window(few_values(hot), [WindowFn("rank", "a")], partition_by=["user"], order_by=["k"], max_group_rows=CUT)
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    with pytest.raises(ValueError):
+        windows.window(hot, [WindowFn("stddev", "a", "band")], partition_by=["user"], order_by=["band"], frame=windows.RUNNING_ROWS, max_group_rows=CUT)
