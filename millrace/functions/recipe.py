@@ -225,8 +225,9 @@ def _replace_regex(c, p, tolerant):
     pattern, new = _pattern(p), str(p.get("replacement", ""))
     if p.get("replaceAll", True):
         return F.regexp_replace(c, pattern, new)
-    # The match takes the rest of the text along, so there is one; the pattern sees the whole text.
-    return F.regexp_replace(c, rf"(?:{pattern})(?<millraceRest>[\s\S]*)", new + "${millraceRest}")
+    # The match takes the rest of the text along; the pattern sees the whole text. Another one could only be the empty
+    # match at the end, where the first one stopped (\G), unless that is also the start of the text.
+    return F.regexp_replace(c, rf"(?:\A|(?!\G))(?:{pattern})(?<millraceRest>[\s\S]*)", new + "${millraceRest}")
 
 
 @_step("matches_regex")

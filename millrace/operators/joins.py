@@ -143,15 +143,16 @@ def theta_join(left: DataFrame, right: DataFrame, condition: str | Column, how:
 
 def range_join(points: DataFrame, ranges: DataFrame, *, point: str, low: str, high: str, width: float,
                on: Sequence[str] = (), how: str = "inner") -> DataFrame:
-    """Rows with ``low <= point < high`` (and equal ``on`` keys), without a nested loop; ``how`` = inner | left.
+    """Rows with ``low <= point < high`` (and equal ``on`` keys), without a nested loop; ``how`` = inner | left | right | full.
 
     Points and ranges meet in buckets. A range up to ``width`` long is listed in the one or two buckets
     of that size it touches, a longer one on the level whose buckets, twice as wide on each level,
     first reach its length; a point is listed once per level in use. So no range is listed more than
     twice, the join is an equi-join, and AQE can split a crowded bucket.
     """
-    if how not in ("inner", "left"):
-        raise ValueError(f"range_join takes inner or left, not {how!r}")
+    if how not in ("inner", "left", "right", "full"):
+        raise ValueError(f"range_join takes inner, left, right or full, not {how!r}")
+    every_range = ranges
     length = (F.col(high) - F.col(low)).cast("double") / width
     ranges = ranges.filter(F.col(low) < F.col(high)).withColumn("__level", F.greatest(F.lit(0), F.ceil(F.log2(length))).cast("int"))
     levels = sorted(r["__level"] for r in ranges.select("__level").distinct().collect())      # about a thousand exist for doubles
@@ -168,13 +169,43 @@ def range_join(points: DataFrame, ranges: DataFrame, *, point: str, low: str, hi
     joined = p.join(r, cond, "inner").drop("__level", "__bucket", "__level_r", "__bucket_r")
     for k in on:
         joined = joined.drop(r[k])
-    if how == "left":
-        # Whether a point has a range depends on its position and keys alone.
-        keys = [point, *on]
-        met = joined.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
-        alone = points.join(met, reduce(lambda a, b: a & b, [points[k].eqNullSafe(met[f"__{k}"]) for k in keys]), "left_anti")
-        joined = joined.unionByName(alone, allowMissingColumns=True)
-    return joined
+    # Whether a point has a range, or a range a point, depends on its position and keys alone.
+    lonely = []
+    if how in ("left", "full"):
+        lonely.append(_without(points, joined, [point, *on]))
+    if how in ("right", "full"):
+        lonely.append(_without(every_range, joined, [low, high, *on]))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), lonely, joined)
+
+
+def _without(df: DataFrame, joined: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows of ``df`` whose values in ``columns`` are nowhere in ``joined``; NULLs count as values."""
+    met = joined.select(*[F.col(k).alias(f"__{k}") for k in columns]).distinct()
+    return df.join(met, reduce(lambda a, b: a & b, [df[k].eqNullSafe(met[f"__{k}"]) for k in columns]), "left_anti")
+
+
+def overlap_join(left: DataFrame, right: DataFrame, *, left_range: tuple[str, str], right_range: tuple[str, str], width: float,
+                 on: Sequence[str] = (), how: str = "inner") -> DataFrame:
+    """Pairs of half-open ranges that share a point (and equal ``on`` keys), each pair once; ``how`` = inner | left | right | full.
+
+    Two ranges overlap exactly if the later one starts inside the earlier one. So the starts of the right side meet the left
+    ranges, and the starts of the left side the right ranges where they are strictly later: two range joins on bucket
+    levels, whatever the lengths. Empty ranges overlap nothing; the other columns of both sides have names of their own.
+    """
+    if how not in ("inner", "left", "right", "full"):
+        raise ValueError(f"overlap_join takes inner, left, right or full, not {how!r}")
+    (a, b), (c, d) = left_range, right_range
+    names = [*left.columns, *[x for x in right.columns if x not in on]]
+    lefts, rights = left.filter(F.col(a) < F.col(b)), right.filter(F.col(c) < F.col(d))
+    inside = range_join(rights, lefts, point=c, low=a, high=b, width=width, on=on).select(*names)
+    around = range_join(lefts, rights, point=a, low=c, high=d, width=width, on=on).filter(F.col(a) > F.col(c)).select(*names)
+    joined = inside.unionByName(around)
+    lonely = []
+    if how in ("left", "full"):
+        lonely.append(_without(left, joined, [a, b, *on]))
+    if how in ("right", "full"):
+        lonely.append(_without(right, joined, [c, d, *on]))
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), lonely, joined)
 
 
 def zip_rows(left: DataFrame, right: DataFrame, *, left_order, right_order, policy: str = "truncate") -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
 from millrace.operators.ordering import sort_columns
 from millrace.operators.sizing import row_hash
@@ -46,6 +47,43 @@ def clustered(df: DataFrame, columns: Sequence[str], n: int | None = None) -> Da
     return df.repartitionByRange(*size, *columns).sortWithinPartitions(*columns)
 
 
+def _rank(value: Column, bounds: Sequence[float]) -> Column:
+    """How many of the ascending ``bounds`` are below ``value``: log2(len) comparisons."""
+    if not bounds:
+        return F.lit(0)
+    at = F.lit(0)
+    known = F.array(*[F.lit(float(b)) for b in bounds])
+    steps = F.array(*[F.lit(1 << e) for e in reversed(range(len(bounds).bit_length()))])
+    fits = lambda place: (place <= len(bounds)) & (F.get(known, F.least(place, F.lit(len(bounds))) - 1) < value)
+    return F.aggregate(steps, at, lambda place, step: place + F.when(fits(place + step), step).otherwise(0))
+
+
+def z_value(df: DataFrame, columns: Sequence[str], bits: int = 8, accuracy: int = 10_000) -> Column:
+    """One key for several columns: each column's quantile rank of ``bits`` bits, the bits of all columns interleaved.
+
+    The ranks come from one pass of quantile sketches, whose size does not grow with the table; NULL has rank 0.
+    """
+    if bits * len(columns) > 63:
+        raise ValueError("bits * columns must not exceed 63")
+    shares = [k / (1 << bits) for k in range(1, 1 << bits)]
+    number = {c: F.unix_micros(F.col(c).cast("timestamp")).cast("double") if isinstance(df.schema[c].dataType, (DateType, TimestampType, TimestampNTZType)) else F.col(c).cast("double") for c in columns}
+    cuts = df.agg(*[F.percentile_approx(number[c], shares, accuracy).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    key = F.lit(0).cast("bigint")
+    for i, c in enumerate(columns):
+        bounds = sorted(set(cuts[f"c{i}"] or []))
+        rank = F.when(number[c].isNotNull(), _rank(number[c], bounds)).otherwise(F.lit(0)).cast("bigint")
+        for b in range(bits):
+            bit = F.shiftright(rank, b).bitwiseAND(F.lit(1).cast("bigint"))
+            key = key.bitwiseOR(F.shiftleft(bit, b * len(columns) + i))
+    return key
+
+
+def z_ordered(df: DataFrame, columns: Sequence[str], n: int | None = None, bits: int = 8) -> DataFrame:
+    """Range-partition and sort by the interleaved ranks of ``columns``, so that ranges of any of them touch few files."""
+    keyed = df.withColumn("__z", z_value(df, columns, bits))
+    return keyed.repartitionByRange(*([n] if n else []), "__z").sortWithinPartitions("__z").drop("__z")
+
+
 def persist(df: DataFrame, level: str = "MEMORY_AND_DISK", eager: bool = False) -> DataFrame:
     kept = df.persist(LEVELS[level.upper()])
     if eager:

@@ -18,14 +18,20 @@ from millrace.operators.windows import WindowFn, window
 
 
 def unique_source(source: DataFrame, keys: Sequence[str], latest_by: Sequence[str] | None = None) -> DataFrame:
-    """One row per key: the latest by ``latest_by``, or an error at run time when a key repeats."""
+    """One row per key: the latest by ``latest_by``, or an error at run time when a key repeats.
+
+    A NULL business key is an error too: it would match nothing, and be inserted again on every run.
+    """
+    missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    named = F.lit(f"NULL in a business key ({', '.join(keys)})")
     if latest_by:
-        return latest_per_key(source, keys, latest_by).select(*source.columns)
+        latest = latest_per_key(source, keys, latest_by).select(*source.columns)
+        return latest.filter(F.when(missing, F.raise_error(named)).otherwise(F.lit(True)))
     # Numbering by key uses the same partitioning and order as the join that follows: no extra
     # shuffle or sort, and no buffering of a repeated key.
     spec = W.partitionBy(*keys).orderBy(*keys)
     message = F.concat(F.lit("several source rows for key "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]))
-    single = F.when(F.col("__rn") > 1, F.raise_error(message)).otherwise(F.lit(True))
+    single = F.when(missing, F.raise_error(named)).when(F.col("__rn") > 1, F.raise_error(message)).otherwise(F.lit(True))
     return source.withColumn("__rn", F.row_number().over(spec)).filter(single).drop("__rn")
 
 
@@ -38,10 +44,11 @@ def _pack(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     return df.select(*[F.col(k).alias(f"__{name}_{k}") for k in keys], F.struct(*df.columns).alias(name))
 
 
-def _full(target: DataFrame, source: DataFrame, keys: Sequence[str], how: str = "full") -> DataFrame:
+def _full(target: DataFrame, source: DataFrame, keys: Sequence[str], how: str = "full", null_safe: bool = False) -> DataFrame:
     """Full outer join of both rows packed as structs ``t`` and ``s``."""
     t, s = _pack(target, keys, "t"), _pack(source, keys, "s")
-    cond = reduce(lambda a, b: a & b, [t[f"__t_{k}"] == s[f"__s_{k}"] for k in keys])
+    same = [(t[f"__t_{k}"], s[f"__s_{k}"]) for k in keys]
+    cond = reduce(lambda a, b: a & b, [a.eqNullSafe(b) if null_safe else a == b for a, b in same])
     return t.join(s, cond, how).select("t", "s")
 
 
@@ -56,7 +63,7 @@ def change_hash(columns: Sequence[str]) -> Column:
 def cdc_flags(old: DataFrame, new: DataFrame, keys: Sequence[str], compare: Sequence[str] | None = None, alias: str = "change_type") -> DataFrame:
     """INSERT / UPDATE / DELETE / UNCHANGED per key, with the new values (old ones for deletes)."""
     compare = list(compare or [c for c in new.columns if c not in keys])
-    j = _full(old, new, keys)
+    j = _full(old, new, keys, null_safe=True)
     flag = (F.when(F.col("t").isNull(), "INSERT").when(F.col("s").isNull(), "DELETE")
             .when(_changed(compare, "t", "s"), "UPDATE").otherwise("UNCHANGED"))
     out = F.when(F.col("s").isNull(), F.struct(*[F.col(f"t.{c}").alias(c) for c in new.columns])).otherwise(F.col("s"))

