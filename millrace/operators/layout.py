@@ -70,7 +70,7 @@ def z_value(df: DataFrame, columns: Sequence[str], bits: int = 8, accuracy: int
     cuts = df.agg(*[F.percentile_approx(number[c], shares, accuracy).alias(f"c{i}") for i, c in enumerate(columns)]).first()
     key = F.lit(0).cast("bigint")
     for i, c in enumerate(columns):
-        bounds = sorted(set(cuts[f"c{i}"] or []))
+        bounds = sorted(cuts[f"c{i}"] or [])
         rank = F.when(number[c].isNotNull(), _rank(number[c], bounds)).otherwise(F.lit(0)).cast("bigint")
         for b in range(bits):
             bit = F.shiftright(rank, b).bitwiseAND(F.lit(1).cast("bigint"))
@@ -79,7 +79,10 @@ def z_value(df: DataFrame, columns: Sequence[str], bits: int = 8, accuracy: int
 
 
 def z_ordered(df: DataFrame, columns: Sequence[str], n: int | None = None, bits: int = 8) -> DataFrame:
-    """Range-partition and sort by the interleaved ranks of ``columns``, so that ranges of any of them touch few files."""
+    """Range-partition and sort by the interleaved ranks of ``columns``, so that ranges of any of them touch few files.
+
+    A value with many rows takes the rank of its first quantile, so that few distinct values still use all bits.
+    """
     keyed = df.withColumn("__z", z_value(df, columns, bits))
     return keyed.repartitionByRange(*([n] if n else []), "__z").sortWithinPartitions("__z").drop("__z")
 
