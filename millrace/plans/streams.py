@@ -94,6 +94,20 @@ def stream_upsert_latest(t):
     return table.read().select("user_id", "event_id", "event_type")
 
 
+@query("ST8", sql="""
+SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""")
+def stream_upsert_keyed(t):
+    """The same upsert into hash buckets: each micro-batch reads and rewrites the buckets of its own users."""
+    columns = ["user_id", "event_id", "event_type", "ts"]
+    start = t.events.filter("ts < timestamp_ntz'2024-01-10' AND event_type = 'view'").select(*columns)
+    table = streams.KeyedTable.create(latest_per_key(start, ["user_id"], ["ts", "event_id"]).select(*columns), scratch_path(t.spark, "keyed"), ["user_id"])
+    def merge(current, batch):
+        latest = latest_per_key(current.unionByName(batch.select(*columns)), ["user_id"], ["ts", "event_id"])
+        return upsert(current, latest, ["user_id"])
+    streams.stream_upsert(_stream(t), table, merge).awaitTermination()
+    return table.read().select("user_id", "event_id", "event_type")
+
+
 @query("D-W5", "ST4", sql="""
 WITH f AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts > lag(ts) OVER w + INTERVAL 4 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT user_id, ts, SUM(new) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS no FROM f)
