@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.sizing import broadcast_if_small, hot_groups, row_hash
+from millrace.operators.sizing import MAX_GROUP_ROWS, broadcast_if_small, hot_groups, row_hash
 from millrace.operators.windows import WindowFn, window
 
 # Accepted spellings of join types.
@@ -30,12 +30,12 @@ def join_type(text: str) -> str:
 
 
 def join(left: DataFrame, right: DataFrame, on: Sequence, how: str = "inner", *, broadcast: str | None = None,
-         salt: int = 0, conflict: str = "error", prefix: str = "right_") -> DataFrame:
+         salt: int = 0, hot_rows: int = MAX_GROUP_ROWS, conflict: str = "error", prefix: str = "right_") -> DataFrame:
     """Equi-join. Each key is a shared name or a ``(left name, right name)`` pair; all must match.
 
     A shared key appears once (coalesced for right and full joins), the right column of a pair is
     dropped. ``broadcast`` = left | right asks for a broadcast, granted after measuring that side.
-    ``salt`` > 1 spreads hot left keys over that many tasks. ``conflict`` decides about other
+    ``salt`` > 1 spreads left keys with more than ``hot_rows`` rows over that many tasks. ``conflict`` decides about other
     columns present on both sides: error | prefix | drop_right.
     """
     how = join_type(how)
@@ -53,7 +53,7 @@ def join(left: DataFrame, right: DataFrame, on: Sequence, how: str = "inner", *,
     keyed = right.withColumnsRenamed(renamed)
     cond = reduce(lambda a, b: a & b, [left[l] == keyed[renamed[r]] for l, r in pairs])
     if salt > 1 and how in ("inner", "left", "left_semi", "left_anti"):
-        left, keyed, extra = _salt(left, keyed, [l for l, _ in pairs], [renamed[r] for _, r in pairs], salt)
+        left, keyed, extra = _salt(left, keyed, [l for l, _ in pairs], [renamed[r] for _, r in pairs], salt, hot_rows)
         cond = reduce(lambda a, b: a & b, [left[l] == keyed[renamed[r]] for l, r in pairs]) & extra(left, keyed)
     joined = left.join(keyed, cond, how)
     if how in ("left_semi", "left_anti"):
@@ -80,9 +80,9 @@ def _resolve_conflicts(left, right, pairs, how, conflict, prefix):
     raise ValueError(f"columns on both sides: {shared}; choose conflict='prefix' or 'drop_right'")
 
 
-def _salt(left, right, left_keys, right_keys, salts):
+def _salt(left, right, left_keys, right_keys, salts, hot_rows):
     """Spread rows of hot left keys by a row hash and repeat only the matching right rows."""
-    hot = hot_groups(left, left_keys)
+    hot = hot_groups(left.select(*left_keys).dropna(), left_keys, hot_rows, sketch=True)      # NULL keys meet nothing
     if not hot.any:
         return left.withColumn("__salt", F.lit(0)), right.withColumn("__salt_r", F.lit(0)), lambda l, r: l["__salt"] == r["__salt_r"]
     names = [f"__k_{i}" for i in range(len(left_keys))]

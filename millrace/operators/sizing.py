@@ -64,11 +64,38 @@ class HotGroups:
         return self.count is None or self.count > 0
 
 
-def hot_groups(df: DataFrame, keys: Sequence[str], max_rows: int = MAX_GROUP_ROWS, *, screen: bool = False) -> HotGroups:
+SKETCH_ITEMS = 1 << 16
+SKETCH_GROUPS = 64
+
+
+def hot_candidates(df: DataFrame, keys: Sequence[str], max_rows: int, items: int = SKETCH_ITEMS) -> tuple[int, list[int] | None]:
+    """(rows, hashes of the keys that may own more than ``max_rows`` of them) from one pass that reads the keys only.
+
+    Each task keeps a frequent-items sketch of key hashes. The sketches merge in two steps, ``SKETCH_GROUPS`` at a
+    time, so no single task receives them all and no key is shuffled. A sketch for ``items`` has a table of
+    2^ceil(log2(items / 0.75)) counters, and its error is at most 3.5 rows in that many; it names every key above
+    twice its error. Where that bound exceeds ``max_rows`` the table is too long for the sketch and None is returned.
+    """
+    hashed = df.select(F.xxhash64(*[F.col(f"`{k}`") for k in keys]).alias("h"))
+    parts = (hashed.groupBy(F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("g"))
+             .agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k_accumulate(h, {items})").alias("s")))
+    # Grouped by a constant, since sketches cannot be combined where there are none.
+    whole = parts.groupBy(F.lit(True).alias("all")).agg(F.sum("n").alias("n"), F.expr(f"approx_top_k_estimate(approx_top_k_combine(s, {items}), {items})").alias("top")).first()
+    if whole is None:
+        return 0, []
+    counters = 1 << (int(items / 0.75) - 1).bit_length()
+    if 2 * 3.5 * whole["n"] / counters > max_rows:
+        return whole["n"], None
+    # An estimate lies within one error of the truth, which is at most half of ``max_rows`` here.
+    return whole["n"], [r["item"] for r in whole["top"] if 2 * r["count"] > max_rows]
+
+
+def hot_groups(df: DataFrame, keys: Sequence[str], max_rows: int = MAX_GROUP_ROWS, *, screen: bool = False, sketch: bool = False) -> HotGroups:
     """Find the groups above ``max_rows``.
 
-    Counting combines on the map side, so a dominant key costs one partial row per task. At most
-    ``MAX_LISTED_GROUPS`` keys are listed on the driver; beyond that the keys stay a DataFrame.
+    Counting combines on the map side, so a dominant key costs one partial row per task. With ``sketch`` only the
+    rows of keys that a sketch names are counted, so a table without hot keys shuffles none of its keys; a table
+    too long for the sketch is counted whole. Results are the same. At most ``MAX_LISTED_GROUPS`` keys are listed on the driver; beyond that the keys stay a DataFrame.
     ``screen`` counts all rows first, which file footers answer for a stored table: when the whole
     table fits, no group can be too large.
     """
@@ -78,6 +105,13 @@ def hot_groups(df: DataFrame, keys: Sequence[str], max_rows: int = MAX_GROUP_ROW
     if not keys:
         n = df.count()
         return HotGroups(spark.range(1).select(), 1 if n > max_rows else 0, n)
+    if sketch:
+        maybe = hot_candidates(df, keys, max_rows)[1]
+        if maybe == []:
+            return HotGroups(df.select(*keys).limit(0), 0, 0)
+        if maybe:       # no more than the sketch holds, eight bytes each
+            named = F.broadcast(spark.createDataFrame([(h,) for h in maybe], "__h BIGINT"))
+            df = df.select(*keys).join(named, F.xxhash64(*[F.col(f"`{k}`") for k in keys]) == F.col("__h"), "left_semi")
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") > max_rows)
     listed: list[Row] = counts.limit(MAX_LISTED_GROUPS + 1).collect()
     if len(listed) > MAX_LISTED_GROUPS:

@@ -77,6 +77,16 @@ def join_salted(t):
     return j.groupBy("o_orderkey").agg(total("l_extendedprice").alias("revenue"))
 
 
+@query("J5", sql=f"""
+SELECT o_orderkey, l_linenumber, o_orderstatus, spend FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+JOIN (SELECT o_orderstatus AS status, {sql_total('o_totalprice')} AS spend FROM orders GROUP BY 1) s ON s.status = o_orderstatus WHERE l_linenumber <= 2""")
+def join_salted_hot_status(t):
+    """Each status owns a large share of the rows: those above a tenth of them are spread, their right rows repeated."""
+    lines = joins.join(t.orders.select("o_orderkey", "o_orderstatus"), t.lineitem.filter("l_linenumber <= 2").select("l_orderkey", "l_linenumber"), [("o_orderkey", "l_orderkey")])
+    spend = t.orders.groupBy(F.col("o_orderstatus").alias("status")).agg(total("o_totalprice").alias("spend"))
+    return joins.join(lines, spend, [("o_orderstatus", "status")], salt=16, hot_rows=t.orders.count() // 10)
+
+
 @query("J6", sql="""
 SELECT s.o_orderstatus, p.o_orderpriority, COUNT(o.o_orderkey) AS n FROM (SELECT DISTINCT o_orderstatus FROM orders) s CROSS JOIN (SELECT DISTINCT o_orderpriority FROM orders) p
 LEFT JOIN orders o ON o.o_orderstatus = s.o_orderstatus AND o.o_orderpriority = p.o_orderpriority GROUP BY 1, 2""")

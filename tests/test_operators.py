@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.operators import aggregates, joins, layout, masking, merge, nested, quality, rows, sets, udfs
+from millrace.operators import aggregates, joins, layout, masking, merge, nested, quality, rows, sets, sizing, udfs
 from millrace.operators.aggregates import Agg
 from millrace.operators.conditions import Condition, as_condition, case_when, operand
 from millrace.operators.ordering import Sort, as_sorts
@@ -121,12 +121,11 @@ def test_semi_join_keeps_left_column_named_like_right_key(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_equals_plain(spark, rows_of, monkeypatch, how):
+def test_salted_join_equals_plain(spark, rows_of, how):
     hot = spark.range(300).select(F.when(F.col("id") < 200, 7).otherwise(F.col("id")).alias("k"), "id")
     right = spark.createDataFrame([(7, "x"), (7, "y"), (250, "z")], "k bigint, r string")
     plain = rows_of(joins.join(hot, right, ["k"], how))
-    monkeypatch.setattr(joins, "hot_groups", lambda df, keys: __import__("millrace.operators.sizing", fromlist=["x"]).hot_groups(df, keys, 50))
-    assert rows_of(joins.join(hot, right, ["k"], how, salt=8)) == plain
+    assert rows_of(joins.join(hot, right, ["k"], how, salt=8, hot_rows=50)) == plain
 
 
 def test_lookup_policies(spark):
@@ -447,3 +446,33 @@ def test_interleaved_ranks(spark):
     assert layout.z_ordered(df, ["a", "b"], 8).count() == 4096 and layout.z_ordered(df.limit(0), ["a"], 4).count() == 0
     with pytest.raises(ValueError):
         layout.z_value(df, ["a", "b"], 40)
+
+
+# ------------------------------------------------------------------ hot keys
+
+
+@pytest.mark.parametrize("limit", [1, 20, 400, 5000])
+def test_hot_groups_by_sketch_equal_a_full_count(spark, limit):
+    df = spark.range(20_000).selectExpr("CASE WHEN id % 3 = 0 THEN NULL WHEN id % 7 = 0 THEN 'a' WHEN id % 11 = 0 THEN concat('b', id % 40) ELSE concat('k', id) END AS k", "id % 2 AS j")
+    want = {tuple(r)[:2] for r in df.groupBy("k", "j").count().filter(F.col("count") > limit).collect()}
+    found = sizing.hot_groups(df, ["k", "j"], limit, sketch=True)
+    assert {tuple(r) for r in found.frame.collect()} == want and found.count == len(want)
+    assert found.rows == sum(r["count"] for r in df.groupBy("k", "j").count().filter(F.col("count") > limit).collect())
+
+
+def test_hot_candidates_read_keys_only_and_know_their_bound(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.range(30_000).selectExpr("if(id % 3 = 0, -1, id) AS k", "repeat('x', 50) AS rest").write.parquet(path)
+    n, maybe = sizing.hot_candidates(spark.read.parquet(path), ["k"], 1000)
+    assert n == 30_000 and maybe == [r[0] for r in spark.sql("SELECT xxhash64(-1L)").collect()]
+    assert sizing.hot_candidates(spark.read.parquet(path), ["k"], 100, items=64) == (30_000, None)        # too long for 128 counters
+    n, maybe = sizing.hot_candidates(spark.read.parquet(path).limit(0), ["k"], 10)
+    assert n == 0 and maybe == []
+    assert not sizing.hot_groups(spark.read.parquet(path).filter("k >= 0"), ["k"], 10, sketch=True).any
+
+
+def test_salted_branch_is_in_the_plan_of_hot_keys_only(spark, capsys):
+    left = spark.range(4000).selectExpr("if(id % 2 = 0, 0, id) AS k", "id AS v")
+    right = spark.range(4000).selectExpr("id AS k", "id AS w")
+    shown = lambda rows: (joins.join(left, right, ["k"], salt=8, hot_rows=rows).explain(), capsys.readouterr().out)[1]
+    assert "pmod" in shown(1000) and "pmod" not in shown(3000)
