@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
+from millrace.operators.aggregates import exact_percentiles, mode
 from millrace.operators.windows import top_n
 
 # Patterns used to classify text values (fixed values).
@@ -20,6 +21,24 @@ TYPE_PATTERNS = {
 }
 
 
+# Shapes that a text profile counts (fixed values).
+TEXT_PATTERNS = {
+    "email": r"^[^@\s]+@[^@\s]+\.[^@\s.]+$",
+    "phone": r"^(?!\d{4}-\d{2}-\d{2}$)\+?[0-9][0-9 ().-]{5,18}[0-9]$",
+    "date": r"^\d{4}-\d{2}-\d{2}$",
+    "uuid": r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$",
+}
+PERCENTILES = {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
+
+
+def _quoted(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def profile(df: DataFrame, columns: Sequence[str] | None = None, *, exact_distinct: bool = False, rsd: float = 0.02) -> DataFrame:
     """One row per column: rows, nulls, null %, distinct, min, max, mean, stddev, text lengths,
     empty, zero and negative counts.
@@ -32,7 +51,7 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, *, exact_distin
     types = {f.name: f.dataType for f in df.schema}
     aggs, fields = ["count(1) AS n"], []
     for i, c in enumerate(names):
-        q, number, text = f"`{c}`", isinstance(types[c], NumericType), isinstance(types[c], StringType)
+        q, number, text = _quoted(c), isinstance(types[c], NumericType), isinstance(types[c], StringType)
         parts = {
             "null_count": f"count_if({q} IS NULL)",
             "distinct_count": "count_if(false)" if exact_distinct else f"approx_count_distinct({q}, {rsd})",
@@ -47,7 +66,7 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, *, exact_distin
             "max_length": f"max(length({q}))" if text else "max(CAST(NULL AS INT))",
         }
         aggs += [f"{a} AS c{i}_{k}" for k, a in parts.items()]
-        fields.append(f"named_struct('column_name', '{c}', 'data_type', '{types[c].simpleString()}', 'row_count', n, "
+        fields.append(f"named_struct('column_name', {_text(c)}, 'data_type', '{types[c].simpleString()}', 'row_count', n, "
                       f"'null_pct', coalesce(try_divide(c{i}_null_count * 100D, n), 0D), " + ", ".join(f"'{k}', c{i}_{k}" for k in parts) + ")")
     out = df.agg(*[F.expr(a) for a in aggs]).selectExpr(f"inline(array({', '.join(fields)}))")
     if exact_distinct:
@@ -56,9 +75,60 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, *, exact_distin
     return out
 
 
+def number_profile(df: DataFrame, columns: Sequence[str] | None = None, *, bins: int = 10, exact: bool = True, accuracy: int = 10_000) -> DataFrame:
+    """One row per numeric column: values, variance, mode, percentiles (``PERCENTILES``) and an equal-width histogram.
+
+    The table is read a fixed number of times, however many columns there are: once for bounds and variance, once for the
+    histogram between them, once each for modes and exact percentiles. ``exact=False`` takes the
+    percentiles from mergeable summaries in the first pass instead: actual values whose rank is off by at most
+    1 / ``accuracy`` of the values. Values are compared as doubles; NULL and NaN are left out, and a column without
+    values has NULLs and an empty histogram. On ties the mode is the smallest value.
+    """
+    types = {f.name: f.dataType for f in df.schema}
+    names = list(columns or [c for c in df.columns if isinstance(types[c], NumericType)])
+    values = {c: F.nanvl(F.col(_quoted(c)).cast("double"), F.lit(None).cast("double")) for c in names}
+    points = list(PERCENTILES.values())
+    aggs = []
+    for i, c in enumerate(names):
+        v = values[c]
+        sketch = F.lit(None).cast("array<double>") if exact else F.percentile_approx(v, points, accuracy)
+        aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"), F.var_samp(v).alias(f"var{i}"), sketch.alias(f"p{i}")]
+    found = df.agg(*aggs).first()           # a few numbers for each column
+    rows = [(c, found[f"n{i}"], found[f"lo{i}"], found[f"hi{i}"], found[f"var{i}"], *(found[f"p{i}"] or [None] * len(points))) for i, c in enumerate(names)]
+    kinds = ", ".join(f"{k} DOUBLE" for k in ("min_value", "max_value", "variance", *PERCENTILES))
+    base = df.sparkSession.createDataFrame(rows, f"column_name STRING, values_seen BIGINT, {kinds}")
+
+    def placed(c: str, i: int):
+        low, high = found[f"lo{i}"], found[f"hi{i}"]
+        if low is None or low == high:
+            return F.lit(0)
+        return F.least(F.floor((values[c] - F.lit(low)) / F.lit(high - low) * bins), F.lit(bins - 1)).cast("int")
+
+    melted = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), values[c].alias("value"), placed(c, i).alias("bin")) for i, c in enumerate(names)]))).filter("value IS NOT NULL")
+    counted = melted.groupBy("column_name", "bin").agg(F.count(F.lit(1)).alias("n"))
+    each = [F.sum(F.when(F.col("bin") == b, F.col("n")).otherwise(0)) for b in range(bins)]
+    out = base.join(counted.groupBy("column_name").agg(F.array(*each).alias("histogram")), "column_name", "left")
+    out = out.join(mode(melted, ["column_name"], "value", "mode"), "column_name", "left")
+    if exact:
+        out = out.drop(*PERCENTILES).join(exact_percentiles(melted, ["column_name"], "value", PERCENTILES), "column_name", "left")
+    return out.select("column_name", "values_seen", "min_value", "max_value", "variance", "mode", *PERCENTILES, F.coalesce("histogram", F.array().cast("array<bigint>")).alias("histogram"))
+
+
+def text_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """One row per text column: values, mean length and how many values have each shape of ``TEXT_PATTERNS``; one aggregate."""
+    types = {f.name: f.dataType for f in df.schema}
+    names = list(columns or [c for c in df.columns if isinstance(types[c], StringType)])
+    aggs, fields = [], []
+    for i, c in enumerate(names):
+        v = F.col(_quoted(c))
+        aggs += [F.count(v).alias(f"n{i}"), F.avg(F.length(v)).alias(f"len{i}"), *[F.count_if(v.rlike(p)).alias(f"{k}{i}") for k, p in TEXT_PATTERNS.items()]]
+        fields.append(F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("values_seen"), F.col(f"len{i}").alias("mean_length"), *[F.col(f"{k}{i}").alias(f"{k}_count") for k in TEXT_PATTERNS]))
+    return df.agg(*aggs).select(F.inline(F.array(*fields)))
+
+
 def _values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, value as text, frequency) for all columns, counted in one grouped pass."""
-    items = ", ".join(f"named_struct('column_name', '{c}', 'value', CAST(`{c}` AS STRING))" for c in columns)
+    items = ", ".join(f"named_struct('column_name', {_text(c)}, 'value', CAST({_quoted(c)} AS STRING))" for c in columns)
     return df.selectExpr(f"inline(array({items}))").groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("frequency"))
 
 
@@ -94,13 +164,13 @@ def infer_types(df: DataFrame, columns: Sequence[str], required_share: float = 1
     """Best type for text columns from the whole table: one aggregate of match counts per column."""
     aggs, fields = [], []
     for i, c in enumerate(columns):
-        text, n, need = f"trim(`{c}`)", f"c{i}_n", f"c{i}_n * {required_share}D"
+        text, n, need = f"trim({_quoted(c)})", f"c{i}_n", f"c{i}_n * {required_share}D"
         aggs.append(f"count_if({text} != '') AS {n}")
         aggs += [f"count_if({text} RLIKE r'{p}') AS c{i}_{t}" for t, p in TYPE_PATTERNS.items()]
         hit = {t: f"c{i}_{t}" for t in TYPE_PATTERNS}
         kind = (f"CASE WHEN {n} = 0 THEN 'string' WHEN {hit['integer']} >= {need} THEN 'integer' WHEN {hit['integer']} + {hit['decimal']} >= {need} THEN 'decimal' "
                 f"WHEN {hit['boolean']} >= {need} THEN 'boolean' WHEN {hit['date']} >= {need} THEN 'date' WHEN {hit['date']} + {hit['timestamp']} >= {need} THEN 'timestamp' ELSE 'string' END")
-        fields.append(f"named_struct('column_name', '{c}', 'values_seen', {n}, 'inferred_type', {kind})")
+        fields.append(f"named_struct('column_name', {_text(c)}, 'values_seen', {n}, 'inferred_type', {kind})")
     return df.agg(*[F.expr(a) for a in aggs]).selectExpr(f"inline(array({', '.join(fields)}))")
 
 

@@ -7,17 +7,19 @@ and bad rows always add up to the input.
 
 from __future__ import annotations
 
+import datetime as dt
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from millrace.operators.aggregates import exact_percentiles
 from millrace.operators.conditions import as_condition
 from millrace.operators.sizing import join_back
-from millrace.session import materialise
+from millrace.session import materialise, scratch_path
 
 FAILED = "_failed_rules"
 
@@ -40,6 +42,8 @@ class Rule:
     ref_columns: Sequence[str] = ()
     allow_null: bool = True
     severity: str = "ERROR"
+    policy: str = "ROUTE"       # what ``route`` does with a row that breaks the rule: ROUTE | FLAG | LOG | FAIL
+    port: str = "invalid"       # output of a ROUTE rule
 
     def passes(self) -> Column:
         """Condition of a row rule; table rules use the flags joined on beforehand."""
@@ -61,7 +65,11 @@ class Rule:
         c = F.col(self.column)
         c = F.length(c) if self.kind == "length_range" else c
         bound = (lambda v: F.lit(v).cast("timestamp_ntz")) if self.kind == "date_range" else F.lit
-        parts = ([c >= bound(self.low)] if self.low is not None else []) + ([c <= bound(self.high)] if self.high is not None else [])
+        parts = [c >= bound(self.low)] if self.low is not None else []
+        if self.kind == "date_range" and _is_plain_date(self.high):
+            parts.append(c < F.date_add(F.lit(self.high).cast("date"), 1).cast("timestamp_ntz"))       # the whole last day
+        elif self.high is not None:
+            parts.append(c <= bound(self.high))
         return reduce(lambda a, b: a & b, parts) if parts else F.lit(True)
 
     def _fits(self) -> Column:
@@ -70,6 +78,12 @@ class Rule:
         return (F.abs(c) < F.lit(10 ** (self.low - self.high)).cast("decimal(38,0)")) & (F.round(c, self.high) == c)
 
 
+def _is_plain_date(value: object) -> bool:
+    if isinstance(value, str):
+        return re.fullmatch(r"\d{4}-\d{2}-\d{2}", value.strip()) is not None
+    return isinstance(value, dt.date) and not isinstance(value, dt.datetime)
+
+
 def _with_table_flags(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Flags for rules that look at other rows. Offending keys are found by aggregation (hot keys
     combine before the shuffle) and joined back; Spark broadcasts them when they are few."""
@@ -136,6 +150,52 @@ def enforce(df: DataFrame, rules: Sequence[Rule], action: str, path: str | None
     return handlers[action](df, rules)
 
 
+@dataclass(frozen=True)
+class Routed:
+    """What ``route`` made: a DataFrame per output, and what was counted on the way."""
+
+    outputs: dict[str, DataFrame]
+    rows: int                   # of the input
+    valid: int                  # of the output "valid"
+    failed: dict[str, int]      # rows that break each rule, whatever its policy
+
+
+def route(df: DataFrame, rules: Sequence[Rule], path: str | None = None) -> Routed:
+    """Send every row to the outputs its broken rules name, in one pass that also counts.
+
+    Each rule has its own policy. ROUTE: the row goes to the rule's ``port`` instead of "valid" (to each of them where
+    it breaks rules of several ports). FLAG: the row goes on with ``_flag_<rule>`` set. LOG: it is counted
+    only. FAIL: when any row breaks the rule, an error tells the counts and no output is returned. All outputs have the columns
+    of the input, the flags and the names of all broken rules; "valid" and the rows with a broken ROUTE rule add up
+    to the input. Rows are written once, by output, to ``path`` or the shared folder. ``unique`` and ``referential``
+    rules read the input a second time for their keys.
+    """
+    unknown = {r.policy for r in rules} - {"ROUTE", "FLAG", "LOG", "FAIL"}
+    if unknown:
+        raise ValueError(f"unknown policies {sorted(unknown)}")
+    ports = list(dict.fromkeys(r.port for r in rules if r.policy == "ROUTE"))
+    if "valid" in ports or "__port" in df.columns:
+        raise ValueError('the port "valid" and the column __port are taken')
+    broken = {r.name: F.array_contains(FAILED, r.name) for r in rules}
+    checked = check_rows(df, rules)
+    checked = checked.withColumns({f"_flag_{r.name}": broken[r.name] for r in rules if r.policy == "FLAG"})
+    named = F.array_distinct(F.filter(F.array(*[F.when(broken[r.name], F.lit(r.port)) for r in rules if r.policy == "ROUTE"]).cast("array<string>"), lambda p: p.isNotNull()))
+    seen = Observation()
+    counted = checked.withColumn("__port", named).observe(
+        seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.size("__port") == 0).alias("valid"), *[F.count_if(broken[r.name]).alias(f"r{i}") for i, r in enumerate(rules)])
+    placed = counted.withColumn("__port", F.explode(F.when(F.size("__port") == 0, F.array(F.lit("valid"))).otherwise(F.col("__port"))))
+    where = path or scratch_path(df.sparkSession, "routed")
+    placed.write.partitionBy("__port").parquet(where)
+    counts = seen.get
+    failed = {r.name: counts[f"r{i}"] for i, r in enumerate(rules)}
+    fatal = {r.name: failed[r.name] for r in rules if r.policy == "FAIL" and failed[r.name]}
+    if fatal:
+        raise ValueError(f"data quality: rows that break rules which must hold: {fatal}")
+    stored = df.sparkSession.read.schema(placed.schema).parquet(where)
+    outputs = {p: stored.filter(F.col("__port") == p).drop("__port") for p in ("valid", *ports)}
+    return Routed(outputs, counts["rows"], counts["valid"], failed)
+
+
 def rule_report(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Action "warn": (rule, severity, rows, failed, passed) for all rules from one aggregate."""
     flagged = _with_table_flags(df, rules)

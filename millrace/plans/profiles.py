@@ -37,6 +37,32 @@ def profile_with_sketch(t):
     return profile.profile(t.lineitem, names, rsd=0.02).join(exact, "column_name").select("column_name", "row_count", (F.abs(F.col("distinct_count") - F.col("exact")) <= F.col("exact") * 0.06 + 1).alias("distinct_close"))
 
 
+def _numbers_sql(table: str, columns: list[str]) -> str:
+    return " UNION ALL ".join(f"""SELECT '{c}' AS column_name, COUNT({c}) AS values_seen, MIN({c})::DOUBLE AS min_value, MAX({c})::DOUBLE AS max_value, round(var_samp({c}), 3) AS variance,
+      (SELECT v FROM (SELECT {c}::DOUBLE AS v, COUNT(*) AS n FROM {table} WHERE {c} IS NOT NULL GROUP BY 1) ORDER BY n DESC, v LIMIT 1) AS mode,
+      {', '.join(f'round(quantile_cont({c}::DOUBLE, {p}), 4) AS {k}' for k, p in profile.PERCENTILES.items())},
+      {" || ',' || ".join(f"CAST(COUNT(*) FILTER (least(floor(({c} - lo) / (hi - lo) * 10), 9) = {b}) AS VARCHAR)" for b in range(10))} AS histogram
+      FROM {table}, (SELECT MIN({c})::DOUBLE AS lo, MAX({c})::DOUBLE AS hi FROM {table})""" for c in columns)
+
+
+@query("D-PR1", sql=_numbers_sql("lineitem", ["l_quantity", "l_extendedprice", "l_discount", "l_partkey"]))
+def profile_numbers(t):
+    """Variance, mode, exact percentiles and ten equal-width bins of four columns."""
+    df = profile.number_profile(t.lineitem, ["l_quantity", "l_extendedprice", "l_discount", "l_partkey"])
+    return df.withColumns({"variance": F.round("variance", 3), "histogram": F.concat_ws(",", F.col("histogram").cast("array<string>")), **{k: F.round(k, 4) for k in profile.PERCENTILES}})
+
+
+@query("D-PR1", sql="""
+WITH c AS (SELECT CASE c_custkey % 5 WHEN 0 THEN 'c' || c_custkey || '@example.com' WHEN 1 THEN '+49 30 ' || (100000 + c_custkey) WHEN 2 THEN '1995-03-1' || (c_custkey % 10) WHEN 3 THEN c_name END AS contact, c_name FROM customer)
+SELECT column_name, COUNT(v) AS values_seen, round(AVG(length(v)), 6) AS mean_length, COUNT(*) FILTER (v LIKE '%@%') AS email_count, COUNT(*) FILTER (v LIKE '+49%') AS phone_count, COUNT(*) FILTER (v LIKE '1995-%') AS date_count, CAST(0 AS BIGINT) AS uuid_count
+FROM (SELECT 'contact' AS column_name, contact AS v FROM c UNION ALL SELECT 'c_name', c_name FROM c) GROUP BY column_name""")
+def profile_text_shapes(t):
+    k = F.col("c_custkey")
+    contact = (F.when(k % 5 == 0, F.concat(F.lit("c"), k, F.lit("@example.com"))).when(k % 5 == 1, F.concat(F.lit("+49 30 "), k + 100000))
+               .when(k % 5 == 2, F.concat(F.lit("1995-03-1"), k % 10)).when(k % 5 == 3, F.col("c_name")))
+    return profile.text_profile(t.customer.select(contact.alias("contact"), "c_name")).withColumn("mean_length", F.round("mean_length", 6))
+
+
 def _freq(order: str) -> str:
     return " UNION ALL ".join(f"""SELECT '{c}' AS column_name, value, frequency, position FROM (SELECT CAST({c} AS VARCHAR) AS value, COUNT(*) AS frequency, row_number() OVER (ORDER BY COUNT(*) {order}, CAST({c} AS VARCHAR)) AS position FROM part GROUP BY 1) WHERE position <= 10"""
                               for c in ("p_brand", "p_type", "p_size"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -121,3 +123,20 @@ def mask_more(t):
     df = t.customer.select("c_custkey", F.col("c_name").alias("partial"), F.col("c_name").alias("pseudonym"), F.col("c_acctbal").alias("generalised"), F.concat(F.lower("c_mktsegment"), F.lit("@example.com")).alias("email"), F.col("c_acctbal").alias("noisy"), "c_acctbal")
     out = masking.mask(df, {"partial": ("partial", {"first": 2, "last": 3}), "pseudonym": ("pseudonym", {"key": "k1", "prefix": "u-", "length": 12}), "generalised": ("generalise", {"width": 1000}), "email": "email", "noisy": ("noise", {"amount": 5.0, "key": "k2"})})
     return out.select("c_custkey", "partial", "pseudonym", F.col("generalised").cast("double").alias("generalised"), "email", (F.abs(F.col("noisy") - F.col("c_acctbal")) <= 5.0).alias("noise_bounded"))
+
+
+@query("D-Q1", "T22", "T24", sql="""
+WITH c AS (SELECT o_orderkey, o_totalprice NOT BETWEEN 2000 AND 250000 AS bad_price, o_orderstatus NOT IN ('F', 'O') AS bad_status, o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM') AS late, CAST(o_orderdate AS DATE) > DATE '1998-06-30' AS recent FROM orders),
+f AS (SELECT *, concat_ws(',', CASE WHEN bad_price THEN 'price' END, CASE WHEN bad_status THEN 'status' END, CASE WHEN late THEN 'priority' END, CASE WHEN recent THEN 'date' END) AS broken FROM c)
+SELECT o_orderkey, 'valid' AS port, late AS flagged, broken FROM f WHERE NOT bad_price AND NOT bad_status
+UNION ALL SELECT o_orderkey, 'wrong_price', late, broken FROM f WHERE bad_price UNION ALL SELECT o_orderkey, 'open_status', late, broken FROM f WHERE bad_status""")
+def dq_policy_routes(t):
+    """Two rules with outputs of their own, one that flags, one that only counts and one that must hold: one pass."""
+    done = quality.route(t.orders.select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority", "o_orderdate"), [
+        Rule("price", "range", "o_totalprice", low=2000, high=250000, port="wrong_price"),
+        Rule("status", "enum", "o_orderstatus", values=["F", "O"], port="open_status"),
+        Rule("priority", "enum", "o_orderpriority", values=["1-URGENT", "2-HIGH", "3-MEDIUM"], policy="FLAG"),
+        Rule("date", "date_range", "o_orderdate", high="1998-06-30", policy="LOG"),
+        Rule("key", "not_null", "o_orderkey", policy="FAIL")])
+    parts = [df.select("o_orderkey", F.lit(port).alias("port"), F.col("_flag_priority").alias("flagged"), F.array_join("_failed_rules", ",").alias("broken")) for port, df in done.outputs.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.operators import aggregates, joins, layout, masking, merge, nested, quality, rows, sets, sizing, udfs
+from millrace.operators import aggregates, joins, layout, masking, merge, nested, profile, quality, rows, sets, sizing, udfs
 from millrace.operators.aggregates import Agg
 from millrace.operators.conditions import Condition, as_condition, case_when, operand
 from millrace.operators.ordering import Sort, as_sorts
@@ -476,3 +476,40 @@ def test_salted_branch_is_in_the_plan_of_hot_keys_only(spark, capsys):
     right = spark.range(4000).selectExpr("id AS k", "id AS w")
     shown = lambda rows: (joins.join(left, right, ["k"], salt=8, hot_rows=rows).explain(), capsys.readouterr().out)[1]
     assert "pmod" in shown(1000) and "pmod" not in shown(3000)
+
+
+# ------------------------------------------------------------------ routes and profiles
+
+
+def test_route_writes_each_row_to_its_outputs(spark, rows_of):
+    df = spark.createDataFrame([(1, 5, "a"), (2, 50, "a"), (3, 50, "z"), (4, 5, "z"), (5, None, None)], "k int, v int, s string")
+    rules = [Rule("small", "range", "v", high=10, port="big"), Rule("known", "enum", "s", values=["a"], port="odd"), Rule("odd_key", "custom", condition="k % 2 = 0", policy="FLAG"), Rule("low", "range", "v", high=4, policy="LOG")]
+    done = quality.route(df, rules)
+    assert {p: [r["k"] for r in o.orderBy("k").collect()] for p, o in done.outputs.items()} == {"valid": [1, 5], "big": [2, 3], "odd": [3, 4]}
+    assert done.rows == 5 and done.valid == 2 and done.failed == {"small": 2, "known": 2, "odd_key": 3, "low": 4}
+    assert [r["_flag_odd_key"] for r in done.outputs["valid"].orderBy("k").collect()] == [True, True]
+    assert done.outputs["odd"].orderBy("k").first()["_failed_rules"] == ["small", "known", "odd_key", "low"]
+    empty = quality.route(df.limit(0), rules)
+    assert empty.rows == 0 and all(o.count() == 0 for o in empty.outputs.values())
+    fails(lambda: quality.route(df, [*rules, Rule("must", "not_null", "v", policy="FAIL")]), "{'must': 1}")
+    fails(lambda: quality.route(df, [Rule("x", "not_null", "v", policy="IGNORE")]), "IGNORE")
+    only_flags = quality.route(df, [Rule("x", "not_null", "v", policy="FLAG")])
+    assert only_flags.valid == 5 and list(only_flags.outputs) == ["valid"]
+
+
+def test_date_range_holds_the_whole_last_day(spark):
+    df = spark.sql("SELECT timestamp_ntz'2024-01-31 23:59:59' AS ts UNION ALL SELECT timestamp_ntz'2024-02-01 00:00:00'")
+    kept = lambda high: quality.keep_valid(df, [Rule("r", "date_range", "ts", high=high)]).count()
+    assert kept("2024-01-31") == kept(dt.date(2024, 1, 31)) == 1 and kept("2024-01-31 12:00:00") == 0 and kept(dt.datetime(2024, 2, 1)) == 2
+
+
+@pytest.mark.parametrize("exact", [True, False])
+def test_number_profile_edges(spark, exact):
+    df = spark.createDataFrame([(1.0, 7, None), (2.0, 7, None), (2.0, 7, None), (float("nan"), 7, None), (None, 7, None), (11.0, 7, None)], "`a'b` double, `c``d` int, e double")
+    got = {r["column_name"]: r for r in profile.number_profile(df, exact=exact).collect()}
+    a, c, e = got["a'b"], got["c`d"], got["e"]
+    assert (a["values_seen"], a["mode"], a["median"], a["histogram"]) == (4, 2.0, 2.0, [1, 2, 0, 0, 0, 0, 0, 0, 0, 1])
+    assert (c["values_seen"], c["mode"], c["p99"], c["variance"], c["histogram"]) == (6, 7.0, 7.0, 0.0, [6] + [0] * 9)
+    assert (e["values_seen"], e["mode"], e["median"], e["histogram"]) == (0, None, None, [])
+    assert profile.number_profile(df.limit(0), exact=exact).filter("values_seen = 0").count() == 3
+    assert profile.profile(df).count() == 3 and profile.frequencies(df, ["a'b", "c`d"]).count() == 6
