@@ -30,13 +30,16 @@ def join_type(text: str) -> str:
 
 
 def join(left: DataFrame, right: DataFrame, on: Sequence, how: str = "inner", *, broadcast: str | None = None,
-         salt: int = 0, hot_rows: int = MAX_GROUP_ROWS, conflict: str = "error", prefix: str = "right_") -> DataFrame:
+         salt: int = 0, hot_rows: int = MAX_GROUP_ROWS, conflict: str = "error", prefix: str = "right_",
+         renames: Mapping[str, str] | None = None, condition: str | None = None) -> DataFrame:
     """Equi-join. Each key is a shared name or a ``(left name, right name)`` pair; all must match.
 
     A shared key appears once (coalesced for right and full joins), the right column of a pair is
     dropped. ``broadcast`` = left | right asks for a broadcast, granted after measuring that side.
     ``salt`` > 1 spreads left keys with more than ``hot_rows`` rows over that many tasks. ``conflict`` decides about other
-    columns present on both sides: error | prefix | drop_right.
+    columns present on both sides: error | prefix | prefix_left (``prefix`` goes to the left column) | drop_right |
+    rename (``renames`` gives right columns their new names). ``condition`` must hold beside the keys; it uses the names
+    of the result, so a row without a partner under it is unmatched in outer joins.
     """
     how = join_type(how)
     if how == "cross":
@@ -44,7 +47,10 @@ def join(left: DataFrame, right: DataFrame, on: Sequence, how: str = "inner", *,
     pairs = [(k, k) if isinstance(k, str) else tuple(k) for k in on]
     if not pairs:
         raise ValueError("a join needs at least one key; use how='cross' for a product")
-    right = _resolve_conflicts(left, right, pairs, how, conflict, prefix)
+    if conflict == "prefix_left" and how not in ("left_semi", "left_anti"):
+        shared = set(left.columns) & set(right.columns) - {k for p in pairs for k in p}
+        left = left.withColumnsRenamed({c: prefix + c for c in shared})
+    right = _resolve_conflicts(left, right, pairs, how, conflict, prefix, renames or {})
     if broadcast == "right":
         right = broadcast_if_small(right)
     elif broadcast == "left":
@@ -55,7 +61,7 @@ def join(left: DataFrame, right: DataFrame, on: Sequence, how: str = "inner", *,
     if salt > 1 and how in ("inner", "left", "left_semi", "left_anti"):
         left, keyed, extra = _salt(left, keyed, [l for l, _ in pairs], [renamed[r] for _, r in pairs], salt, hot_rows)
         cond = reduce(lambda a, b: a & b, [left[l] == keyed[renamed[r]] for l, r in pairs]) & extra(left, keyed)
-    joined = left.join(keyed, cond, how)
+    joined = left.join(keyed, cond if condition is None else cond & F.expr(condition), how)
     if how in ("left_semi", "left_anti"):
         return joined.drop("__salt")
     if how in ("right", "full"):
@@ -67,9 +73,11 @@ def join(left: DataFrame, right: DataFrame, on: Sequence, how: str = "inner", *,
     return joined.drop(*renamed.values(), "__salt", "__salt_r")
 
 
-def _resolve_conflicts(left, right, pairs, how, conflict, prefix):
+def _resolve_conflicts(left, right, pairs, how, conflict, prefix, renames):
     if how in ("left_semi", "left_anti"):
         return right
+    if conflict == "rename":
+        right = right.withColumnsRenamed({c: n for c, n in renames.items() if c not in {r for _, r in pairs}})
     shared = [c for c in right.columns if c in set(left.columns) and c not in {r for _, r in pairs}]
     if not shared:
         return right
@@ -77,7 +85,7 @@ def _resolve_conflicts(left, right, pairs, how, conflict, prefix):
         return right.withColumnsRenamed({c: prefix + c for c in shared})
     if conflict == "drop_right":
         return right.drop(*shared)
-    raise ValueError(f"columns on both sides: {shared}; choose conflict='prefix' or 'drop_right'")
+    raise ValueError(f"columns on both sides: {shared}; choose conflict='prefix', 'prefix_left', 'rename' or 'drop_right'")
 
 
 def _salt(left, right, left_keys, right_keys, salts, hot_rows):
@@ -254,6 +262,36 @@ def levenshtein_match(df: DataFrame, reference: DataFrame, *, column: str, ref_c
     return pairs.withColumn("distance", F.levenshtein("value", "match")).filter(F.col("distance") <= max_distance)
 
 
+def best_match(df: DataFrame, reference: DataFrame, *, column: str, ref_column: str, threshold: float = 0.8, phonetic: bool = False) -> DataFrame:
+    """The most similar reference text of each distinct value, if it reaches ``threshold``: (value, match, score).
+
+    The score is 1 - edits / length of the longer text, from 0 to 1; among equal scores the smallest text wins.
+    ``phonetic`` compares only texts of equal Soundex code. No block compares all its pairs: a text of length n can only
+    be reached within e = (1 - threshold) / threshold * n edits, so of e + 1 pieces of a reference text one stands
+    unchanged, and at most e places away, in any value that reaches the threshold. Pieces are joined on text, number and
+    length (and code), which loses no pair; thresholds of 0.5 and less leave no pieces and are refused. NULL matches nothing.
+    """
+    if not 0.5 < threshold <= 1:
+        raise ValueError("the threshold must be above 0.5 and at most 1")
+    code = F.soundex if phonetic else (lambda c: F.lit(""))
+    t, edits = float(threshold), lambda n: f"CAST(floor({n} * {1 - threshold}D / {threshold}D + 1e-9D) AS INT)"
+    first, last = (lambda n, i: f"CAST(floor({i} * {n} / ({edits(n)} + 1)) AS INT)"), (lambda n, i: f"CAST(floor(({i} + 1) * {n} / ({edits(n)} + 1)) AS INT)")
+    a = df.select(F.col(column).alias("value")).distinct().filter("value IS NOT NULL").withColumn("__n", F.length("value")).withColumn("__c", code(F.col("value")))
+    b = reference.select(F.col(ref_column).alias("match")).distinct().filter("match IS NOT NULL").withColumn("__n", F.length("match")).withColumn("__c", code(F.col("match")))
+    piece = f"""transform(sequence(0, {edits('__n')}), i -> struct(__n AS n, i AS i, substring(match, {first('__n', 'i')} + 1, {last('__n', 'i')} - {first('__n', 'i')}) AS x))"""
+    # Per length of a reference text, per piece: the texts at every place the piece may have moved to.
+    low, high = f"greatest(0, {first('l', 'i')} - {edits('l')})", f"least(__n - ({last('l', 'i')} - {first('l', 'i')}), {first('l', 'i')} + {edits('l')})"
+    places = f"""flatten(transform(sequence(CAST(ceil(__n * {t}D - 1e-9D) AS INT), CAST(floor(__n / {t}D + 1e-9D) AS INT)), l ->
+        flatten(transform(sequence(0, {edits('l')}), i -> IF({low} > {high}, array(),
+            transform(sequence({low}, greatest({low}, {high})), s -> struct(l AS n, i AS i, substring(value, s + 1, {last('l', 'i')} - {first('l', 'i')}) AS x)))))))"""
+    left = a.withColumn("__p", F.explode(F.array_distinct(F.expr(places)))).select("value", "__c", "__p")
+    right = b.withColumn("__p", F.explode(F.expr(piece))).select("match", "__c", "__p")
+    pairs = left.join(right, ["__c", "__p"]).select("value", "match").distinct()
+    longest = F.greatest(F.length("value"), F.length("match"), F.lit(1))
+    scored = pairs.withColumn("score", 1 - F.levenshtein("value", "match") / longest).filter(F.col("score") >= F.lit(t - 1e-9))
+    return scored.groupBy("value").agg(F.min_by(F.struct("match", "score"), F.struct(-F.col("score"), F.col("match"))).alias("b")).select("value", "b.match", "b.score")
+
+
 def ngrams(c: Column, n: int = 3) -> Column:
     padded = F.lower(c)
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - (n - 1), F.lit(1))),

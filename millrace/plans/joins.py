@@ -211,6 +211,26 @@ def join_name_conflict(t):
     return joins.join(a, b, ["event_type"], conflict="prefix")
 
 
+@query("D-J6", sql="""
+SELECT a.event_type AS event_type, a.n AS left_n, b.n AS n FROM (SELECT event_type, COUNT(*) AS n FROM events GROUP BY 1) a
+JOIN (SELECT event_type, COUNT(DISTINCT user_id) AS n FROM events GROUP BY 1) b USING (event_type)""")
+def join_conflict_prefix_left(t):
+    a = t.events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    b = t.events.groupBy("event_type").agg(F.count_distinct("user_id").alias("n"))
+    return joins.join(a, b, ["event_type"], conflict="prefix_left", prefix="left_")
+
+
+@query("D-J6", "J1", sql="""
+SELECT a.o_orderkey AS o_orderkey, a.o_custkey AS o_custkey, a.o_orderdate AS o_orderdate, b.o_orderkey AS later_order, b.o_orderdate AS later_date FROM orders a
+LEFT JOIN orders b ON a.o_custkey = b.o_custkey AND b.o_orderdate > a.o_orderdate AND b.o_totalprice > 2 * a.o_totalprice""")
+def join_renamed_with_condition(t):
+    """Manual names for the right side and a condition beside the keys; orders without such a later one stay."""
+    o = t.orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    out = joins.join(o, o, ["o_custkey"], "left", conflict="rename", renames={"o_orderkey": "later_order", "o_orderdate": "later_date", "o_totalprice": "later_price"},
+                     condition="later_date > o_orderdate AND later_price > 2 * o_totalprice")
+    return out.select("o_orderkey", "o_custkey", "o_orderdate", "later_order", "later_date")
+
+
 TYPOS = "(SELECT DISTINCT translate(p_name, 'oi', '01') AS value FROM part) v, (SELECT DISTINCT p_name AS match FROM part) m"
 
 
@@ -238,3 +258,18 @@ def fuzzy_ngram(t):
 @query("D-V2", sql=f"SELECT value, match, {sql_soundex('value')} AS code FROM {TYPOS} WHERE {sql_soundex('value')} = {sql_soundex('match')}")
 def fuzzy_soundex(t):
     return joins.soundex_match(_typos(t), t.part, column="typed", ref_column="p_name")
+
+
+BEST = """SELECT value, match, score FROM (SELECT *, row_number() OVER (PARTITION BY value ORDER BY score DESC, match) AS rn FROM (
+  SELECT value, match, 1 - levenshtein(value, match) / greatest(length(value), length(match)) AS score FROM {pairs} WHERE {block}) WHERE score >= {t} - 1e-9) WHERE rn = 1"""
+
+
+@query("D-V2", sql=BEST.format(pairs=TYPOS, block="true", t=0.7))
+def fuzzy_best(t):
+    """The closest part name of each misspelt one, from a score of 0.7 on."""
+    return joins.best_match(_typos(t), t.part, column="typed", ref_column="p_name", threshold=0.7)
+
+
+@query("D-V2", sql=BEST.format(pairs=TYPOS, block=f"{sql_soundex('value')} = {sql_soundex('match')}", t=0.6))
+def fuzzy_soundex_best(t):
+    return joins.best_match(_typos(t), t.part, column="typed", ref_column="p_name", threshold=0.6, phonetic=True)

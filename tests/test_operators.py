@@ -513,3 +513,40 @@ def test_number_profile_edges(spark, exact):
     assert (e["values_seen"], e["mode"], e["median"], e["histogram"]) == (0, None, None, [])
     assert profile.number_profile(df.limit(0), exact=exact).filter("values_seen = 0").count() == 3
     assert profile.profile(df).count() == 3 and profile.frequencies(df, ["a'b", "c`d"]).count() == 6
+
+
+# ------------------------------------------------------------------ closest texts
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i, *[0] * len(b)]
+        for j, y in enumerate(b, 1):
+            row[j] = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("threshold", [0.55, 0.75, 0.9, 1.0])
+def test_best_match_equals_all_pairs(spark, threshold):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(0, 12)))
+    values, refs = sorted({word() for _ in range(120)}), sorted({word() for _ in range(120)})
+    want = {}
+    for v in values:
+        best = min((-(1 - _edits(v, r) / max(len(v), len(r), 1)), r) for r in refs)
+        if -best[0] >= threshold - 1e-9:
+            want[v] = (best[1], round(-best[0], 9))
+    frame = lambda xs, c: spark.createDataFrame([(x,) for x in [*xs, None, *xs[:3]]], f"{c} string")
+    got = joins.best_match(frame(values, "a"), frame(refs, "b"), column="a", ref_column="b", threshold=threshold).collect()
+    assert {r["value"]: (r["match"], round(r["score"], 9)) for r in got} == want and len(got) == len(want)
+    fails(lambda: joins.best_match(frame(values, "a"), frame(refs, "b"), column="a", ref_column="b", threshold=0.5), "above 0.5")
+
+
+def test_join_condition_keeps_outer_rows_and_salts(spark, rows_of):
+    left, right = spark.createDataFrame([(1, 5), (1, 50), (2, 5)], "k int, v int"), spark.createDataFrame([(1, 10), (3, 1)], "k int, v int")
+    got = lambda **kw: rows_of(joins.join(left, right, ["k"], conflict="rename", renames={"v": "w"}, condition="v < w", **kw).select("k", "v", "w"))
+    assert got(how="left") == sorted([(1, 5, 10), (1, 50, None), (2, 5, None)], key=repr)
+    assert got(how="left", salt=4, hot_rows=1) == got(how="left")
+    assert got(how="full") == sorted([(1, 5, 10), (1, 50, None), (2, 5, None), (3, None, 1)], key=repr)
+    fails(lambda: joins.join(left, right, ["k"], conflict="rename", renames={}), "both sides")
