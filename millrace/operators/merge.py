@@ -14,11 +14,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.operators.aggregates import latest_per_key
+from millrace.operators.sizing import unique_by_plan
 from millrace.operators.windows import WindowFn, window
 
 
 def unique_source(source: DataFrame, keys: Sequence[str], latest_by: Sequence[str] | None = None) -> DataFrame:
-    """One row per key: the latest by ``latest_by``, or an error at run time when a key repeats.
+    """One row per key: the latest by ``latest_by``, or an error at run time when a key repeats. A source whose plan
+    shows that its keys are unique is not checked again.
 
     A NULL business key is an error too: it would match nothing, and be inserted again on every run.
     """
@@ -27,6 +29,8 @@ def unique_source(source: DataFrame, keys: Sequence[str], latest_by: Sequence[st
     if latest_by:
         latest = latest_per_key(source, keys, latest_by).select(*source.columns)
         return latest.filter(F.when(missing, F.raise_error(named)).otherwise(F.lit(True)))
+    if unique_by_plan(source, keys):
+        return source.filter(F.when(missing, F.raise_error(named)).otherwise(F.lit(True)))
     # Numbering by key uses the same partitioning and order as the join that follows: no extra
     # shuffle or sort, and no buffering of a repeated key.
     spec = W.partitionBy(*keys).orderBy(*keys)

@@ -31,6 +31,22 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def unique_by_plan(df: DataFrame, keys: Sequence[str]) -> bool:
+    """Whether the plan itself shows that ``keys`` are unique, as after an aggregate by them; no job."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    output = plan.output()
+    names = {output.apply(i).exprId().id(): output.apply(i).name() for i in range(output.size())}
+    sets = plan.distinctKeys().iterator()
+    while sets.hasNext():
+        parts, found = sets.next().iterator(), set()
+        while parts.hasNext():
+            part = parts.next()
+            found.add(names.get(part.exprId().id()) if part.getClass().getSimpleName() == "AttributeReference" else None)
+        if found <= set(keys):
+            return True
+    return False
+
+
 def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Adds the broadcast hint when the measured size fits; otherwise Spark shuffles as usual.
 

@@ -14,6 +14,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
+        self._schemas = {}
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
@@ -21,7 +22,9 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(self.path(name))
+        if name not in self._schemas:       # footers are read once, however often a query names the table
+            self._schemas[name] = self.spark.read.parquet(self.path(name)).schema
+        return self.spark.read.schema(self._schemas[name]).parquet(self.path(name))
 
 
 @dataclass(frozen=True)

@@ -550,3 +550,19 @@ def test_join_condition_keeps_outer_rows_and_salts(spark, rows_of):
     assert got(how="left", salt=4, hot_rows=1) == got(how="left")
     assert got(how="full") == sorted([(1, 5, 10), (1, 50, None), (2, 5, None), (3, None, 1)], key=repr)
     fails(lambda: joins.join(left, right, ["k"], conflict="rename", renames={}), "both sides")
+
+
+def test_unique_keys_known_from_the_plan(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c")], "k int, s string")
+    path = str(tmp_path / "rows")
+    df.write.parquet(path)
+    df = spark.read.parquet(path)
+    grouped = df.groupBy("k").agg(F.max("s").alias("s"))
+    assert sizing.unique_by_plan(grouped, ["k"]) and sizing.unique_by_plan(grouped.filter("s > 'a'"), ["s", "k"])
+    assert not sizing.unique_by_plan(grouped, ["s"]) and not sizing.unique_by_plan(df, ["k"])
+    assert not sizing.unique_by_plan(df.groupBy("k", "s").count(), ["k"])
+    assert not sizing.unique_by_plan(grouped.withColumn("k", F.lit(1)), ["k"]) and not sizing.unique_by_plan(grouped.unionAll(grouped), ["k"])
+    target = df.limit(0)
+    fails(lambda: merge.upsert(target, df.filter("k = 1"), ["k"]).collect(), "several source rows")
+    fails(lambda: merge.upsert(target, grouped, ["k"]).collect(), "NULL in a business key")
+    assert merge.upsert(target, grouped.filter("k IS NOT NULL"), ["k"]).collect() == [(1, "b")]
