@@ -15,7 +15,7 @@ from millrace.operators.windows import top_n
 TYPE_PATTERNS = {
     "integer": r"^[+-]?\d+$",
     "decimal": r"^[+-]?\d*\.\d+$",
-    "boolean": r"(?i)^(true|false)$",
+    "boolean": r"(?i)^(true|false|yes|no)$",
     "date": r"^\d{4}-\d{2}-\d{2}$",
     "timestamp": r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?$",
 }
@@ -161,14 +161,16 @@ def pattern_classes(df: DataFrame, column: str) -> DataFrame:
 
 
 def infer_types(df: DataFrame, columns: Sequence[str], required_share: float = 1.0) -> DataFrame:
-    """Best type for text columns from the whole table: one aggregate of match counts per column."""
+    """Best type for text columns from the whole table: one aggregate of match counts per column. Whole numbers are
+    integer, bigint or, beyond that range, decimal; true, false, yes and no are boolean, 0 and 1 numbers."""
     aggs, fields = [], []
     for i, c in enumerate(columns):
         text, n, need = f"trim({_quoted(c)})", f"c{i}_n", f"c{i}_n * {required_share}D"
         aggs.append(f"count_if({text} != '') AS {n}")
         aggs += [f"count_if({text} RLIKE r'{p}') AS c{i}_{t}" for t, p in TYPE_PATTERNS.items()]
+        aggs += [f"count_if(try_cast({text} AS {t}) IS NOT NULL AND {text} RLIKE r'{TYPE_PATTERNS['integer']}') AS c{i}_{t}" for t in ("int", "bigint")]
         hit = {t: f"c{i}_{t}" for t in TYPE_PATTERNS}
-        kind = (f"CASE WHEN {n} = 0 THEN 'string' WHEN {hit['integer']} >= {need} THEN 'integer' WHEN {hit['integer']} + {hit['decimal']} >= {need} THEN 'decimal' "
+        kind = (f"CASE WHEN {n} = 0 THEN 'string' WHEN c{i}_int >= {need} THEN 'integer' WHEN c{i}_bigint >= {need} THEN 'bigint' WHEN {hit['integer']} + {hit['decimal']} >= {need} THEN 'decimal' "
                 f"WHEN {hit['boolean']} >= {need} THEN 'boolean' WHEN {hit['date']} >= {need} THEN 'date' WHEN {hit['date']} + {hit['timestamp']} >= {need} THEN 'timestamp' ELSE 'string' END")
         fields.append(f"named_struct('column_name', {_text(c)}, 'values_seen', {n}, 'inferred_type', {kind})")
     return df.agg(*[F.expr(a) for a in aggs]).selectExpr(f"inline(array({', '.join(fields)}))")

@@ -96,6 +96,15 @@ def infer_text_types(t):
     return profile.infer_types(df, df.columns)
 
 
+@query("D-PR3", sql="""
+SELECT unnest(['small', 'large', 'huge', 'answer', 'bit']) AS column_name, COUNT(*) AS values_seen, unnest(['integer', 'bigint', 'decimal', 'boolean', 'integer']) AS inferred_type FROM orders""")
+def infer_number_ranges(t):
+    k = F.col("o_orderkey")
+    df = t.orders.select(k.cast("string").alias("small"), (k + 3_000_000_000).cast("string").alias("large"), F.concat(F.lit("9"), F.lpad(k.cast("string"), 20, "0")).alias("huge"),
+                         F.when(F.col("o_orderstatus") == "F", "Yes").otherwise("no").alias("answer"), (k % 2).cast("string").alias("bit"))
+    return profile.infer_types(df, df.columns)
+
+
 LAYOUTS = """(SELECT user_id AS dataset, event_type AS column_name, CASE WHEN MAX(value) >= 100 THEN 'decimal(5,2)' ELSE 'decimal(4,2)' END AS data_type, MIN(value) < 1 AS is_nullable FROM events WHERE ts {when} TIMESTAMP '2024-01-16' GROUP BY 1, 2)"""
 
 
