@@ -403,10 +403,111 @@ def _ranked(df, output, s):
 
 
 def mapping_tree(df: DataFrame, output: str, source: str, tree: dict) -> DataFrame:
-    """A tree of groups and operations, applied depth first: {"children": [{"operation": ..,
-    "params": ..} | {"children": [...]}, ...]}."""
-    def walk(node) -> list[Step]:
-        if "children" in node:
-            return [s for child in node["children"] for s in walk(child)]
-        return [Step(node["operation"], node.get("params", {}), node.get("on_error", FAIL), node.get("default"))]
-    return run_recipes(df, [Recipe(output, source, walk(tree))])
+    """A tree of groups and operations; the root is a group and its result is ``output``.
+
+    An operation is ``{"operation": .., "params": .., "on_error": .., "default": ..}``, a group
+    ``{"kind": .., "children": [..]}``; nothing but these kinds is taken.
+
+    * ``sequence`` (the default): every child works on the result of the one before.
+    * ``parallel``: every child works on the group's input, and ``"combine"`` joins their results:
+      ``coalesce`` (the default), ``concat`` (NULL if one is; ``"separator"`` skips NULLs), ``array``,
+      ``least`` or ``greatest`` (both skip NULLs).
+    * ``case``: the first child whose ``"when": (column, operator, value)`` holds gives the result; the
+      other children's rows are NULL to it, so it cannot fail on them. ``"else"``: a node for the rows
+      left, which otherwise keep the group's input. Conditions read the columns of ``df``.
+
+    Groups without children keep their input. Equal children of one input are computed once.
+    """
+    columns, made = set(df.columns), {}
+
+    def fresh(value: Column) -> str:
+        nonlocal df
+        name = f"__tree{len(made)}"
+        while name in columns:
+            name += "_"
+        columns.add(name)
+        made[name] = None
+        df = df.withColumn(name, value)
+        return name
+
+    def result(node: dict, at: str, done: dict) -> str:
+        key = repr(node)
+        if key not in done:
+            apply(node, at)
+            done[key] = fresh(F.col(_quoted(output)))
+        return done[key]
+
+    def put(value: Column) -> None:
+        nonlocal df
+        df = df.withColumn(output, value)
+
+    def apply(node: dict, at: str) -> None:
+        """Puts the node's result for column ``at`` into the output column."""
+        nonlocal df
+        if "children" not in node:
+            df = run_recipes(df, [Recipe(output, at, [_tree_step(node)])])
+            return
+        kind, children = node.get("kind", "sequence"), node["children"]
+        if kind not in _GROUPS:
+            raise ValueError(f"unknown group kind {kind!r}")
+        if kind == "sequence":
+            steps: list[Step] = []
+            for child in children:
+                if "children" in child and not _plain(child):
+                    df = run_recipes(df, [Recipe(output, at, steps)])
+                    at, steps = fresh(F.col(_quoted(output))), []
+                    apply(child, at)
+                    at = fresh(F.col(_quoted(output)))
+                else:
+                    steps += [_tree_step(c) for c in child.get("children", [child])]
+            df = run_recipes(df, [Recipe(output, at, steps)])
+            return
+        at = fresh(F.col(_quoted(at)))
+        if not children:
+            put(F.col(at))
+        elif kind == "parallel":
+            done: dict = {}
+            put(_combined(node, [F.col(result(c, at, done)) for c in children]))
+        else:
+            rest, value = F.lit(True), None
+            conditions = [fresh(F.coalesce(Clause(*c["when"]).to_column(), F.lit(False))) for c in children]
+            branches = []
+            for name, child in zip(conditions, children):
+                holds = fresh(rest & F.col(name))
+                rest = rest & ~F.col(name)
+                branches.append((holds, {k: v for k, v in child.items() if k != "when"}))
+            if "else" in node:
+                branches.append((fresh(rest), node["else"]))
+            for holds, child in branches:
+                then = F.col(result(child, fresh(F.when(F.col(holds), F.col(at))), {}))
+                value = F.when(F.col(holds), then) if value is None else value.when(F.col(holds), then)
+            put(value if "else" in node else value.otherwise(F.col(at)))
+
+    apply(tree, source)
+    return df.drop(*made)
+
+
+def _plain(group: dict) -> bool:
+    """A sequence of operations alone."""
+    return group.get("kind", "sequence") == "sequence" and not any("children" in c for c in group["children"])
+
+
+_GROUPS = ("sequence", "parallel", "case")
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _tree_step(node: dict) -> Step:
+    return Step(node["operation"], node.get("params", {}), node.get("on_error", FAIL), node.get("default"))
+
+
+def _combined(node: dict, values: list[Column]) -> Column:
+    how = node.get("combine", "coalesce")
+    if how == "concat":
+        return F.concat_ws(node["separator"], *values) if "separator" in node else F.concat(*values)
+    made = {"coalesce": F.coalesce, "array": F.array, "least": F.least, "greatest": F.greatest}
+    if how not in made:
+        raise ValueError(f"unknown way to combine {how!r}")
+    return made[how](*values) if len(values) > 1 or how in ("coalesce", "array") else values[0]

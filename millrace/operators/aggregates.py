@@ -82,7 +82,8 @@ def grouping_sets(df, sets: Sequence[Sequence[str]], aggregations) -> DataFrame:
 def pivot(df: DataFrame, group_by: Sequence[str], column: str, aggregations: Sequence[Agg], values: Sequence | None = None, *,
           fill=None, max_columns: int = 1000, rename: str | None = None) -> DataFrame:
     """Give ``values`` where they are known: it saves the extra job that lists them.
-    ``rename`` is a pattern such as "n_{value}" for a single aggregate."""
+    ``rename`` is a pattern such as "n_{value}", or "{agg}_of_{value}" with the aggregates' own names;
+    with several aggregates it must tell them apart."""
     if values is None:
         found = df.select(column).distinct().orderBy(column).limit(max_columns + 1).collect()
         if len(found) > max_columns:
@@ -92,8 +93,12 @@ def pivot(df: DataFrame, group_by: Sequence[str], column: str, aggregations: Seq
     made = [c for c in out.columns if c not in set(group_by)]
     if fill is not None:
         out = out.fillna(fill, subset=made)
-    if rename and len(aggregations) == 1:
-        out = out.withColumnsRenamed({str(v): rename.format(value=v) for v in values})
+    if rename:
+        # Made columns come value by value, each with the aggregates in their order.
+        names = [rename.format(value=v, agg=a.alias) for v in values for a in aggregations]
+        if len({*names, *group_by}) < len(names) + len(set(group_by)):
+            raise ValueError(f"{rename!r} gives two columns one name")
+        out = out.toDF(*out.columns[:len(group_by)], *names)
     return out
 
 

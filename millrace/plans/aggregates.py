@@ -79,6 +79,14 @@ def pivot_two_aggregates(t):
     return agg.pivot(t.lineitem, ["l_returnflag"], "l_linestatus", [Agg("count", "*", "n"), Agg("max", "l_quantity", "q")], ["F", "O"])
 
 
+@query("D-P1", sql="""
+SELECT l_returnflag, COUNT(*) FILTER (l_linestatus = 'F') AS "lines_of_F", coalesce(MAX(l_quantity) FILTER (l_linestatus = 'F'), 0) AS "most_of_F", COUNT(*) FILTER (l_linestatus = 'O') AS "lines_of_O", coalesce(MAX(l_quantity) FILTER (l_linestatus = 'O'), 0) AS "most_of_O"
+FROM lineitem GROUP BY l_returnflag""")
+def pivot_named_by_pattern(t):
+    """Several aggregates, columns named after both the value and the aggregate."""
+    return agg.pivot(t.lineitem, ["l_returnflag"], "l_linestatus", [Agg("count", "*", "lines"), Agg("max", "l_quantity", "most")], ["F", "O"], fill=0, rename="{agg}_of_{value}")
+
+
 @query("A8", sql="""
 SELECT p_partkey, 'p_retailprice' AS attribute, p_retailprice AS amount FROM part UNION ALL SELECT p_partkey, 'size', nullif(CAST(p_size AS DOUBLE), 1) FROM part""")
 def unpivot_keep_nulls(t):

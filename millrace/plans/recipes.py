@@ -165,6 +165,26 @@ def mapping_tree_operations(t):
     return df.select("o_orderkey", "scaled", "per_key", F.col("place").cast("bigint").alias("place"), "age_days", "job")
 
 
+@query("R28", sql="""
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN upper(substr(o_orderpriority, 3)) WHEN o_orderpriority LIKE '1%' THEN lower(o_orderpriority) || '!' ELSE o_orderpriority END AS label,
+  substr(o_orderpriority, 1, 1) || '-' || lower(substr(o_orderpriority, 3)) || '-' || lower(substr(o_orderpriority, 3)) AS joined,
+  greatest(o_totalprice / 4, o_totalprice - 100000) + 1 AS most, CASE WHEN o_orderpriority LIKE '5%' THEN CAST(substr(o_orderpriority, 1, 1) AS INTEGER) ELSE 0 END AS five FROM orders""")
+def mapping_tree_groups(t):
+    """Groups of each kind, nested: the same child twice is computed once, a branch cannot fail on rows of others."""
+    df = t.orders.select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
+    op = lambda name, **p: {"operation": name, "params": p}
+    name = {"children": [op("substring", startPos=3, length=100), op("lower")]}
+    df = mapping_tree(df, "label", "o_orderpriority", {"kind": "case", "children": [
+        {"when": ("o_orderstatus", "=", "F"), "children": [op("substring", startPos=3, length=100), op("upper")]},
+        {"when": ("o_orderpriority", "starts_with", "1"), "children": [op("lower"), {"kind": "parallel", "combine": "concat", "children": [{"children": []}, op("custom_sql", expression="'!'")]}]}]})
+    df = mapping_tree(df, "joined", "o_orderpriority", {"kind": "parallel", "combine": "concat", "separator": "-", "children": [op("substring", startPos=1, length=1), name, name]})
+    df = mapping_tree(df, "most", "o_totalprice", {"children": [
+        {"kind": "parallel", "combine": "greatest", "children": [op("math", operator="/", operand=4), op("math", operator="-", operand=100000)]}, op("math", operator="+", operand=1)]})
+    df = mapping_tree(df, "five", "o_orderpriority", {"kind": "case", "children": [
+        {"when": ("o_orderpriority", "starts_with", "5"), "children": [op("substring", startPos=1, length=1), op("cast", targetType="INTEGER")]}], "else": op("custom_sql", expression="0")})
+    return df.drop("o_orderstatus", "o_orderpriority", "o_totalprice")
+
+
 @query("R27", sql="""
 SELECT o_orderkey, CASE WHEN day(e) = day(b) OR (e = last_day(e) AND b = last_day(b)) THEN (year(e) - year(b)) * 12 + month(e) - month(b)
   ELSE round((year(e) - year(b)) * 12 + month(e) - month(b) + (day(e) - day(b)) / 31.0, 8) END::DOUBLE AS months FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS b, DATE '2002-01-31' AS e FROM orders)""")

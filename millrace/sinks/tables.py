@@ -66,19 +66,40 @@ def zorder_delta(spark, path: str, columns: Sequence[str]) -> None:
 
 
 def partition_transforms(specs: Sequence[tuple]) -> list[Column]:
-    """("identity", c), ("year" | "month" | "day" | "hour", c), ("bucket", c, n)."""
+    """("identity", c), ("year" | "month" | "day" | "hour", c), ("bucket", c, n); truncate transforms
+    have no function in Spark, see ``create_statement``."""
     made = {"identity": F.col, "year": F.partitioning.years, "month": F.partitioning.months, "day": F.partitioning.days, "hour": F.partitioning.hours}
     return [F.partitioning.bucket(s[2], s[1]) if s[0] == "bucket" else made[s[0]](s[1]) for s in specs]
 
 
+def create_statement(df: DataFrame, table: str, partitioned_by: Sequence[tuple]) -> str:
+    """CREATE TABLE with the columns of ``df`` and any transform, ("truncate", c, width) included."""
+    def quoted(name: str) -> str:
+        return "`" + name.replace("`", "``") + "`"
+
+    def transform(kind: str, column: str, n: int | None = None) -> str:
+        if kind == "identity":
+            return quoted(column)
+        if kind in ("bucket", "truncate"):
+            return f"{kind}({int(n)}, {quoted(column)})"
+        if kind in ("year", "month", "day", "hour"):
+            return f"{kind}s({quoted(column)})"
+        raise ValueError(f"unknown partition transform {kind!r}")
+
+    columns = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in df.schema.fields)
+    return f"CREATE TABLE {table} ({columns}) USING iceberg PARTITIONED BY ({', '.join(transform(*s) for s in partitioned_by)})"
+
+
 def write_iceberg(df: DataFrame, table: str, mode: str = "append", *, partitioned_by: Sequence[tuple] = ()) -> None:
     """append | overwrite (of the touched partitions); the table is created when missing."""
     check_mode(mode)
+    missing = not df.sparkSession.catalog.tableExists(table)
+    if missing and any(s[0] == "truncate" for s in partitioned_by):
+        df.sparkSession.sql(create_statement(df, table, partitioned_by))
+        missing = False
     writer = df.writeTo(table).using("iceberg")
-    if partitioned_by:
-        writer = writer.partitionedBy(*partition_transforms(partitioned_by))
-    if not df.sparkSession.catalog.tableExists(table):
-        writer.create()
+    if missing:
+        (writer.partitionedBy(*partition_transforms(partitioned_by)) if partitioned_by else writer).create()
     elif mode == "overwrite":
         writer.overwritePartitions()
     else:

@@ -161,3 +161,13 @@ def test_watermark_without_last_value(t):
     some = incremental.above_watermark(t.events, "ts", datetime(2024, 1, 20), look_back=timedelta(days=1))
     assert some.count() == t.events.filter("ts > timestamp_ntz'2024-01-19'").count()
     assert "PushedFilters: [IsNotNull(ts), GreaterThan(ts" in some._jdf.queryExecution().toString()
+
+
+def test_create_statement_with_truncate_parses(spark):
+    df = spark.createDataFrame([], "`a b` string, k bigint, at timestamp")
+    text = table_sink.create_statement(df, "cat.db.t", [("truncate", "a b", 4), ("bucket", "k", 16), ("day", "at"), ("identity", "k")])
+    assert text.endswith("PARTITIONED BY (truncate(4, `a b`), bucket(16, `k`), days(`at`), `k`)")
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text).toString()
+    assert "truncate(4, a b)" in plan.replace("`", "")
+    with pytest.raises(ValueError):
+        table_sink.create_statement(df, "t", [("week", "at")])

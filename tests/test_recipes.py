@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import scalars as s
-from millrace.functions.recipe import FAIL, RETURN_NULL, USE_DEFAULT, Recipe, Step, run_recipes, step_types
+from millrace.functions.recipe import FAIL, RETURN_NULL, USE_DEFAULT, Recipe, Step, mapping_tree, run_recipes, step_types
 
 TS = dt.datetime(2024, 6, 15, 14, 32)
 SAMPLES = [
@@ -87,3 +87,19 @@ def test_business_days_against_a_calendar_walk(spark, start, days):
     end = start + dt.timedelta(days=days * 3)
     walked = sum((start + dt.timedelta(days=i)).weekday() < 5 for i in range((end - start).days))
     assert one(spark, s.business_days_between(F.lit(start), F.lit(end))) == walked
+
+
+def test_mapping_tree_groups(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "7")], "k int, v string")
+    op = lambda name, **p: {"operation": name, "params": p}
+    run = lambda tree: [r["v"] for r in mapping_tree(df, "v", "v", tree).orderBy("k").collect()]     # the source itself is replaced
+    assert run({"children": []}) == ["a", None, "7"]
+    assert run({"kind": "parallel", "children": []}) == ["a", None, "7"]
+    assert run({"kind": "parallel", "children": [op("null_if", value="'a'"), op("coalesce", fallbacks=["'z'"])]}) == ["a", "z", "7"]
+    assert run({"kind": "parallel", "combine": "array", "children": [op("upper"), op("lower")]}) == [["A", "a"], [None, None], ["7", "7"]]
+    digits = {"kind": "case", "children": [{"when": ("k", "=", 3), "children": [op("cast", targetType="INTEGER")]}], "else": op("custom_sql", expression="-1")}
+    assert run(digits) == [-1, -1, 7]                                                               # "a" never meets the strict cast
+    assert mapping_tree(df, "v", "v", digits).columns == ["k", "v"]
+    for wrong in ({"kind": "loop", "children": []}, {"kind": "parallel", "combine": "sum", "children": [op("upper")]}):
+        with pytest.raises(ValueError):
+            run(wrong)
