@@ -2,11 +2,13 @@
 
 Each language has a probability for every piece of a fixed public vocabulary. The likelihood of a
 word is the sum over all its segmentations of the product of piece probabilities, by the forward
-algorithm; a text's is the product over its words. All words of a batch run in step, as arrays.
+algorithm; a text's is the product over its words. All words of a batch run in step, as arrays; words of
+more than ``WORD_CHARS`` code points in slices, in logarithms, with the sums of the positions that pieces
+across a cut reach carried over it.
 
 Probabilities come from expectation maximisation over the words of a bounded sample of the labelled
 rows (``train_rows`` per language, by hash of the id; documented parameter): forward and backward
-sums give each piece's expected count. Words are cut after ``WORD_CHARS`` code points.
+sums give each piece's expected count. Only there are words cut after ``WORD_CHARS`` code points.
 """
 
 from __future__ import annotations
@@ -30,14 +32,14 @@ from millrace.session import materialise
 TRAIN_ROWS = 2000
 ROUNDS = 2
 WORD_CHARS = 32
-PIECE_CHARS = 16
+SLICE_CHARS = 256
 UNKNOWN = 1e-7
 SMOOTHING = 0.1
 NO_LANGUAGE = "und"
 LEAST_SCORE = 0.5
 LETTER = re.compile(r"[^\W\d_]")
 PIECE_BYTES = 2 << 20
-WORDS_AT_ONCE = 12_000      # bounds the memory of a lattice
+WORDS_AT_ONCE, SLICES_AT_ONCE = 12_000, 500     # bound the memory of a lattice
 
 
 class Trie:
@@ -46,9 +48,8 @@ class Trie:
     def __init__(self, vocabulary: Vocabulary) -> None:
         nodes, children, piece = {"": 0}, {}, [-1]
         self.ids = []
+        self.longest = max(map(len, vocabulary.pieces), default=1)
         for text in vocabulary.pieces:
-            if len(text) > PIECE_CHARS:
-                continue
             for k in range(1, len(text) + 1):
                 if text[:k] not in nodes:
                     nodes[text[:k]] = len(piece)
@@ -90,9 +91,11 @@ class Lattice:
         inside = lengths[word] - left
         at, node, found = np.arange(len(chars)), np.zeros(len(chars), np.int64), []
         single = np.zeros(len(chars), bool)
-        for k in range(PIECE_CHARS):
+        for k in range(trie.longest):
             keep = left[at] > k
             at, node = at[keep], node[keep]
+            if not len(at):
+                break
             node = trie.step(node, chars[at + k])
             at, node = at[node >= 0], node[node >= 0]
             piece = trie.piece[node]
@@ -123,6 +126,21 @@ class Lattice:
             total[target[heads]] = np.add.reduceat(total[self.source[level]] * p[self.piece[level]], heads, axis=0)
         return total
 
+    def carry(self, logs: np.ndarray, before: np.ndarray, size: int) -> np.ndarray:
+        """Logarithms of the forward sums, from those ``before[word, position]`` that earlier slices have reached; pieces start at the first ``size`` positions."""
+        total = np.full((int(self.starts[-1] + self.lengths[-1]) + 1, logs.shape[1]), -np.inf)
+        for k in range(before.shape[1]):
+            there = self.lengths >= k
+            total[self.starts[there] + k] = before[there, k]
+        begins = self.source - self.starts[np.searchsorted(self.starts, self.source, "right") - 1] < size
+        for level in self._levels():
+            at = begins[level]
+            target, source, piece = self.target[level][at], self.source[level][at], self.piece[level][at]
+            if len(target):
+                heads = np.flatnonzero(np.concatenate(([True], target[1:] != target[:-1])))
+                total[target[heads]] = np.logaddexp(total[target[heads]], np.logaddexp.reduceat(total[source] + logs[piece], heads, axis=0))
+        return total
+
     def words(self, total: np.ndarray) -> np.ndarray:
         return total[self.starts + self.lengths]
 
@@ -150,14 +168,39 @@ def marked(words: list[bytes]) -> tuple[list[str], np.ndarray]:
     return runs, np.array(owner, np.int64)
 
 
+def _log_long(words: list[str], trie: Trie, logs: np.ndarray) -> np.ndarray:
+    """Logarithms of the sums over all segmentations of marked words of any length."""
+    out = np.empty((len(words), logs.shape[1]))
+    active, start = np.arange(len(words)), 0
+    before = np.full((len(words), trie.longest, logs.shape[1]), -np.inf)
+    before[:, 0] = 0
+    while len(active):
+        lattice = Lattice.of([words[k][start:start + SLICE_CHARS + trie.longest - 1] for k in active], trie)
+        total = lattice.carry(logs, before, SLICE_CHARS)
+        ends = lattice.lengths <= SLICE_CHARS
+        out[active[ends]] = lattice.words(total)[ends]
+        at = lattice.starts[~ends, None] + SLICE_CHARS + np.arange(trie.longest)
+        there = np.arange(trie.longest) + SLICE_CHARS <= lattice.lengths[~ends, None]
+        before = np.where(there[:, :, None], total[np.minimum(at, len(total) - 1)], -np.inf)
+        active, start = active[~ends], start + SLICE_CHARS
+    return out
+
+
 def _log_words(words: list[bytes], trie: Trie, p: np.ndarray) -> np.ndarray:
-    out = []
-    for a in range(0, len(words), WORDS_AT_ONCE):
-        runs, owner = marked(words[a:a + WORDS_AT_ONCE])
-        lattice = Lattice.of(runs, trie)
-        logs = np.log(np.maximum(lattice.words(lattice.forward(p)), 1e-300))
-        out.append(np.add.reduceat(logs, np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))), axis=0))
-    return np.concatenate(out)
+    """Logarithms of the sums over all segmentations of each word."""
+    texts = [MARK + w.decode() for w in words]
+    size = np.array([len(t) for t in texts], np.int64)
+    out = np.empty((len(texts), p.shape[1]))
+    short, long = np.flatnonzero(size <= WORD_CHARS), np.flatnonzero(size > WORD_CHARS)
+    for a in range(0, len(short), WORDS_AT_ONCE):
+        at = short[a:a + WORDS_AT_ONCE]
+        lattice = Lattice.of([texts[k] for k in at], trie)
+        out[at] = np.log(np.maximum(lattice.words(lattice.forward(p)), 1e-300))
+    logs = np.log(np.maximum(p, 1e-300)) if len(long) else p
+    for a in range(0, len(long), SLICES_AT_ONCE):
+        at = long[a:a + SLICES_AT_ONCE]
+        out[at] = _log_long([texts[k] for k in at], trie, logs)
+    return out
 
 
 @dataclass

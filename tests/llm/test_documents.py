@@ -293,7 +293,7 @@ def test_forward_sums_and_expected_counts_against_brute_force():
     def ways(w):
         if not w:
             yield []
-        for k in range(1, min(language.PIECE_CHARS, len(w)) + 1):
+        for k in range(1, min(TRIE.longest, len(w)) + 1):
             if w[:k] in index:
                 yield from ([index[w[:k]], *rest] for rest in ways(w[k:]))
             elif k == 1:
@@ -311,6 +311,24 @@ def test_forward_sums_and_expected_counts_against_brute_force():
     assert np.allclose(lattice.expected(p, weights), want, rtol=1e-8)
 
 
+def test_long_words_sum_over_the_cuts():
+    """Words of any length against a sum position by position over the whole word."""
+    rng = np.random.default_rng(2)
+    p = rng.random((len(TRIE.ids) + 1, 3)) / 1000
+    index = {t: i for i, t in enumerate(TRIE.ids)}
+    near, full = language.WORD_CHARS, language.SLICE_CHARS
+    sizes = [near - 1, near, near + 1, full - 1, full, full + 1, full + TRIE.longest - 2, full + TRIE.longest - 1, full + TRIE.longest, 2 * full - 1, 2 * full + 3, 1500]
+    words = ["".join(rng.choice(list("thetionand.日é"), n)) for n in sizes] + ["a" * 700, "日" * 300, "the", ""]
+    got = language._log_words([w.encode() for w in words], TRIE, p)
+    for w, sums in zip(words, got):
+        w = language.MARK + w
+        logs = [np.zeros(3)]
+        for end in range(1, len(w) + 1):
+            pieces = [(a, index.get(w[a:end], -1)) for a in range(max(0, end - TRIE.longest), end) if w[a:end] in index or (end - a == 1)]
+            logs.append(np.logaddexp.reduce([logs[a] + np.log(p[k]) for a, k in pieces], axis=0))
+        assert np.allclose(sums, logs[-1], rtol=1e-9)
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
