@@ -7,8 +7,9 @@ a threshold calibrated on the labelled URLs that the models have not seen (a fif
 
 URLs that a rule decides are the labels. All of them are counted, by the 64-bit hashes of contexts and
 of contexts with their next byte. Contexts seen fewer than ``CONTEXT_ROWS`` times, which no score reads,
-go with their bytes before the counts are sent around as sorted arrays. These grow with the distinct
-contexts of the labelled URLs: 16 bytes for each context byte kept, 24 for each context.
+go with their bytes. What is left grows with the distinct contexts of the labelled URLs: 16 bytes for
+each context byte, 24 for each context. Up to ``MODEL_BYTES`` it is sent around as sorted arrays; beyond,
+the distinct URLs' contexts are joined to the tables of counts and summed, with the same scores.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ CONTEXT_ROWS = 4
 BIN = 0.05
 BINS = 400          # on either side of zero; further scores share the last bin
 CALIBRATION = 5
+MODEL_BYTES = 128 << 20
+HEAVY = 1 << 12     # keys with this share of all counts are few, and met by broadcast
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -98,6 +101,7 @@ class Model:
     grams: list[tuple[np.ndarray, np.ndarray]]                      # key, n
     filled: bool
     threshold: float = 0.0
+    tables: tuple[DataFrame, DataFrame, int] | None = None         # contexts, grams and their sum instead of the arrays, where those would be too large
 
     def score(self, column: pa.Array) -> np.ndarray:
         """Log-likelihood difference per byte, accepted minus rejected; 0 where a model is empty."""
@@ -134,7 +138,53 @@ def _scored(model: Model):
     return run
 
 
+def _lookups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row (h1, h2, at, k, context, gram) for each position of a URL and order."""
+    for batch in batches:
+        for a, b, data, at, owner in _padded(batch.column(2)):
+            sums = run_sums(BYTE_VALUES[data], BYTE_BASE)
+            h1, h2 = (np.asarray(batch.column(i))[a:b][owner] for i in (0, 1))
+            for k in range(ORDER + 1):
+                order = pa.array(np.full(len(at), k, np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(at.astype(np.int32)), order, pa.array(_keys(sums, at, k, 0)), pa.array(_keys(sums, at, k, 1))],
+                                                 names=["h1", "h2", "at", "k", "context", "gram"])
+
+
+def _met(rows: DataFrame, table: DataFrame, key: str, total: int, how: str) -> DataFrame:
+    """``rows`` joined to counts. The sum of all counts bounds the number of keys with a ``HEAVY``-th of it: those
+    go to all tasks, as their rows would meet in one otherwise; the others are shuffled."""
+    heavy = F.greatest("n0", "n1") >= max(1.0, total / HEAVY)
+    hot = F.broadcast(table.filter(heavy))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(table.filter(~heavy), key, how))
+
+
+def _joined_scores(df: DataFrame, model: Model) -> DataFrame:
+    """The scores of ``Model.score`` by joins of the distinct URLs' contexts and grams to the tables of counts."""
+    contexts, grams, total = model.tables
+    urls = df.select("said").distinct().select(F.xxhash64("said").alias("h1"), F.xxhash64("said", F.lit("url")).alias("h2"), "said")
+    rows = materialise(urls.mapInArrow(_lookups, "h1 bigint, h2 bigint, at int, k int, context bigint, gram bigint"), "urls-lookups")
+    side = lambda i, name: F.coalesce(F.sum(F.when(F.col("model") == i, F.col(name))), F.lit(0))
+    by_context = contexts.groupBy("context").agg(*[side(i, c).alias(f"{c}{i}") for i in (0, 1) for c in ("n", "kinds")])
+    by_gram = grams.groupBy("gram").agg(*[side(i, "n").alias(f"n{i}") for i in (0, 1)])
+    rows = materialise(_met(rows, by_context, "context", total, "inner").withColumnsRenamed({"n0": "all0", "n1": "all1"}), "urls-contexts-met")
+    rows = _met(rows, by_gram, "gram", total, "left").fillna(0, ["n0", "n1"])
+    seen = F.array_sort(F.collect_list(F.struct("k", "all0", "kinds0", "n0", "all1", "kinds1", "n1")))      # at most a row per order
+
+    def grown(i: int):
+        def step(p, x):
+            n, kinds, m = x[f"all{i}"], x[f"kinds{i}"], x[f"n{i}"]
+            return F.when(n >= CONTEXT_ROWS, (m + kinds * p) / (n + kinds)).otherwise(p)
+        return F.aggregate("seen", F.lit(1 / 256), step)
+
+    logs = rows.groupBy("h1", "h2", "at").agg(seen.alias("seen")).select("h1", "h2", (F.log(grown(0)) - F.log(grown(1))).alias("log"))
+    sums = logs.groupBy("h1", "h2").agg(F.sum("log").alias("log"))
+    scores = urls.join(sums, ["h1", "h2"], "left").select("said", F.coalesce(F.col("log") / (F.octet_length("said") + 1), F.lit(0.0)).alias("score"))
+    return df.join(scores, "said").select(*df.columns, "score")
+
+
 def _with_scores(df: DataFrame, model: Model) -> DataFrame:
+    if model.tables:
+        return _joined_scores(df, model)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.mapInArrow(_scored(model), f"{fields}, score double")
 
@@ -150,16 +200,24 @@ def _sorted(table: DataFrame, key: str, counts: list[str]) -> list[tuple[np.ndar
     return out
 
 
-def fit(df: DataFrame) -> Model:
-    """Models and threshold from ``df(said, verdict)``; rows with a null verdict teach nothing."""
+def fit(df: DataFrame, *, model_bytes: int = MODEL_BYTES) -> Model:
+    """Models and threshold from ``df(said, verdict)``; rows with a null verdict teach nothing.
+
+    Counts of up to ``model_bytes`` go to every task as arrays; larger ones stay tables, and URLs meet them by joins, with the same scores.
+    """
     labelled = df.filter(F.col("verdict").isNotNull()).select((F.col("verdict") == BLOCK).cast("int").alias("rejected"), "said")
     aside = F.pmod(F.xxhash64("said"), F.lit(CALIBRATION)) == 0
     counts = labelled.filter(~aside).mapInArrow(_counted, "model int, context bigint, gram bigint, n bigint").groupBy("model", "context", "gram").agg(F.sum("n").alias("n"))
     counts = materialise(counts, "urls-counts")
     contexts = materialise(counts.groupBy("model", "context").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).filter(F.col("n") >= CONTEXT_ROWS), "urls-contexts")
-    grams = counts.join(contexts.select("model", "context"), ["model", "context"], "left_semi").select("model", "gram", "n")
+    grams = materialise(counts.join(contexts.select("model", "context"), ["model", "context"], "left_semi").select("model", "gram", "n"), "urls-grams")
     filled = counts.select("model").distinct().count() == 2
-    model = Model(_sorted(contexts, "context", ["n", "kinds"]), _sorted(grams, "gram", ["n"]), filled)
+    if not filled:
+        model = Model([], [], False)
+    elif 24 * contexts.count() + 16 * grams.count() <= model_bytes:
+        model = Model(_sorted(contexts, "context", ["n", "kinds"]), _sorted(grams, "gram", ["n"]), filled)
+    else:
+        model = Model([], [], filled, tables=(contexts, grams, contexts.agg(F.sum("n")).first()[0] or 0))
     scores = _with_scores(labelled.filter(aside), model)
     bins = F.greatest(F.lit(-BINS), F.least(F.lit(BINS), F.floor(F.col("score") / BIN))).cast("int")
     seen = scores.groupBy("rejected", bins.alias("bin")).agg(F.count("*").alias("n")).collect()                          # at most 2 * (2 * BINS + 1) rows
@@ -175,7 +233,7 @@ def fit(df: DataFrame) -> Model:
     return model
 
 
-def judge(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
+def judge(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, *, model_bytes: int = MODEL_BYTES) -> DataFrame:
     """``(id, host, path, rule, verdict, score)`` for every row.
 
     Null URLs and those without ``://`` have an empty host and path, which no rule fits; their
@@ -187,7 +245,7 @@ def judge(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: S
     parts = df.select(col(id_col).alias("id"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     parts = parts.select("id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), F.concat("host", "path").alias("said"))
-    model = fit(parts)
+    model = fit(parts, model_bytes=model_bytes)
     scored = _with_scores(parts, model)
     own = F.when(F.col("score") >= model.threshold, ALLOW).otherwise(BLOCK)
     return scored.select("id", "host", "path", "rule", F.coalesce("verdict", own).alias("verdict"), "score")
