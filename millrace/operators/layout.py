@@ -98,8 +98,14 @@ def partition_sizes(df: DataFrame) -> DataFrame:
     return df.groupBy(F.spark_partition_id().alias("partition")).agg(F.count(F.lit(1)).alias("rows"))
 
 
-def skew_report(df: DataFrame, keys: Sequence[str], factor: float = 3.0) -> DataFrame:
-    """Keys with more than ``factor`` times the average rows per key."""
+def skew_report(df: DataFrame, keys: Sequence[str], factor: float = 3.0, against: str = "mean") -> DataFrame:
+    """Keys with more than ``factor`` times the mean or median rows per key. A few huge keys raise the mean and hide
+    each other; the median, taken over counts of counts, they leave where it is."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
-    mean = counts.agg(F.avg("rows")).scalar()
-    return counts.withColumn("times_mean", F.col("rows") / mean).filter(F.col("times_mean") > factor)
+    if against == "mean":
+        usual = counts.agg(F.avg("rows")).scalar()
+    elif against == "median":
+        usual = counts.groupBy("rows").agg(F.count(F.lit(1)).alias("n")).agg(F.percentile("rows", 0.5, F.col("n"))).scalar()
+    else:
+        raise ValueError(f"against must be mean or median, not {against!r}")
+    return counts.withColumn(f"times_{against}", F.col("rows") / usual).filter(F.col(f"times_{against}") > factor)

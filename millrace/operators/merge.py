@@ -88,20 +88,23 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], *, update_
     """
     source = unique_source(source, keys, latest_by)
     updates = set(update_columns or [c for c in source.columns if c not in keys])
-    j = _full(target, source, keys, "right" if delete_unmatched else "full")
-    only_s, only_t = F.col("t").isNull(), F.col("s").isNull()
-    shared = [c for c in updates if c in target.columns]
-    write = ~only_t & (only_s | (_changed(shared, "t", "s") if skip_unchanged else F.lit(True)))
+    # Flat rows: the join sorts and copies them faster than rows packed as structs.
+    t = target.select(*[F.col(c).alias(f"__t_{c}") for c in target.columns], F.lit(True).alias("__in_t"))
+    s = source.select(*[F.col(c).alias(f"__s_{c}") for c in source.columns if c in target.columns])
+    j = t.join(s, reduce(lambda a, b: a & b, [t[f"__t_{k}"] == s[f"__s_{k}"] for k in keys]), "right" if delete_unmatched else "full")
+    only_s, only_t = F.col("__in_t").isNull(), F.col(f"__s_{keys[0]}").isNull()      # no key of the source is NULL
+    differs = reduce(lambda a, b: a | b, [~F.col(f"__t_{c}").eqNullSafe(F.col(f"__s_{c}")) for c in updates if c in target.columns], F.lit(False))
+    write = ~only_t & (only_s | (differs if skip_unchanged else F.lit(True)))
     fields = []
     for c in target.columns:
-        value = F.col(f"t.{c}")
+        value = F.col(f"__t_{c}")
         if stamp and c == stamp[0]:
             value = F.when(write, stamp[1]).otherwise(value)
         elif c == soft_delete:
             value = F.when(only_t, F.lit(True)).otherwise(F.lit(False))
         elif c in source.columns:
             take = only_s | (write if c in updates else F.lit(False))
-            value = F.when(take, F.col(f"s.{c}")).otherwise(value)
+            value = F.when(take, F.col(f"__s_{c}")).otherwise(value)
         fields.append(value.alias(c))
     return j.select(*fields)
 

@@ -118,6 +118,11 @@ def skewed_keys(t):
     return layout.skew_report(t.lineitem, ["l_suppkey"], 1.02)
 
 
+@query("T27", sql="SELECT l_partkey, COUNT(*) AS rows, COUNT(*) / (SELECT median(n) FROM (SELECT COUNT(*) AS n FROM lineitem GROUP BY l_partkey)) AS times_median FROM lineitem GROUP BY 1 HAVING COUNT(*) > 1.5 * (SELECT median(n) FROM (SELECT COUNT(*) AS n FROM lineitem GROUP BY l_partkey))")
+def skewed_keys_by_median(t):
+    return layout.skew_report(t.lineitem, ["l_partkey"], 1.5, against="median")
+
+
 @query("T29", sql="SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS gross FROM lineitem")
 def vectorised_function(t):
     def gross(price: pd.Series, discount: pd.Series, tax: pd.Series) -> pd.Series:
@@ -128,6 +133,7 @@ def vectorised_function(t):
 
 @query("T29", sql="SELECT p_partkey, p_name || '/' || p_brand AS label, p_type || '/' || p_name AS other FROM part")
 def row_function_two_outputs(t):
-    join = lambda a, b: f"{a}/{b}"
-    out = udfs.apply_udf(t.part, join, "string", [(["p_name", "p_brand"], "label"), (["p_type", "p_name"], "other")], vectorised=False)
+    def joined(a: pd.Series, b: pd.Series) -> pd.Series:
+        return a + "/" + b
+    out = udfs.apply_udf(t.part, joined, "string", [(["p_name", "p_brand"], "label"), (["p_type", "p_name"], "other")])
     return out.select("p_partkey", "label", "other")

@@ -566,3 +566,20 @@ def test_unique_keys_known_from_the_plan(spark, tmp_path):
     fails(lambda: merge.upsert(target, df.filter("k = 1"), ["k"]).collect(), "several source rows")
     fails(lambda: merge.upsert(target, grouped, ["k"]).collect(), "NULL in a business key")
     assert merge.upsert(target, grouped.filter("k IS NOT NULL"), ["k"]).collect() == [(1, "b")]
+
+
+def test_row_function_sees_nulls(spark):
+    df = spark.createDataFrame([("a", None), ("b", "c")], "x string, y string")
+    out = udfs.apply_udf(df, lambda a, b: f"{a}/{b or '-'}", "string", [(["x", "y"], "z"), (["y", "x"], "w")], vectorised=False)
+    assert sorted((r["z"], r["w"]) for r in out.collect()) == [("a/-", "None/a"), ("b/c", "c/b")]
+
+
+def test_upsert_keeps_target_rows_with_null_keys_and_odd_columns(spark):
+    target = spark.createDataFrame([(1, "a", None), (None, "b", "x"), (3, None, "y")], "k int, v string, kept string")
+    source = spark.createDataFrame([(1, None, 9), (4, "d", 9), (3, None, 9)], "k int, v string, more int")
+    rows = lambda df: sorted(((r["k"] or 0, r["v"] or "", r["kept"] or "") for r in df.collect()))
+    done = merge.upsert(target, source, ["k"])
+    assert done.columns == ["k", "v", "kept"] and rows(done) == [(0, "b", "x"), (1, "", ""), (3, "", "y"), (4, "d", "")]
+    stamped = merge.upsert(target, source, ["k"], skip_unchanged=True, stamp=("kept", F.lit("now")))
+    assert rows(stamped) == [(0, "b", "x"), (1, "", "now"), (3, "", "y"), (4, "d", "now")]
+    assert rows(merge.upsert(target, source, ["k"], delete_unmatched=True)) == [(1, "", ""), (3, "", "y"), (4, "d", "")]
