@@ -26,11 +26,12 @@ def unique_source(source: DataFrame, keys: Sequence[str], latest_by: Sequence[st
     """
     missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     named = F.lit(f"NULL in a business key ({', '.join(keys)})")
+    # The row id keeps the optimizer from moving the check below the source's own filters, where it would see rows they drop.
+    no_null = F.when(missing, F.raise_error(named)).otherwise(F.monotonically_increasing_id() >= 0)
     if latest_by:
-        latest = latest_per_key(source, keys, latest_by).select(*source.columns)
-        return latest.filter(F.when(missing, F.raise_error(named)).otherwise(F.lit(True)))
+        return latest_per_key(source, keys, latest_by).select(*source.columns).filter(no_null)
     if unique_by_plan(source, keys):
-        return source.filter(F.when(missing, F.raise_error(named)).otherwise(F.lit(True)))
+        return source.filter(no_null)
     # Numbering by key uses the same partitioning and order as the join that follows: no extra
     # shuffle or sort, and no buffering of a repeated key.
     spec = W.partitionBy(*keys).orderBy(*keys)

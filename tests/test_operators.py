@@ -583,3 +583,13 @@ def test_upsert_keeps_target_rows_with_null_keys_and_odd_columns(spark):
     stamped = merge.upsert(target, source, ["k"], skip_unchanged=True, stamp=("kept", F.lit("now")))
     assert rows(stamped) == [(0, "b", "x"), (1, "", "now"), (3, "", "y"), (4, "d", "now")]
     assert rows(merge.upsert(target, source, ["k"], delete_unmatched=True)) == [(1, "", ""), (3, "", "y"), (4, "d", "")]
+
+
+def test_null_keys_that_the_source_drops_are_no_error(spark):
+    target = spark.createDataFrame([(1, 1)], "k int, n long")
+    rows = spark.createDataFrame([(1, 1), (1, 1), (None, 0), (2, 0)], "k int, open int")
+    grouped = rows.groupBy("k").agg(F.sum("open").alias("n"))
+    assert [tuple(r) for r in merge.upsert(target, grouped.filter("n > 0"), ["k"]).collect()] == [(1, 2)]
+    for source, options in ((grouped, {}), (rows.select("k", F.col("open").cast("long").alias("n")), {"latest_by": ["n"]})):
+        with pytest.raises(Exception, match="NULL in a business key"):
+            merge.upsert(target, source, ["k"], **options).collect()
