@@ -41,6 +41,8 @@ MIN_WORDS = 5
 REPEATS = 32
 SAMPLED = 2
 BLOCK_WORDS = 500_000
+PIECE_BYTES = 1 << 20
+WINDOWS_AT_ONCE = 8192      # walks are as many arrays of REPEATS numbers
 FOUND = "id bigint, item bigint, start bigint, n_words bigint, distance int"
 
 
@@ -185,8 +187,10 @@ def _matches(items: Items, hashes: np.ndarray, first: np.ndarray) -> Iterator[tu
     hit = pairs[:, 3] > 0
     lengths = np.array([len(w) for w in items.words])[pairs[:, 1]]
     for length in np.unique(lengths[~hit]).tolist():
-        at = np.flatnonzero((lengths == length) & (pairs[:, 3] == 0))
-        hit[at] = (sampled_keys(hashes, pairs[at, 2], length) == np.stack([items.keys[k] for k in pairs[at, 1]])).any(axis=1)
+        every = np.flatnonzero((lengths == length) & (pairs[:, 3] == 0))
+        for a in range(0, len(every), WINDOWS_AT_ONCE):
+            at = every[a:a + WINDOWS_AT_ONCE]
+            hit[at] = (sampled_keys(hashes, pairs[at, 2], length) == np.stack([items.keys[k] for k in pairs[at, 1]])).any(axis=1)
     kept = pairs[hit]                       # in order of document and item
     heads = np.flatnonzero(np.concatenate(([True], (kept[1:, :2] != kept[:-1, :2]).any(axis=1)))) if len(kept) else []
     for group in np.split(kept, heads[1:]) if len(kept) else ():
@@ -218,7 +222,7 @@ def _scan(rows: list[tuple[int, str | None]], similarity: float, min_words: int)
         items = Items.of(rows, similarity, min_words)
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for a, b, offsets, data in pieces(batch.column(1)):
+            for a, b, offsets, data in pieces(batch.column(1), PIECE_BYTES):
                 starts, ends, first = word_spans(data, offsets)
                 found = [(ids[a + d], items.ids[k], s, n, e) for d, k, s, n, e in _matches(items, word_hashes(data, starts, ends, folded=True), first)]
                 if found:
@@ -266,7 +270,7 @@ def _clean(rows: list[tuple[int, str | None]], similarity: float, min_words: int
         items = Items.of(rows, similarity, min_words)
         for texts in parts:
             ok = np.ones(len(texts), bool)
-            for a, _, offsets, data in pieces(texts):
+            for a, _, offsets, data in pieces(texts, PIECE_BYTES):
                 starts, ends, first = word_spans(data, offsets)
                 for doc, *_ in _matches(items, word_hashes(data, starts, ends, folded=True), first):
                     ok[a + doc] = False
