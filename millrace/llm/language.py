@@ -39,7 +39,7 @@ NO_LANGUAGE = "und"
 LEAST_SCORE = 0.5
 LETTER = re.compile(r"[^\W\d_]")
 PIECE_BYTES = 2 << 20
-WORDS_AT_ONCE, SLICES_AT_ONCE = 12_000, 500     # bound the memory of a lattice
+WORDS_AT_ONCE, SLICES_AT_ONCE = 6000, 500     # bound the memory of a lattice
 
 
 class Trie:

@@ -26,8 +26,8 @@ from millrace.llm.columns import picked
 from millrace.llm.text import lists, pieces as text_pieces
 from millrace.llm.vocabulary import MARK, Vocabulary, model_path
 
-REMEMBERED = 300_000
-BATCH_BYTES = 4 << 20        # the more text at once, the fewer new words in it
+REMEMBERED = 200_000
+BATCH_BYTES = 2 << 20        # the more text at once, the fewer new words in it
 
 
 class Segmenter:
