@@ -4,13 +4,16 @@ Rows are dealt to groups that a task can hold: blocks of row numbers with the bo
 (ROWS), or chunks of the sort value with the rows that reach into them (RANGE). Inside a task the
 values of many groups form one wavelet matrix: their ranks, bit by bit from the highest, with the
 running count of zeros on each level. The k-th value of any stretch of rows is found by walking down
-the levels, where two counts tell on which side it lies; all rows walk at once. That takes
-n log n steps whatever the width of the frames, and no row carries its frame.
+the levels, where two counts tell on which side it lies; many rows walk at once. That takes
+n log n steps whatever the width of the frames, and no row carries its frame. A task answers rows
+as soon as their frames have come in and lets go of rows that no later frame sees, so it holds
+``HELD_ROWS`` rows or twice a frame, however large the group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +27,8 @@ from millrace.operators.sizing import MAX_GROUP_ROWS, hot_groups
 from millrace.operators.windows import UNBOUNDED, Frame, WindowFn
 from millrace.session import materialise
 
-HELD_ROWS = 1 << 18       # groups are worked off when so many rows have come together
+HELD_ROWS = 1 << 18       # rows are worked off when so many have come together
+WALKED_ROWS = 1 << 16     # rows that walk down the levels at once
 
 
 class RankTree:
@@ -32,11 +36,12 @@ class RankTree:
 
     def __init__(self, values: np.ndarray) -> None:
         self.sorted, rank = np.unique(values, return_inverse=True)
-        self.levels = []
+        kind = np.int32 if len(rank) < 1 << 31 else np.int64
+        rank, self.levels = rank.astype(kind), []
         for bit in reversed(range(max(1, int(max(len(self.sorted) - 1, 0)).bit_length()))):
             ones = (rank >> bit) & 1
-            zeros = np.zeros(len(rank) + 1, np.int64)
-            np.cumsum(1 - ones, out=zeros[1:])
+            zeros = np.zeros(len(rank) + 1, kind)
+            np.cumsum(1 - ones, dtype=kind, out=zeros[1:])
             self.levels.append((bit, zeros))
             rank = np.concatenate((rank[ones == 0], rank[ones == 1]))
 
@@ -57,19 +62,18 @@ def quantiles(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, fractions: Seq
     known = ~np.isnan(values)
     before = np.concatenate(([0], np.cumsum(known)))
     lo, hi = before[lo], before[np.maximum(lo, hi)]
-    some, out = hi > lo, []
-    a, b, n = lo[some], hi[some], (hi - lo)[some]
-    tree = RankTree(values[known])
-    for p, continuous in fractions:
-        if continuous:
-            at = p * (n - 1)
-            low, high = tree.kth(a, b, np.floor(at).astype(np.int64)), tree.kth(a, b, np.ceil(at).astype(np.int64))
-            found = low + (high - low) * (at - np.floor(at))
-        else:
-            found = tree.kth(a, b, np.maximum(np.ceil(p * n).astype(np.int64), 1) - 1)
-        whole = np.zeros(len(lo))
-        whole[some] = found
-        out.append(np.ma.MaskedArray(whole, ~some))
+    some = hi > lo
+    out = [np.ma.MaskedArray(np.zeros(len(lo)), ~some) for _ in fractions]
+    tree, every = RankTree(values[known]), np.flatnonzero(some)
+    for rows in np.split(every, range(WALKED_ROWS, len(every), WALKED_ROWS)):
+        a, b, n = lo[rows], hi[rows], (hi - lo)[rows]
+        for whole, (p, continuous) in zip(out, fractions):
+            if continuous:
+                at = p * (n - 1)
+                low, high = tree.kth(a, b, np.floor(at).astype(np.int64)), tree.kth(a, b, np.ceil(at).astype(np.int64))
+                whole.data[rows] = low + (high - low) * (at - np.floor(at))
+            else:
+                whole.data[rows] = tree.kth(a, b, np.maximum(np.ceil(p * n).astype(np.int64), 1) - 1)
     return out
 
 
@@ -97,40 +101,52 @@ def _bounds_of_values(group: np.ndarray, missing: np.ndarray, place: np.ndarray,
 
 
 def _answered(fractions: Sequence[tuple[float, bool]], kept: Sequence[str], start, end, by_value: bool, names: Sequence[str]):
-    def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    def frames(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The running number of every row's group, and the bounds of its frame among ``rows``."""
         new = np.asarray(rows["__group"])
         group = np.cumsum(np.concatenate(([False], new[1:] != new[:-1])))
-        if by_value:
-            missing = np.asarray(rows["__place"].is_null())
-            fill = pa.scalar(0, rows["__place"].type)
-            lo, hi = _bounds_of_values(group, missing, np.asarray(rows["__place"].fill_null(fill)), start, end)
-        else:
-            lo, hi = _bounds_of_rows(group, start, end)
-        values = np.asarray(rows["__value"].fill_null(float("nan")), float)
-        found = quantiles(values, lo, hi, fractions)
-        own = np.asarray(rows["__mine"])
-        out = rows.select(kept)
-        for name, column in zip(names, found):
+        if not by_value:
+            return group, *_bounds_of_rows(group, start, end)
+        missing = np.asarray(rows["__place"].is_null())
+        fill = pa.scalar(0, rows["__place"].type)
+        return group, *_bounds_of_values(group, missing, np.asarray(rows["__place"].fill_null(fill)), start, end)
+
+    def answers(rows: pa.Table, lo: np.ndarray, hi: np.ndarray, first: int, last: int) -> Iterator[pa.RecordBatch]:
+        """The own rows among rows[first:last] with their percentiles."""
+        own = np.asarray(rows["__mine"])[first:last]
+        at = first + np.flatnonzero(own)
+        if not len(at):
+            return
+        lo, hi = lo[at], np.maximum(lo, hi)[at]
+        low, high = int(lo.min()), int(hi.max())
+        values = np.asarray(rows["__value"].slice(low, high - low).fill_null(float("nan")), float)
+        out = rows.select(kept).slice(first, last - first).filter(pa.array(own))
+        for name, column in zip(names, quantiles(values, lo - low, hi - low, fractions)):
             out = out.append_column(name, pa.array(column.data, pa.float64(), mask=np.ma.getmaskarray(column)))
-        yield from out.filter(pa.array(own)).combine_chunks().to_batches()
+        yield from out.to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        rows = 0
-        for batch in batches:
-            group = np.asarray(batch.column(batch.schema.get_field_index("__group")))
-            if not len(group):
+        count = done = 0                # rows held; the first ``done`` are answered and seen by later frames
+        limit = HELD_ROWS
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held += [batch] if batch.num_rows else []
+                count += batch.num_rows
+            if not count or (batch is not None and count < limit):
                 continue
-            # The rows before the batch's last group end complete groups; that group may go on.
-            cut = int(np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))[-1])
-            if rows + cut >= HELD_ROWS and (cut or np.asarray(held[-1].column(batch.schema.get_field_index("__group")))[-1] != group[0]):
-                yield from work(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-                held, rows = [], 0
-                batch = batch.slice(cut)
-            held.append(batch)
-            rows += batch.num_rows
-        if held:
-            yield from work(pa.Table.from_batches(held))
+            rows = pa.Table.from_batches(held)
+            group, lo, hi = frames(rows)
+            # Only the last group may go on: its frames are whole where they end before the last row held.
+            opened = int(np.searchsorted(group, group[-1]))
+            ready = count if batch is None else opened + int(np.searchsorted(hi[opened:], count))
+            yield from answers(rows, lo, hi, done, ready)
+            # Frames begin ever later, so no row to come sees more than the last one here or one not answered.
+            seen = min(ready, int(lo[max(opened, min(ready, count - 1)):].min()))
+            held = rows.slice(seen).to_batches()
+            count, done = count - seen, ready - seen
+            limit = max(HELD_ROWS, 2 * count)       # rows are gone through a fixed number of times
+            del rows, group, lo, hi
     return run
 
 

@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +107,34 @@ def test_rank_tree_selects_any_stretch():
         k = (rng.random(500) * (hi - lo)).astype(int)
         assert orderstats.RankTree(v).kth(lo, hi, k).tolist() == [sorted(v[a:b])[c] for a, b, c in zip(lo, hi, k)]
     assert all(c.mask.all() for c in orderstats.quantiles(np.array([np.nan, np.nan]), np.array([0, 1]), np.array([2, 1]), [(0.5, True), (0.5, False)]))
+
+
+@pytest.mark.parametrize("held", [1, 64, 1 << 30])
+@pytest.mark.parametrize("start, end", [(-6, 0), (2, 9), (-9, -3), (-40, 30), (0, 0), (None, 2), (-3, None), (None, None)])
+@pytest.mark.parametrize("by_value", [True, False])
+def test_rows_are_answered_as_their_frames_come_in(monkeypatch, by_value, start, end, held):
+    """Whatever is held back, each own row gets the percentiles of its frame; bounded frames never hold a whole group."""
+    rnd = random.Random(7)
+    groups = {g: sorted((None if rnd.random() < 0.01 else rnd.randrange(300) for _ in range(n)), key=lambda x: (x is None, x)) for g, n in ((5, 600), (9, 3), (2, 100))}
+    rows = [{"id": 10_000 * g + i, "__group": g, "__mine": rnd.random() < 0.8, "__place": place if by_value else i, "__value": rnd.choice([None, float(rnd.randrange(50))])}
+            for g, places in groups.items() for i, place in enumerate(places)]
+    schema = pa.schema([("id", pa.int64()), ("__group", pa.int64()), ("__mine", pa.bool_()), ("__place", pa.int64()), ("__value", pa.float64())])
+    batches = [pa.RecordBatch.from_pylist(rows[i:i + 17], schema) for i in range(0, len(rows), 17)]
+    sizes, tree = [], orderstats.RankTree
+    monkeypatch.setattr(orderstats, "HELD_ROWS", held)
+    monkeypatch.setattr(orderstats, "RankTree", lambda values: sizes.append(len(values)) or tree(values))
+    found = orderstats._answered([(0.5, True), (0.3, False)], ["id"], start, end, by_value, ["m", "d"])(iter(batches))
+    got = [(r["id"], r["m"], r["d"]) for b in found for r in b.to_pylist()]
+    want = []
+    for r in (r for r in rows if r["__mine"]):
+        group, at = [x for x in rows if x["__group"] == r["__group"]], r["__place"]
+        # Places are positions without by_value. Rows without a place are peers of each other and come last.
+        inside = lambda x: (x["__place"] is None or x["__place"] >= at + start) if start is not None else True
+        before = lambda x: (x["__place"] is not None and x["__place"] <= at + end) if end is not None else True
+        if at is None:
+            inside, before = (lambda x: start is None or x["__place"] is None), (lambda x: True)
+        v = [x["__value"] for x in group if inside(x) and before(x)]
+        want.append((r["id"], quantile(v, 0.5), quantile(v, 0.3, False)))
+    assert got == [(i, m and pytest.approx(m), d) for i, m, d in want]
+    if held < 1000 and start is not None and end is not None:
+        assert max(sizes) < 220
