@@ -31,6 +31,14 @@ def test_filters_and_columns_reach_the_scan(t):
     assert "EqualTo(o_orderstatus,F)" in text and "GreaterThan(o_total" in text and "o_orderpriority" not in text
 
 
+def test_sketches_are_not_kept_per_distinct_key(spark, tmp_path):
+    spark.createDataFrame([(k,) for k in (1, 1, 2, None)], "l_partkey bigint").write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = REGISTRY["distinct_count_sketch"](spark, str(tmp_path))
+    by_key = [line for line in plan(out).splitlines() if "Aggregate(key" in line and "keys=[l_partkey" in line]
+    assert by_key and not any("approx_count_distinct" in line for line in by_key)
+    assert [tuple(r) for r in out.collect()] == [(True, True, 2)]
+
+
 def test_dedup_and_top_n_limit_before_the_shuffle(t):
     for df in (rows.dedup(t.orders, ["o_custkey"], keep="last", order_by=["o_orderdate", "o_orderkey"]),
                windows.top_n(t.orders, 3, partition_by=["o_custkey"], order_by=[("o_totalprice", "desc")])):
