@@ -19,6 +19,14 @@ LEVELS = {
     # PySpark always stores serialised rows, so the _SER spellings mean the plain levels.
     "MEMORY_ONLY_SER": StorageLevel.MEMORY_ONLY, "MEMORY_AND_DISK_SER": StorageLevel.MEMORY_AND_DISK,
 }
+MAX_PARTITION_ROWS = 1_000_000
+
+
+def _sizes(df: DataFrame, n: int | None, max_rows: int | None) -> list[int]:
+    """``n``, or as many as leave about ``max_rows`` rows to a partition; file footers count a stored table. One stays one."""
+    if not n or n == 1 or not max_rows:
+        return [n] if n else []
+    return [max(n, -(-df.count() // max_rows))]
 
 
 def repartition(df: DataFrame, strategy: str = "hash", *, columns: Sequence[str] = (), n: int | None = None, salt: int = 0) -> DataFrame:
@@ -41,10 +49,9 @@ def repartition(df: DataFrame, strategy: str = "hash", *, columns: Sequence[str]
     return df.repartition(*size, *[F.col(c) for c in columns], *extra)
 
 
-def clustered(df: DataFrame, columns: Sequence[str], n: int | None = None) -> DataFrame:
-    """Range-partition and sort by ``columns``: tight min/max statistics per file for later pruning."""
-    size = [n] if n else []
-    return df.repartitionByRange(*size, *columns).sortWithinPartitions(*columns)
+def clustered(df: DataFrame, columns: Sequence[str], n: int | None = None, max_rows: int | None = MAX_PARTITION_ROWS) -> DataFrame:
+    """Range-partition and sort by ``columns``: tight min/max statistics per file for later pruning; ``n`` partitions, and more where a table is too long for so few."""
+    return df.repartitionByRange(*_sizes(df, n, max_rows), *columns).sortWithinPartitions(*columns)
 
 
 def _rank(value: Column, bounds: Sequence[float]) -> Column:
@@ -78,13 +85,14 @@ def z_value(df: DataFrame, columns: Sequence[str], bits: int = 8, accuracy: int
     return key
 
 
-def z_ordered(df: DataFrame, columns: Sequence[str], n: int | None = None, bits: int = 8) -> DataFrame:
+def z_ordered(df: DataFrame, columns: Sequence[str], n: int | None = None, bits: int = 8, max_rows: int | None = MAX_PARTITION_ROWS) -> DataFrame:
     """Range-partition and sort by the interleaved ranks of ``columns``, so that ranges of any of them touch few files.
 
     A value with many rows takes the rank of its first quantile, so that few distinct values still use all bits.
+    ``n`` and ``max_rows`` as in ``clustered``.
     """
     keyed = df.withColumn("__z", z_value(df, columns, bits))
-    return keyed.repartitionByRange(*([n] if n else []), "__z").sortWithinPartitions("__z").drop("__z")
+    return keyed.repartitionByRange(*_sizes(df, n, max_rows), "__z").sortWithinPartitions("__z").drop("__z")
 
 
 def persist(df: DataFrame, level: str = "MEMORY_AND_DISK", eager: bool = False) -> DataFrame:

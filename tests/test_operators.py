@@ -12,6 +12,7 @@ from millrace.operators.aggregates import Agg
 from millrace.operators.conditions import Condition, as_condition, case_when, operand
 from millrace.operators.ordering import Sort, as_sorts
 from millrace.operators.quality import Rule
+from millrace.plans import load
 
 
 @pytest.fixture
@@ -312,6 +313,27 @@ def test_layout_without_arguments_stays_parallel(t):
     assert layout.repartition(t.orders, "hash", n=5).rdd.getNumPartitions() == 5
 
 
+@pytest.mark.parametrize("lay", [
+    lambda df, **kw: layout.clustered(df, ["k", "j"], **kw), lambda df, **kw: layout.z_ordered(df, ["k", "j"], **kw)],
+    ids=["clustered", "z_ordered"])
+def test_long_tables_take_more_partitions(spark, lay):
+    df = spark.range(4000).select((F.col("id") % 90).alias("k"), F.col("id").alias("j"))
+    rows = [r["rows"] for r in layout.partition_sizes(lay(df, n=3, max_rows=200)).collect()]
+    assert sum(rows) == 4000 and max(rows) < 600
+    assert lay(df, n=3).rdd.getNumPartitions() == 3 == lay(df, n=3, max_rows=None).rdd.getNumPartitions() and lay(df, n=1, max_rows=200).rdd.getNumPartitions() == 1
+
+
+def test_layout_queries_follow_the_table(spark, tmp_path, monkeypatch):
+    """The layouts that the queries ask for have tasks that stay as large when the table grows."""
+    spark.range(3000).selectExpr("id AS l_partkey", "id % 7 AS l_suppkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    sizes, kept = layout._sizes, []
+    monkeypatch.setattr(layout, "_sizes", lambda df, n, max_rows: kept.append(sizes(df, n, 100)) or kept[-1])
+    for name in ("clustered_layout",):
+        found = load()[name](spark, str(tmp_path))
+        assert found.agg(F.sum("n")).first()[0] == 3000
+    assert kept == [[30]]
+
+
 def test_sql_function_and_custom_sql(spark):
     udfs.sql_function(spark, "twice", "x INT", "INT", "x * 2")
     out = udfs.custom_sql(spark, "SELECT twice(a.id) AS d FROM {input1} a JOIN {other} b ON a.id = b.id", spark.range(3).select(F.col("id").cast("int").alias("id")), other=spark.range(2))
