@@ -29,18 +29,21 @@ def _sizes(df: DataFrame, n: int | None, max_rows: int | None) -> list[int]:
     return [max(n, -(-df.count() // max_rows))]
 
 
-def repartition(df: DataFrame, strategy: str = "hash", *, columns: Sequence[str] = (), n: int | None = None, salt: int = 0) -> DataFrame:
+def repartition(df: DataFrame, strategy: str = "hash", *, columns: Sequence[str] = (), n: int | None = None, salt: int = 0, max_rows: int | None = MAX_PARTITION_ROWS) -> DataFrame:
     """hash | range | round_robin | coalesce | none.
 
+    ``n`` partitions, and more where a table is too long for so few: a partition is a task, which should
+    not grow with the table. ``max_rows=None`` takes ``n`` as it stands; ``coalesce`` always does.
+
     Round robin uses a row hash, which stays put when a task is re-run. ``salt`` > 1 with hash
     spreads each key over that many partitions, for keys too large for one. Nothing is squeezed
     into a single partition unless ``n=1`` is asked for.
     """
-    size = [n] if n else []
     if strategy == "none":
         return df
     if strategy == "coalesce":
         return df.coalesce(n) if n else df
+    size = _sizes(df, n, max_rows)
     if strategy == "range":
         return df.repartitionByRange(*size, *sort_columns(columns))
     if strategy == "round_robin" or not columns:
@@ -50,7 +53,7 @@ def repartition(df: DataFrame, strategy: str = "hash", *, columns: Sequence[str]
 
 
 def clustered(df: DataFrame, columns: Sequence[str], n: int | None = None, max_rows: int | None = MAX_PARTITION_ROWS) -> DataFrame:
-    """Range-partition and sort by ``columns``: tight min/max statistics per file for later pruning; ``n`` partitions, and more where a table is too long for so few."""
+    """Range-partition and sort by ``columns``: tight min/max statistics per file for later pruning. ``n`` and ``max_rows`` as in ``repartition``."""
     return df.repartitionByRange(*_sizes(df, n, max_rows), *columns).sortWithinPartitions(*columns)
 
 
@@ -89,7 +92,7 @@ def z_ordered(df: DataFrame, columns: Sequence[str], n: int | None = None, bits:
     """Range-partition and sort by the interleaved ranks of ``columns``, so that ranges of any of them touch few files.
 
     A value with many rows takes the rank of its first quantile, so that few distinct values still use all bits.
-    ``n`` and ``max_rows`` as in ``clustered``.
+    ``n`` and ``max_rows`` as in ``repartition``.
     """
     keyed = df.withColumn("__z", z_value(df, columns, bits))
     return keyed.repartitionByRange(*_sizes(df, n, max_rows), "__z").sortWithinPartitions("__z").drop("__z")

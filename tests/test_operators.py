@@ -314,8 +314,9 @@ def test_layout_without_arguments_stays_parallel(t):
 
 
 @pytest.mark.parametrize("lay", [
-    lambda df, **kw: layout.clustered(df, ["k", "j"], **kw), lambda df, **kw: layout.z_ordered(df, ["k", "j"], **kw)],
-    ids=["clustered", "z_ordered"])
+    lambda df, **kw: layout.repartition(df, "round_robin", **kw), lambda df, **kw: layout.repartition(df, "range", columns=["k", "j"], **kw),
+    lambda df, **kw: layout.repartition(df, "hash", columns=["j"], **kw), lambda df, **kw: layout.clustered(df, ["k", "j"], **kw), lambda df, **kw: layout.z_ordered(df, ["k", "j"], **kw)],
+    ids=["round_robin", "range", "hash", "clustered", "z_ordered"])
 def test_long_tables_take_more_partitions(spark, lay):
     df = spark.range(4000).select((F.col("id") % 90).alias("k"), F.col("id").alias("j"))
     rows = [r["rows"] for r in layout.partition_sizes(lay(df, n=3, max_rows=200)).collect()]
@@ -328,10 +329,10 @@ def test_layout_queries_follow_the_table(spark, tmp_path, monkeypatch):
     spark.range(3000).selectExpr("id AS l_partkey", "id % 7 AS l_suppkey").write.parquet(f"{tmp_path}/lineitem.parquet")
     sizes, kept = layout._sizes, []
     monkeypatch.setattr(layout, "_sizes", lambda df, n, max_rows: kept.append(sizes(df, n, 100)) or kept[-1])
-    for name in ("clustered_layout",):
+    for name in ("repartition_round_robin", "clustered_layout"):
         found = load()[name](spark, str(tmp_path))
         assert found.agg(F.sum("n")).first()[0] == 3000
-    assert kept == [[30]]
+    assert kept == [[30], [30]]
 
 
 def test_sql_function_and_custom_sql(spark):
