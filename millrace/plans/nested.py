@@ -98,7 +98,7 @@ def z_ordered_layout(t):
     df = t.lineitem.select("l_partkey", "l_suppkey", "l_linenumber")
     last = df.agg(F.max("l_suppkey")).first()[0] // 8
     found = {}
-    for name, rows in (("z", layout.z_ordered(df, ["l_partkey", "l_suppkey"], 16)), ("sorted", layout.clustered(df, ["l_partkey", "l_suppkey"], 16))):
+    for name, rows in (("z", layout.z_ordered(df, ["l_partkey", "l_suppkey"], 16, max_rows=None)), ("sorted", layout.clustered(df, ["l_partkey", "l_suppkey"], 16, max_rows=None))):
         path = scratch_path(t.spark, f"layout-{name}")
         rows.write.parquet(path)
         found[name] = t.spark.read.parquet(path).filter(F.col("l_suppkey") <= last)
